@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import frequencies, neighbors, packing, similarity, splitting, terms, tokenizer
+from quillgraph.llm import frequencies, generated, neighbors, packing, similarity, splitting, terms, tokenizer
 from quillgraph.sources.tables import table
 
 
@@ -33,6 +33,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return marks.where(F.col("mark").isNotNull()).select(F.col("value").alias("name"), "mark")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text", "document_path", "lang")
+    return generated.not_hand_written(docs).select("doc_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_oversized(table(spark, root, "chunks"), "chunk_id", "content", "start_pos")
 
@@ -52,7 +57,7 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers)}
 
 
 _P1 = """
