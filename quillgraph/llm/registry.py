@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import frequencies, generated, neighbors, packing, similarity, splitting, terms, tokenizer
+from quillgraph.llm import frequencies, generated, neighbors, packing, personal, similarity, splitting, terms, tokenizer
 from quillgraph.sources.tables import table
 
 
@@ -56,8 +56,13 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.containers(counted, "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return personal.listed(personal.mentions(docs, "doc_id", "text", table(spark, root, "people")), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 _P1 = """
