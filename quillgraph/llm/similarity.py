@@ -5,7 +5,9 @@ minwise token (the shingle that has the least value under one of POSITIONS hash
 of TREES independent trees a node branches its members: the node's path chooses BRANCHES of the positions, and members
 with the same minwise token at a chosen position go to the same child, so a pair of similarity s shares a child with
 probability 1 - (1 - s) ** BRANCHES.  Nodes of at most LIMIT members are compared exhaustively, larger ones branch
-again, and those left at MAX_DEPTH are compared exactly in blocks.  Every candidate is verified on the whole sets.
+again, and those left at MAX_DEPTH are compared exactly in blocks.  Members of a node are compared by a sketch first
+(eight bits of each minwise token); a pair at the threshold passes it but for MISSED.  Every pair that passes is
+verified on the whole sets.
 
 With BRANCHES = 2, a pair at 0.6 survives one level with 0.84, two with 0.75, three with 0.70; five trees miss it with
 probability 0.0001, 0.0009, 0.0024.  The trees of a level are one job; levels follow only for large nodes.
@@ -16,6 +18,7 @@ repeated id counts once; equal texts are one class.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -27,10 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import grouping as G
-from quillgraph.session import materialize
+from quillgraph.session import materialize, materialize_by
 
-TREES, BRANCHES, DEEPER, LIMIT, MAX_DEPTH = 5, 2, 14, 48, 8
+TREES, BRANCHES, DEEPER, LIMIT, MAX_DEPTH = 5, 2, 14, 48, 6
 POSITIONS = TREES * BRANCHES + DEEPER
+#: Nodes with more rows than this are hot: they branch without being brought together in one task first.
+HOT = 200_000
+#: The probability with which the sketch may lose a pair that is just at the threshold.
+MISSED = 2.5e-4
+_SAMPLED = 16
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1)
@@ -64,18 +72,40 @@ def shingle_set(text: str | None, hashes: _Hashes, k: int, min_words: int) -> np
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The minwise token of the set at each position."""
+    """The minwise token of the set at each position, as 32 bits of the shingle's hash (a clash costs one vain comparison)."""
     out = np.empty(POSITIONS, np.uint64)
     step = max(1, (1 << 20) // len(s))
     for i in range(0, POSITIONS, step):
         v = s[None, :] * _SEEDS[i : i + step, None]
         v ^= v >> np.uint64(31)
         out[i : i + step] = s[np.argmin(v * _M3, axis=1)]
-    return out.view(np.int64)
+    return out.astype(np.uint32).view(np.int32)
+
+
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """Eight bits of each minwise token, packed in three 64-bit numbers."""
+    t = tokens.view(np.uint32)
+    return np.ascontiguousarray(((t ^ (t >> np.uint32(13))) & np.uint32(0xFF)).astype(np.uint8)).view(np.int64)
+
+
+def least_agreement(threshold: float, missed: float = MISSED) -> int:
+    """The positions in which two sketches must agree, so that a pair at the threshold falls short with probability ``missed`` at most."""
+    below, c = 0.0, 0
+    while True:
+        below += math.comb(POSITIONS, c) * threshold**c * (1 - threshold) ** (POSITIONS - c)
+        if below > missed or c == POSITIONS:
+            return c
+        c += 1
+
+
+def keys_of(s: np.ndarray) -> tuple[bytes, int]:
+    """(cls, cid): the 128-bit hash of the whole set, and its 64-bit short form that travels through the trees."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return d, int.from_bytes(d[:8], "little", signed=True)
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int) -> DataFrame:
-    """(id, cls, sig): class key (128-bit hash of the whole set) and minwise tokens."""
+    """(id, cls, cid, k0, k1, k2, sig): class keys, sketch and minwise tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -86,43 +116,154 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words:
                     s = shingle_set(text, hashes, shingle, min_words)
                     if s is not None:
                         ids.append(i)
-                        keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        keys.append(keys_of(s))
                         sigs.append(minwise(s))
-                flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
+                flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int32))
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * POSITIONS), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), sig], ["id", "cls", "sig"])
+                k = np.array([sketch_of(x) for x in sigs], np.int64).reshape(len(ids), 3)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.string()), pa.array([k for k, _ in keys], pa.binary()), pa.array([c for _, c in keys], pa.int64()), *(pa.array(k[:, q]) for q in range(3)), sig],
+                    ["id", "cls", "cid", "k0", "k1", "k2", "sig"],
+                )
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "id string, cls binary, sig array<bigint>")
+    return rows.mapInArrow(work, "id string, cls binary, cid bigint, k0 bigint, k1 bigint, k2 bigint, sig array<int>")
+
+
+_CLASS = ("cid", "k0", "k1", "k2")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """The next level of (node, cls): the node's own hash chooses BRANCHES different positions of the deeper pool."""
+    """The next level: the node's own hash chooses BRANCHES different positions of the deeper pool."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(DEEPER))
     offset = 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(DEEPER - 1))
-    at = nodes.select("node", "cls", "sig", F.explode(F.array(first, F.pmod(first + offset, F.lit(DEEPER)))).alias("_p"))
+    at = nodes.select("node", *_CLASS, "sig", F.explode(F.array(first, F.pmod(first + offset, F.lit(DEEPER)))).alias("_p"))
     token = F.element_at("sig", (F.col("_p") + TREES * BRANCHES + 1).cast("int"))
-    return at.select(F.xxhash64("node", "_p", token).alias("node"), "cls")
+    return at.select(F.xxhash64("node", "_p", token).alias("node"), *_CLASS)
+
+
+def _met(limit: int, agree: int):  # noqa: ANN202
+    """Over rows sorted by node and class: the pairs of each node of at most ``limit`` members whose sketches agree (big false), or the members of a larger node (big true).
+
+    Holds at most ``limit`` members of one node; the members of a larger node pass through as they come.
+    """
+    i, j = np.triu_indices(limit, 1)
+    upto = [np.flatnonzero(j < n) for n in range(limit + 1)]
+    none = np.empty(0, np.int64), np.empty((0, POSITIONS), np.uint8)
+
+    def close(held: tuple[np.ndarray, np.ndarray], out: list) -> None:
+        c, k = held
+        if len(c) > 1:
+            at = upto[len(c)]
+            a, b = i[at], j[at]
+            ok = (k[a] == k[b]).sum(1) >= agree
+            if ok.any():
+                out.append((c[a[ok]], c[b[ok]], False))
+
+    def rows(out: list) -> pa.RecordBatch:
+        a = np.concatenate([x for x, _, _ in out]) if out else none[0]
+        c = np.concatenate([x for _, x, _ in out]) if out else none[0]
+        flag = np.concatenate([np.full(len(x), f) for x, _, f in out]) if out else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(flag)], ["a", "b", "big"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, big, last = None, none, False, None
+        for batch in batches:
+            node, cid = batch[0].to_numpy(), batch[1].to_numpy()
+            key = np.stack([batch[q].to_numpy() for q in (2, 3, 4)], 1).view(np.uint8)
+            fresh = np.ones(len(node), bool)
+            fresh[1:] = (node[1:] != node[:-1]) | (cid[1:] != cid[:-1])
+            node, cid, key = node[fresh], cid[fresh], key[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+            out: list = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+                if node[s] != now:
+                    close(held, out)
+                    held, big, last = none, False, None
+                    if e - s == 1 and e < len(node):
+                        now = None  # the usual case: a member alone
+                        continue
+                    now = node[s]
+                if cid[s] == last:
+                    s += 1
+                c, k = cid[s:e], key[s:e]
+                if not len(c):
+                    continue
+                last = c[-1]
+                if not big and len(held[0]) + len(c) > limit:
+                    big, c, held = True, np.concatenate([held[0], c]), none
+                if big:
+                    out.append((np.full(len(c), now, np.int64), c, True))
+                else:
+                    held = np.concatenate([held[0], c]), np.concatenate([held[1], k])
+            yield rows(out)
+        out = []
+        close(held, out)
+        yield rows(out)
 
+    return work
 
-def candidates(classes: DataFrame, limit: int = LIMIT, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Distinct (a, b) class keys that met in a node of some tree."""
-    roots = classes.select("cls", F.posexplode(F.slice("sig", 1, TREES * BRANCHES)).alias("_p", "_t"))
-    level = roots.select(F.xxhash64("_p", "_t").alias("node"), "cls")
+
+def _level(level: DataFrame, limit: int, hot: int, agree: int) -> DataFrame:
+    """(a, b, big) of one level.  One shuffle, by node, of five numbers a row.
+
+    Hot nodes are found first on a fixed share of the classes (which only routes: a node taken for hot branches, and
+    what is small after that is compared there); there are at most rows / hot of them, so their list is small.
+    """
+    share = level.where(F.pmod(F.xxhash64("cid"), F.lit(_SAMPLED)) == 0)
+    hot_nodes = share.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > hot // _SAMPLED).select("node")
+    hot_nodes = materialize(hot_nodes, "p3-hot")
+    schema = "a bigint, b bigint, big boolean"
+    if hot_nodes.isEmpty():
+        return level.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_met(limit, agree), schema)
+    cold = level.join(hot_nodes, "node", "left_anti")
+    passed = level.join(hot_nodes, "node", "left_semi").select(F.col("node").alias("a"), F.col("cid").alias("b"), F.lit(True).alias("big"))
+    return cold.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_met(limit, agree), schema).unionByName(passed)
+
+
+def candidates(classes: DataFrame, threshold: float, limit: int = LIMIT, max_depth: int = MAX_DEPTH, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a before b, of the class numbers that met in a node of some tree."""
+    roots = classes.select(*_CLASS, F.posexplode(F.slice("sig", 1, TREES * BRANCHES)).alias("_p", "_t"))
+    level = roots.select(F.xxhash64("_p", "_t").alias("node"), *_CLASS)
     found = []
     for depth in range(1, max_depth + 1):
-        sizes = G.sized(level, "node")
-        found.append(G.pairs(G.listed(G.within_limit(level, sizes, "node", limit), "node", "cls")))
-        big = materialize(G.beyond_limit(level, sizes, "node", limit), "p3-big")
+        met = materialize(_level(level, limit, hot, least_agreement(threshold)), "p3-met")
+        found.append(met.where("NOT big").select("a", "b"))
+        big = met.where("big").select(F.col("a").alias("node"), F.col("b").alias("cid"))
         if big.isEmpty():
             break
         if depth == max_depth:
-            found.append(G.block_pairs(big, "node", "cls", limit))
+            sizes = big.groupBy("node").agg(F.count("*").alias("n"))
+            found.append(G.block_pairs(big.join(sizes, "node"), "node", "cid", limit))
         else:
-            level = _children(big.join(classes.select("cls", "sig"), "cls"))
+            level = _children(big.join(classes.select(*_CLASS, "sig"), "cid"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+_BLOOM_BITS = 1 << 25
+
+
+def _bits(ids: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in ids], np.uint64)
+    return (h % np.uint64(_BLOOM_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(_BLOOM_BITS)).astype(np.int64)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size (4 MB, whatever the data) of a column of ids, built where the ids are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_BLOOM_BITS, bool)
+        for b in batches:
+            for at in _bits(b[0].to_pylist()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    total = np.zeros(_BLOOM_BITS // 8, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(work, "bits binary").toLocalIterator():  # at most 8 rows of 4 MB
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return total
+
+
 def similar_classes(
     df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int = 5, min_words: int = 1
 ) -> tuple[DataFrame, DataFrame]:
@@ -132,18 +273,25 @@ def similar_classes(
     """
     sk = materialize(sketches(df, id_col, text_col, shingle, min_words), "p3-sketch")
     members = sk.select("cls", "id").distinct()
-    classes = materialize(sk.groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "p3-class")
-    cand = materialize(candidates(classes), "p3-pairs")
-    involved = materialize(cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select("rep"), "p3-involved")
+    classes = materialize(sk.groupBy("cid").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("k0", "k1", "k2", "sig"))), "p3-class")
+    cand = materialize(candidates(classes, threshold), "p3-pairs")
+    # The sets of the classes in question are made again from their representatives' texts.  The Bloom filter picks the
+    # texts where they lie, so no text is shuffled; what it lets through in vain meets no candidate in the joins.
+    numbers = cand.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    picked = df.sparkSession.sparkContext.broadcast(bloom(numbers.join(classes.select("cid", "rep"), "cid").select("rep")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, bits = _Hashes(), np.unpackbits(picked.value).view(bool)
         with np.errstate(over="ignore"):
             for b in batches:
-                s = [shingle_set(t, hashes, shingle, min_words) for t in b[0].to_pylist()]
+                x, y = _bits(b[0].to_pylist())
+                texts = b[1].filter(pa.array(bits[x] & bits[y])).to_pylist()
+                s = [shingle_set(t, hashes, shingle, min_words) for t in texts]
                 s = [x for x in s if x is not None]
-                keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in s]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["cls", "items"])
+                keys = [keys_of(x) for x in s]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for _, c in keys], pa.int64()), pa.array([k for k, _ in keys], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["cid", "cls", "items"]
+                )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,13 +303,14 @@ def similar_classes(
                 else:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     sim.append(both / (len(x) + len(y) - both))
-            out = pa.RecordBatch.from_arrays([b[0], b[1], pa.array(sim, pa.float64())], ["a", "b", "similarity"])
-            yield out
-
-    texts = df.select(F.col(id_col).cast("string").alias("rep"), F.col(text_col).alias("text")).join(involved, "rep", "left_semi")
-    whole = materialize(texts.select("text").mapInArrow(sets, "cls binary, items binary").dropDuplicates(["cls"]), "p3-sets")
-    met = cand.join(whole.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(whole.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
-    links = met.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    whole = materialize_by(texts.mapInArrow(sets, "cid bigint, cls binary, items binary").dropDuplicates(["cid", "cls"]), "cid", "p3-sets")
+    x = whole.select(F.col("cid").alias("a"), F.col("cls").alias("p"), F.col("items").alias("x"))
+    y = whole.select(F.col("cid").alias("b"), F.col("cls").alias("q"), F.col("items").alias("y"))
+    met = cand.join(x, "a").join(y, "b").select("p", "q", "x", "y")
+    links = met.mapInArrow(verify, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
     return links, members
 
 
