@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.operators import incremental
+from quillgraph.plans import graph, retrieval, store
 from quillgraph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +31,18 @@ WHERE NOT coalesce(ok AND sha256(coalesce(text, ''))
 """
 
 
+BOOKS = [retrieval.book, graph.book, store.book]
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    out: dict[str, Query] = {}
+    for b in BOOKS:
+        out |= b.queries
+    return out | {"p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    out: dict[str, str] = {}
+    for b in BOOKS:
+        out |= b.sql
+    return out | {"p2_found": P2_SQL}
