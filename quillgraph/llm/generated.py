@@ -82,7 +82,8 @@ def machine_layout(kind: Column) -> Column:
     """Whether the layout alone shows that a machine wrote the file."""
 
     def by(limits: dict) -> Column:
-        dense = (F.col("mean_line") > limits["mean"]) & (F.col("white") < limits["thin"]) & (F.col("digits") > 0.05)
+        thin = (F.col("white") < limits["thin"]) & ((F.col("digits") > 0.05) | (F.col("white") < 0.6 * limits["thin"]))
+        dense = (F.col("mean_line") > limits["mean"]) & thin
         table = F.col("figures") > limits["figures"]
         listing = (F.col("white") < limits["listed"][0]) & (F.col("digits") > limits["listed"][1]) & (F.col("encoded") < 0.3) & (F.col("alnum") > 0.4)
         blob = (F.col("encoded") > limits["encoded"]) & (F.col("max_line") < 1000)

@@ -4,7 +4,7 @@ A vector is approximated by the sum of one entry from each of CODEBOOKS full-dim
 entries.  The codebooks are fitted by k-means on the residuals of a bounded sample (SAMPLE vectors, the least hashes of
 the ids); every vector is indexed.  Encoding is a beam search.  The first ``depth`` codes of each of the BEAM best paths
 are the vector's lists, so near vectors, whose paths differ in order of quality only, share a list.  The depth follows
-from the number of vectors so that lists stay small.  Within a list, pairs are scored from the codes alone: a table of
+from the number of vectors, so that lists stay small, and ends where codes would tell near vectors apart.  Within a list, pairs are scored from the codes alone: a table of
 all products of codebook entries gives the product of two sums by lookups, divided by the stored norms.  Pairs within
 ``slack`` of the threshold are scored exactly on the vectors.
 
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm import grouping as G
 from quillgraph.session import materialize, materialize_by
 
-CODEBOOKS, ENTRIES, BEAM, SAMPLE, LIMIT, ROUNDS = 10, 64, 8, 16_384, 256, 8
+CODEBOOKS, ENTRIES, BEAM, SAMPLE, LIMIT, ROUNDS = 10, 64, 8, 16_384, 1024, 8
+#: Codes name a vector's lists only while what is left to encode is this many times the distance at the threshold.
+CLEAR = 1.5
 
 
 def current(df: DataFrame, id_col: str, version_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +109,19 @@ def encode(x: np.ndarray, books: np.ndarray, depth: int, beam: int = BEAM) -> tu
     return lists, best.astype(np.uint8), np.sqrt((approx * approx).sum(1))
 
 
-def list_depth(n: int) -> int:
-    """The codes a list is made of: with ENTRIES ** (depth - 1) of the order of n, a list holds a few vectors."""
-    return min(CODEBOOKS - 2, max(3, 1 + math.ceil(math.log(max(n, 2) / 2, ENTRIES))))
+def left_over(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The root mean square of what is left of the vectors before each codebook."""
+    r, out = x.astype(np.float32), []
+    for c in books:
+        out.append(float(np.sqrt((r * r).sum(1).mean())))
+        r = r - c[np.argmax(r @ c.T - 0.5 * (c * c).sum(1), 1)]
+    return np.array(out)
+
+
+def list_depth(n: int, left: np.ndarray, threshold: float) -> int:
+    """The codes a list is made of: with ENTRIES ** (depth - 1) of the order of n a list holds a few vectors."""
+    clear = int((left > CLEAR * math.sqrt(max(0.0, 2 - 2 * threshold))).sum())
+    return max(1, min(CODEBOOKS - 2, clear, 1 + math.ceil(math.log(max(n, 2) / 2, ENTRIES))))
 
 
 def _indexed(v: DataFrame, books: np.ndarray, depth: int) -> DataFrame:
@@ -175,9 +187,9 @@ def _scored(lists: DataFrame, books: np.ndarray, floor: float) -> DataFrame:
     return lists.select("members").mapInArrow(score, "a bigint, b bigint")
 
 
-def candidates(v: DataFrame, books: np.ndarray, n: int, floor: float, limit: int = LIMIT) -> DataFrame:
+def candidates(v: DataFrame, books: np.ndarray, depth: int, floor: float, limit: int = LIMIT) -> DataFrame:
     """Distinct (a, b) vids that share a list and pass the looked-up score."""
-    found, depth, level = [], list_depth(n), v
+    found, level = [], v
     while True:
         entries = materialize(_indexed(level, books, depth), "p7-entries")
         sizes = G.sized(entries, "list")
@@ -207,14 +219,14 @@ def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: st
     if not len(at):
         return df.sparkSession.createDataFrame([], "a string, b string, similarity double")
     books = fit(x)
-    pairs = candidates(vectors, books, n, threshold - slack)
+    pairs = candidates(vectors, books, list_depth(n, left_over(x, books), threshold), threshold - slack)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i, x = unit_rows(b[2], dim)
             j, y = unit_rows(b[3], dim)
             assert len(i) == len(j) == b.num_rows
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array((x * y).sum(1))], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(np.round((x * y).sum(1), 9))], ["a", "b", "similarity"])
 
     near = materialize(
         pairs.join(vectors.select(F.col("vid").alias("a"), F.col("v").alias("x")), "a")
