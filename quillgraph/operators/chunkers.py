@@ -14,7 +14,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -39,20 +39,27 @@ def _strip(c: Column) -> Column:
 
 
 def _runs(pieces: DataFrame, joined: str) -> DataFrame:
-    """Chunks of the runs: ``pieces`` has doc and ``p`` (array of structs text, n, limit); pieces are joined with ``joined``, which also ends a run."""
-    rows = pieces.withColumn("r", dealt(F.col("p"))).select("doc", F.posexplode(F.arrays_zip(F.col("p.text").alias("text"), F.col("r").alias("run"))).alias("i", "x"))
-    runs = rows.groupBy("doc", F.col("x.run").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("x.text").alias("text")))).alias("parts"))
-    whole = runs.select("doc", "chunk_index", F.concat(F.array_join(F.col("parts.text"), joined), F.lit(joined)).alias("raw"))
-    from pyspark.sql import Window
+    """Chunks of the runs: ``pieces`` has doc and ``p`` (array of structs text, n, limit, exact); pieces are joined with ``joined``, which also ends a run.
 
-    w = Window.partitionBy("doc").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    placed = whole.withColumn("start_pos", F.coalesce(F.sum(F.char_length("raw")).over(w), F.lit(0)))
-    return placed.select("doc", "chunk_index", _strip(F.col("raw")).alias("content"), "start_pos", (F.col("start_pos") + F.char_length("raw")).alias("end_pos"))
+    Blank runs are left out and the others numbered; an exact run ends where its stripped content ends.
+    """
+    rows = pieces.select("doc", F.posexplode(F.arrays_zip("p", dealt(F.col("p")).alias("run"))).alias("i", "x")).select("doc", "i", "x.run", "x.p.text", "x.p.exact")
+    runs = rows.groupBy("doc", "run").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"), F.max("exact").alias("exact"))
+    whole = runs.select("doc", "run", "exact", F.concat(F.array_join(F.col("parts.text"), joined), F.lit(joined)).alias("raw"))
+    w = Window.partitionBy("doc").orderBy("run")
+    before = F.coalesce(F.sum(F.char_length("raw")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = whole.withColumns({"start_pos": before, "content": _strip(F.col("raw"))}).where(F.col("content") != "")
+    end = F.col("start_pos") + F.when(F.col("exact"), F.char_length("content")).otherwise(F.char_length("raw"))
+    return placed.select("doc", (F.row_number().over(w) - 1).alias("chunk_index"), "content", "start_pos", end.alias("end_pos"))
+
+
+def _blank() -> Column:
+    return ~F.col("t").rlike(r"(?U)\S")
 
 
 def _with_empty(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds the empty chunk of every text that gave none, and settles the types."""
-    empty = docs.select("doc").join(chunks.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(0).alias("chunk_index"), F.lit("").alias("content"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
+    """Adds the empty chunk of every blank text, and settles the types."""
+    empty = docs.where(_blank()).select("doc", F.lit(0).alias("chunk_index"), F.lit("").alias("content"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
     return chunks.unionByName(empty).select("doc", *[F.col(c).cast("long").alias(c) if c != "content" else c for c in ("chunk_index", "content", "start_pos", "end_pos")])
 
 
@@ -68,8 +75,8 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, most
     docs = _docs(df, id_col, text_col)
     paras = F.filter(F.transform(F.split("t", r"\n\s*\n"), _strip), lambda p: p != "")
     limit = lambda p: F.greatest(F.lit(size // 2), F.least(F.floor(size * (1 - T.density(p) * 0.5)).cast("int"), F.lit(most))) if adaptive else F.lit(size)
-    pieces = docs.select("doc", F.transform(paras, lambda p: F.struct(p.alias("text"), T.estimated_tokens(p).alias("n"), limit(p).alias("limit"))).alias("p"))
-    return _with_empty(docs, _runs(pieces.where(F.size("p") > 0), "\n\n"))
+    pieces = docs.where(~_blank()).select("doc", F.transform(paras, lambda p: F.struct(p.alias("text"), T.estimated_tokens(p).alias("n"), limit(p).alias("limit"), F.lit(False).alias("exact"))).alias("p"))
+    return _with_empty(docs, _runs(pieces, "\n\n"))
 
 
 # Where a top-level definition begins, by extension.
@@ -101,21 +108,23 @@ def code(df: DataFrame, id_col: str, text_col: str, path_col: str, size: int = S
     by the script pattern; a text without definitions is cut by lines.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("t"), F.regexp_replace(T.extension(path_col), r"^\.", "").alias("ext")).dropDuplicates(["doc"])
+    full = docs.where(~_blank())
     cut = F.lit(None).cast("array<string>")
     for ext, pattern in BOUNDARIES.items():
         cut = F.when(F.col("ext") == ext, _cut_before(F.col("t"), pattern)).otherwise(cut)
-    pieces = docs.where(~F.col("ext").isin("py", "pyw", "pyx")).select("doc", F.coalesce(cut, _cut_before(F.col("t"), _JS)).alias("p"))
-    python = docs.where(F.col("ext").isin("py", "pyw", "pyx")).select("doc", "t").mapInArrow(_python_pieces, f"doc {dict(docs.dtypes)['doc']}, p array<string>")
-    cuts = pieces.unionByName(python.join(docs.select("doc", "t"), "doc").select("doc", F.coalesce("p", _cut_before(F.col("t"), _JS)).alias("p")))
-    cuts = cuts.where(F.size("p") > 1).select("doc", F.filter("p", lambda x: x != "").alias("p"))
-    sized = cuts.select("doc", F.transform("p", lambda x: F.struct(x.alias("text"), T.estimated_tokens(x).alias("n"), F.lit(size).alias("limit"))).alias("p"))
-    runs = _runs(sized, "").where(F.col("content") != "")
-    rest = docs.join(cuts.select("doc"), "doc", "left_anti")
-    return _with_empty(docs, runs.unionByName(_by_lines(rest, size)))
+    by_pattern = full.where(~F.col("ext").isin(PYTHON)).select("doc", "t", F.coalesce(cut, _cut_before(F.col("t"), _JS)).alias("c"))
+    parsed = full.where(F.col("ext").isin(PYTHON)).select("doc", "t").mapInArrow(_python_pieces, f"doc {dict(docs.dtypes)['doc']}, t string, c array<string>")
+    cuts = by_pattern.unionByName(parsed.select("doc", "t", F.coalesce("c", _cut_before(F.col("t"), _JS)).alias("c")))
+    defined = F.transform(F.filter("c", lambda x: x != ""), lambda x: F.struct(x.alias("text"), T.estimated_tokens(x).alias("n"), F.lit(size).alias("limit"), F.lit(False).alias("exact")))
+    pieces = cuts.select("doc", F.when(F.size("c") > 1, defined).otherwise(_line_groups(F.col("t"), size)).alias("p"))
+    return _with_empty(docs, _runs(pieces, ""))
+
+
+PYTHON = ["py", "pyw", "pyx"]
 
 
 def _python_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text in pieces: what stands before a top-level definition, and the definition; null if it does not parse."""
+    """Each text with its pieces: what stands before a top-level definition, and the definition; null if it does not parse or defines nothing."""
     for b in batches:
         out = []
         for text in b[1].to_pylist():
@@ -131,26 +140,26 @@ def _python_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 parts += ["".join(lines[at:s]), "".join(lines[s:e])]
                 at = e
             out.append([*parts, "".join(lines[at:])] if marks else None)
-        yield pa.RecordBatch.from_arrays([b[0], pa.array(out, pa.list_(pa.string()))], ["doc", "p"])
+        yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(out, pa.list_(pa.string()))], ["doc", "t", "c"])
+
 
+def _line_groups(text: Column, size: int) -> Column:
+    """The text's lines in equal groups of about ``size`` estimated tokens, each a run of its own (its size exceeds its limit)."""
+    lines = F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+$"), F.lit(0))
 
-def _by_lines(docs: DataFrame, size: int) -> DataFrame:
-    lines = F.regexp_extract_all("t", F.lit("[^\n]*\n|[^\n]+$"), F.lit(0))
-    d = docs.select("doc", lines.alias("l"), T.estimated_tokens("t").alias("n")).where(F.size("l") > 0)
-    per = F.greatest(F.lit(1), F.floor(size / F.greatest(F.lit(1), F.floor(F.col("n") / F.size("l"))))).cast("int")
-    d = d.withColumn("per", per).select("doc", "l", "per", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / F.col("per")).cast("int"))).alias("k"))
-    d = d.select("doc", "k", F.array_join(F.slice("l", F.col("k") * F.col("per") + 1, F.col("per")), "").alias("raw"), F.char_length(F.array_join(F.slice("l", 1, F.col("k") * F.col("per")), "")).alias("start_pos"))
-    d = d.withColumn("content", _strip(F.col("raw"))).where(F.col("content") != "")
-    from pyspark.sql import Window
+    def grouped(v: Column) -> Column:
+        n, per = F.size(v["l"]), v["per"]
+        starts = F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int"))
+        return F.transform(starts, lambda k: F.struct(F.array_join(F.slice(v["l"], k * per + 1, per), "").alias("text"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("limit"), F.lit(True).alias("exact")))
 
-    number = F.row_number().over(Window.partitionBy("doc").orderBy("k")) - 1
-    return d.select("doc", number.alias("chunk_index"), "content", "start_pos", (F.col("start_pos") + F.char_length("content")).alias("end_pos"))
+    per = lambda l: F.greatest(F.lit(1), F.floor(size / F.greatest(F.lit(1), F.floor(T.estimated_tokens(text) / F.greatest(F.size(l), F.lit(1)))))).cast("int")  # noqa: E731, E741
+    return T.let(lines, lambda l: T.let(F.struct(l.alias("l"), per(l).alias("per")), grouped))  # noqa: E741
 
 
 def by_lines(df: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
     """Equal numbers of lines a chunk, of about ``size`` estimated tokens; blank chunks are left out."""
     docs = _docs(df, id_col, text_col)
-    return _with_empty(docs, _by_lines(docs, size))
+    return _with_empty(docs, _runs(docs.where(~_blank()).select("doc", _line_groups(F.col("t"), size).alias("p")), ""))
 
 
 def sentence_windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, most: int = MOST, overlap: int = 32) -> DataFrame:
@@ -162,7 +171,7 @@ def sentence_windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE
     docs = _docs(df, id_col, text_col)
     parts = F.split("t", r"(?<=[.!?])\s+")
     gaps = F.concat(F.transform(F.regexp_extract_all("t", F.lit(r"(?<=[.!?])\s+"), F.lit(0)), lambda g: F.char_length(g)), F.array(F.lit(0)))
-    d = docs.where(F.col("t") != "").select("doc", parts.alias("s"), gaps.alias("g"))
+    d = docs.where(~_blank()).select("doc", parts.alias("s"), gaps.alias("g"))
     d = d.withColumn("n", F.transform("s", lambda x: T.estimated_tokens(x).cast("int")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +193,7 @@ def sentence_windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE
                             kept += sizes[back - 1]
                             back -= 1
                         i = back
-                out.append(runs)
+                out.append(runs or [{"a": 0, "b": 0}])
             yield pa.RecordBatch.from_arrays([b[0], pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc", "runs"])
 
     runs = d.select("doc", "n").mapInArrow(walk, f"doc {dict(docs.dtypes)['doc']}, runs array<struct<a:int,b:int>>")

@@ -42,24 +42,39 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the application is ending; nothing depends on it
-        pass
+#: What ``materialize`` and ``materialize_by`` have written in this process: (session, path, table name or "").
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+
+
+def release() -> None:
+    """Remove all tables that were materialized so far; DataFrames built on them can no longer be read.
+
+    Runs by itself when the process ends; a long session may call it between jobs.
+    """
+    while _WRITTEN:
+        spark, path, name = _WRITTEN.pop()
+        try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may have ended; nothing depends on it
+            continue
+
+
+atexit.register(release)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, is columnar and compressed, and gives the
-    optimizer exact sizes.  The table is removed when the application ends.
+    optimizer exact sizes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _WRITTEN.append((spark, path, ""))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,5 +85,5 @@ def materialize_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
     made = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{made}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
-    atexit.register(_remove, spark, path)
+    _WRITTEN.append((spark, path, made))
     return spark.table(made)
