@@ -16,7 +16,6 @@ Defined results: null and empty texts have the empty list; strings that look lik
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -172,11 +171,11 @@ class _Words(dict):
         return packed
 
 
-_LOADED: dict[int, _Words] = {}
+_LOADED: dict[str, _Words] = {}
 
 
-def words_of(compiled: tuple[list[bytes], list[tuple[int, int, int]]], key: int) -> _Words:
-    """This process's word table for one broadcast vocabulary."""
+def words_of(compiled: tuple[list[bytes], list[tuple[int, int, int]]], key: str) -> _Words:
+    """This process's word table for the vocabulary of one file."""
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = _Words(Automaton(*compiled))
@@ -199,7 +198,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_VOC
     kind = dict(df.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(shared.value, os.getpid())
+        words = words_of(shared.value, path)
         for b in batches:
             packed = [encode_packed(words, t) for t in b[1].to_pylist()]
             offsets = np.fromiter(accumulate((len(p) // 4 for p in packed), initial=0), np.int32, len(packed) + 1)
@@ -215,7 +214,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_
     kind = dict(df.dtypes)[id_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(shared.value, os.getpid())
+        words = words_of(shared.value, path)
         for b in batches:
             n = [len(encode_packed(words, t)) // 4 for t in b[1].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(n, pa.int64())], [id_col, "n_tokens"])
