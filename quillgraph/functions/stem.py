@@ -1,4 +1,7 @@
-"""An English suffix stemmer as one SQL expression, for Spark and for DuckDB.
+"""An English suffix stemmer, in two forms: one SQL expression (for Spark and for DuckDB) and an Arrow step.
+
+The Arrow step is what the index uses: a vocabulary is far smaller than its texts, and the nested SQL expression costs
+more to plan than a vocabulary to stem.  The SQL form checks it and serves where Python is not wanted.
 
 Words are mapped to a string of C and V (consonant, vowel).  The measure of a word is the number of VC in it, so every
 condition of the classical five steps becomes a test on that string.  ``let`` binds a step's result once, which keeps
@@ -10,7 +13,10 @@ condition holds; any doubled final consonant is undoubled at the end; words of a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # The suffix lists of the steps, in the order in which they are tried.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
@@ -108,3 +114,75 @@ class _Sql:
 def stem_sql(word: str, duckdb: bool = False) -> str:
     """The SQL expression of the stem of a lower-case word column."""
     return _Sql(duckdb).stem(word)
+
+
+_SIGNS = str.maketrans(_FROM, _TO)
+
+
+class _Values:
+    """The steps on values; the same conditions as the expression."""
+
+    @staticmethod
+    def signs(w: str) -> str:
+        out = []
+        for c in w.translate(_SIGNS):
+            out.append(("C" if out and out[-1] == "V" else "V") if c == "y" else c)
+        return "".join(out)
+
+    def measure(self, w: str) -> int:
+        return self.signs(w).count("VC")
+
+    def doubled(self, w: str) -> bool:
+        return len(w) > 1 and w[-1] == w[-2] and self.signs(w)[-1] == "C"
+
+    def cvc(self, w: str) -> bool:
+        return self.signs(w)[-3:] == "CVC" and w[-1] not in "wxy"
+
+    def mended(self, b: str) -> str:
+        if b.endswith(("at", "bl", "iz")):
+            return b + "e"
+        if self.doubled(b) and b[-1] not in "lsz":
+            return b[:-1]
+        return b + "e" if self.measure(b) == 1 and self.cvc(b) else b
+
+    def inflection(self, w: str) -> str:
+        if w.endswith(("sses", "ies")):
+            w = w[:-2]
+        elif w.endswith("s") and not w.endswith("ss"):
+            w = w[:-1]
+        if w.endswith("eed"):
+            w = w[:-1] if self.measure(w[:-3]) else w
+        else:
+            for end in ("ed", "ing"):
+                if w.endswith(end):
+                    b = w[: -len(end)]
+                    w = self.mended(b) if "V" in self.signs(b) else w
+                    break
+        return w[:-1] + "i" if w.endswith("y") and "V" in self.signs(w[:-1]) else w
+
+    def stem(self, word: str) -> str:
+        if len(word) <= 2:
+            return word
+        w = self.inflection(word)
+        for pairs, least in ((STEP2, 1), (STEP3, 1), ([(x, "") for x in STEP4], 2)):
+            end, new = next(((a, b) for a, b in pairs if w.endswith(a)), ("", ""))
+            b = w[: len(w) - len(end)]
+            if end and self.measure(b) >= least and (end != "ion" or least == 1 or b[-1:] in ("s", "t")):
+                w = b + new
+        if w.endswith("e"):
+            m = self.measure(w[:-1])
+            w = w[:-1] if m > 1 or (m == 1 and not self.cvc(w[:-1])) else w
+        return w[:-1] if self.doubled(w) and self.measure(w) > 1 else w
+
+
+stem = _Values().stem
+
+
+def with_stems(words: DataFrame, word: str, name: str) -> DataFrame:
+    """(word, name): each row's word with its stem, in Arrow batches."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b[0], pa.array([None if w is None else stem(w) for w in b[0].to_pylist()], pa.string())], [word, name])
+
+    return words.select(word).mapInArrow(work, f"`{word}` string, `{name}` string")

@@ -37,8 +37,7 @@ def chunk_id(path: Column | str, start: Column | str, end: Column | str, text: C
 
 def identifiers(text: Column | str) -> Column:
     """The words of the text that are ASCII identifiers (runs of word signs of any script that have only ASCII ones)."""
-    runs = F.regexp_extract_all(col(text), F.lit(f"[{WORD_SIGN}]+"), F.lit(0))
-    return F.filter(runs, lambda w: w.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"))
+    return F.regexp_extract_all(col(text), F.lit(f"(?<![{WORD_SIGN}])[a-zA-Z_][a-zA-Z0-9_]*+(?![{WORD_SIGN}])"), F.lit(0))
 
 
 def split_identifier(name: Column | str) -> Column:
@@ -46,7 +45,8 @@ def split_identifier(name: Column | str) -> Column:
     spaced = F.regexp_replace(F.trim(col(name)), r"[_\-]+", " ")
     for pattern in (r"([A-Z])([A-Z][a-z])", r"([a-z])([A-Z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])"):
         spaced = F.regexp_replace(spaced, pattern, "$1 $2")
-    return F.filter(F.split(F.lower(spaced), " +"), lambda p: p != "")
+    parts = F.filter(F.split(F.lower(spaced), " +"), lambda p: p != "")
+    return F.when(col(name).rlike("^[a-z]+$"), F.array(col(name))).otherwise(parts)  # most words are one part
 
 
 def estimated_tokens(text: Column | str) -> Column:

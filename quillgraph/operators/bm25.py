@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.functions.stem import stem_sql
+from quillgraph.functions.stem import with_stems
 from quillgraph.session import materialize
 
 K1, B = 1.5, 0.75
@@ -32,7 +32,7 @@ def parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def stems(parts_df: DataFrame) -> DataFrame:
     """(part, term): each distinct part with its stem."""
-    return parts_df.where(F.col("part").isNotNull()).select("part").distinct().withColumn("term", F.expr(stem_sql("part")))
+    return with_stems(parts_df.where(F.col("part").isNotNull()).select("part").distinct(), "part", "term")
 
 
 class Index:
@@ -75,7 +75,7 @@ def query_terms(df: DataFrame, query: str) -> DataFrame:
     """(term, qtf) of a query: a literal, so a handful of rows."""
     one = df.sparkSession.range(1).select(F.lit(query).alias("q"))
     p = one.select(F.explode(T.identifiers("q")).alias("w")).select(F.explode(T.split_identifier("w")).alias("part")).where(F.char_length("part") > 1)
-    return p.withColumn("term", F.expr(stem_sql("part"))).groupBy("term").agg(F.count("*").alias("qtf"))
+    return with_stems(p, "part", "term").groupBy("term").agg(F.count("*").alias("qtf"))
 
 
 def idf(n: Column, df: Column) -> Column:

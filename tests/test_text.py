@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import embedding
 from quillgraph.functions import text as T
-from quillgraph.functions.stem import stem_sql
+from quillgraph.functions.stem import stem, stem_sql
 
 STEMS = "caresses cares ponies poni ties ti cats cat stress stress agreed agre feed feed plastered plaster bled bled hopping hop filing file falling fall hissing hiss happy happi sky sky early earli a a at at running run connections connect hopeful hope goodness good allowance allow inference infer electrical electr generalization gener stressed stress tanned tan".split()
 
@@ -18,6 +19,15 @@ def test_stems(spark):
     pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
     rows = spark.createDataFrame(pairs, "w string, e string").withColumn("g", F.expr(stem_sql("w"))).collect()
     assert [(r["w"], r["g"]) for r in rows] == pairs
+    assert [(w, stem(w)) for w, _ in pairs] == pairs
+
+
+def test_stem_forms_agree(spark):
+    rng = random.Random(1)
+    ends = ["ational", "ed", "ing", "eed", "ies", "ness", "ement", "ion", "y", "ss", "e", "ll", "izing", "ive", "iviti"]
+    words = {"".join(rng.choice("abcdeiouylstrwx") for _ in range(rng.randint(1, 6))) + rng.choice(["", *ends]) for _ in range(3000)} | {"123", "a1b2ing", "x_ed"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").withColumn("g", F.expr(stem_sql("w"))).collect()
+    assert [(r["w"], r["g"]) for r in rows if r["g"] != stem(r["w"])] == []
 
 
 @pytest.mark.parametrize(
