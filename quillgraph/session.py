@@ -53,13 +53,19 @@ def release() -> None:
     """
     while _WRITTEN:
         spark, path, name = _WRITTEN.pop()
-        try:
-            if name:
-                spark.sql(f"DROP TABLE IF EXISTS {name}")
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may have ended; nothing depends on it
-            continue
+        steps = (lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") if name else None, lambda: _delete(spark, path))  # noqa: B023
+        for step in steps:
+            try:
+                step()
+            except Exception:  # noqa: BLE001, S112 - the session may have ended; nothing depends on it
+                continue
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    live = spark.sparkContext._jsc
+    p.getFileSystem(live.hadoopConfiguration() if live is not None else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 atexit.register(release)
