@@ -13,7 +13,7 @@ from quillgraph.plans.base import Book
 from quillgraph.plans.graph import GRAPH
 from quillgraph.plans.retrieval import _PRESENT, QUERY, SCORED, TERMS
 from quillgraph.plans.retrieval import _chunks as _content
-from quillgraph.plans.store import C, _chunks
+from quillgraph.plans.store import _raw
 from quillgraph.sources.tables import table
 
 book = Book()
@@ -117,7 +117,7 @@ def removal_cascade(spark: SparkSession, root: str) -> DataFrame:
 @book.query()
 def trimmed_contents(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk's content within 60 estimated tokens."""
-    return _chunks(spark, root).select("chunk_id", compose.trimmed("content", 60).alias("content"))
+    return _raw(spark, root).select("chunk_id", compose.trimmed("content", 60).alias("content")).dropDuplicates(["chunk_id"])
 
 
 @book.query("""WITH d AS (SELECT document_path FROM documents WHERE source = (SELECT min(source) FROM documents) AND document_path IS NOT NULL),

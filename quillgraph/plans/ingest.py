@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.operators import chunkers, extraction, features
 from quillgraph.plans.base import Book
-from quillgraph.plans.store import C, _chunks
+from quillgraph.plans.store import C, _chunks, _raw
 from quillgraph.sources.tables import table
 
 book = Book()
@@ -44,7 +44,7 @@ def merged_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 @book.query()
 def chunk_fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    return features.fingerprints(_chunks(spark, root), "chunk_id", "content")
+    return features.fingerprints(_raw(spark, root), "chunk_id", "content").dropDuplicates(["chunk_id"])
 
 
 @book.query()
@@ -73,7 +73,7 @@ def text_figures(spark: SparkSession, root: str) -> DataFrame:
     """The 32 figures and the spread vector of every chunk."""
     from quillgraph.functions import embedding
 
-    rows = _chunks(spark, root).select("chunk_id", embedding.figures("content").alias("f"))
+    rows = _raw(spark, root).select("chunk_id", embedding.figures("content").alias("f")).dropDuplicates(["chunk_id"])
     return rows.select("chunk_id", "f.*", embedding.spread(F.col("f")).alias("vector"))
 
 
@@ -93,5 +93,5 @@ def topic_figures(spark: SparkSession, root: str) -> DataFrame:
     """The topic figures of every chunk."""
     from quillgraph.functions import embedding
 
-    rows = _chunks(spark, root).where(F.col("content").isNotNull()).select("chunk_id", embedding.figures("content").alias("f"))
+    rows = _raw(spark, root).where(F.col("content").isNotNull()).select("chunk_id", embedding.figures("content").alias("f")).dropDuplicates(["chunk_id"])
     return rows.select("chunk_id", *[F.round(F.col(f"f.{t}"), 6).alias(t) for t in embedding.TOPICS])

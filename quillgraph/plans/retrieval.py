@@ -20,6 +20,11 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select("chunk_id", "document_path", "content", "start_pos", "end_pos", "token_count", "staleness_score", "created_at").dropDuplicates(["chunk_id"])
 
 
+def _raw(spark: SparkSession, root: str) -> DataFrame:
+    """The chunk rows as they are.  What is computed row by row is computed first and repeated ids removed after, so no text is shuffled."""
+    return table(spark, root, "chunks").select("chunk_id", "document_path", "content", "start_pos", "end_pos", "token_count")
+
+
 def _index(spark: SparkSession, root: str) -> bm25.Index:
     return bm25.Index(_chunks(spark, root), "chunk_id", "content")
 
@@ -132,8 +137,8 @@ SELECT chunk_id, round(0.4 * present / {max(sum(min(len(t) / 8, 1.0) for t in TE
   + 0.3 * (1 - least((list_max(found) - list_min(found)) / 1000.0, 1.0)), 6) AS proximity FROM f WHERE len(found) > 0""")
 def proximity_scores(spark: SparkSession, root: str) -> DataFrame:
     """How close together a query's terms stand in every chunk that has one."""
-    scored = _chunks(spark, root).select("chunk_id", F.round(T.proximity("content", TERMS), 6).alias("proximity"))
-    return scored.where(F.col("proximity") > 0)
+    scored = _raw(spark, root).select("chunk_id", F.round(T.proximity("content", TERMS), 6).alias("proximity"))
+    return scored.where(F.col("proximity") > 0).dropDuplicates(["chunk_id"])
 
 
 @book.query(f"""WITH {CHUNKS}, r AS (SELECT chunk_id, unnest(string_split(content, chr(10))) AS line FROM c),
@@ -144,8 +149,9 @@ SELECT role, count(*)::BIGINT AS lines FROM (SELECT CASE WHEN x = '' THEN 'blank
  WHEN {' OR '.join("starts_with(x, '" + s + "')" for s in T.DEFINITION_STARTS)} THEN 'definition'
  WHEN {' OR '.join("starts_with(x, '" + s.replace("'", "''") + "')" for s in T.STRING_STARTS)} THEN 'string' ELSE 'code' END AS role FROM b) GROUP BY role""")
 def line_roles(spark: SparkSession, root: str) -> DataFrame:
-    lines = _chunks(spark, root).select(F.explode(F.split("content", "\n")).alias("line"))
-    return lines.groupBy(T.line_role("line").alias("role")).agg(F.count("*").alias("lines"))
+    roles = F.transform(F.split("content", "\n"), T.line_role)
+    counted = _raw(spark, root).select("chunk_id", roles.alias("r")).dropDuplicates(["chunk_id"])
+    return counted.select(F.explode("r").alias("role")).groupBy("role").agg(F.count("*").alias("lines"))
 
 
 @book.query(f"""WITH {CHUNKS}, l AS (SELECT chunk_id, content, string_split(content, chr(10)) AS lines FROM c WHERE content IS NOT NULL),
@@ -154,21 +160,23 @@ d AS (SELECT chunk_id, content, len(lines) AS n, length(content) AS k, length(co
  len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•]\\s'))) + len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[0-9]+[.)]\\s'))) AS marks FROM l)
 SELECT chunk_id, CASE WHEN content = '' THEN 0.0 ELSE round(least(1.0, 0.3 * greatest(0.0, 1 - (k - (n - 1)) / n / 80.0) + 0.3 * least(1.0, special / greatest(k, 1) * 10) + 0.2 * indented / n + 0.2 * marks / n), 6) END AS density FROM d""")
 def content_density(spark: SparkSession, root: str) -> DataFrame:
-    return _chunks(spark, root).where(F.col("content").isNotNull()).select("chunk_id", F.round(T.density("content"), 6).alias("density"))
+    rows = _raw(spark, root).where(F.col("content").isNotNull()).select("chunk_id", F.round(T.density("content"), 6).alias("density"))
+    return rows.dropDuplicates(["chunk_id"])
 
 
 @book.query(f"""WITH {CHUNKS} SELECT chunk_id, sha256(content) AS content_hash,
 substr(sha256(document_path || ':' || start_pos || ':' || end_pos || ':' || substr(sha256(content), 1, 16)), 1, 32) AS made_id FROM c WHERE content IS NOT NULL AND document_path IS NOT NULL""")
 def chunk_ids(spark: SparkSession, root: str) -> DataFrame:
     """The content hash of every chunk, and the id made from path, place and content."""
-    c = _chunks(spark, root).where(F.col("content").isNotNull() & F.col("document_path").isNotNull())
-    return c.select("chunk_id", T.content_hash("content").alias("content_hash"), T.chunk_id("document_path", "start_pos", "end_pos", "content").alias("made_id"))
+    c = _raw(spark, root).where(F.col("content").isNotNull() & F.col("document_path").isNotNull())
+    rows = c.select("chunk_id", T.content_hash("content").alias("content_hash"), T.chunk_id("document_path", "start_pos", "end_pos", "content").alias("made_id"))
+    return rows.dropDuplicates(["chunk_id"])
 
 
 @book.query()
 def estimated_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """The token estimate of every chunk."""
-    return _chunks(spark, root).select("chunk_id", T.estimated_tokens("content").alias("estimated_tokens"))
+    return _raw(spark, root).select("chunk_id", T.estimated_tokens("content").alias("estimated_tokens")).dropDuplicates(["chunk_id"])
 
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"

@@ -10,6 +10,7 @@ from quillgraph.operators import grep, store
 from quillgraph.operators import symbols as S
 from quillgraph.operators.incremental import normal_hash, text_hash
 from quillgraph.plans.base import Book
+from quillgraph.plans.retrieval import _raw as _all_rows
 from quillgraph.sources.tables import table
 
 book = Book()
@@ -26,11 +27,20 @@ r AS (SELECT chunk_id, document_path, line_in_chunk, line, CASE WHEN x = '' THEN
  WHEN {' OR '.join("starts_with(x, '" + s.replace("'", "''") + "')" for s in T.STRING_STARTS)} THEN 'string' ELSE 'code' END AS role FROM m)"""
 
 
+def _raw(spark: SparkSession, root: str) -> DataFrame:
+    return _all_rows(spark, root).where(F.col("chunk_id").isNotNull())
+
+
 def _chunks(spark: SparkSession, root: str) -> DataFrame:
     c = table(spark, root, "chunks").where(F.col("chunk_id").isNotNull())
     return c.select("chunk_id", "document_path", "content", "start_pos", "end_pos", "token_count").dropDuplicates(["chunk_id"])
 
 
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    """The lines with the literal: filtered in the scan, repeated chunks removed after, so only matching lines are shuffled."""
+    return grep.matching_lines(_raw(spark, root), LITERAL).dropDuplicates(["chunk_id", "line_in_chunk"])
+
+
 def _now() -> F.Column:
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -38,28 +48,28 @@ def _now() -> F.Column:
 @book.query(f"""WITH {C} SELECT chunk_id, document_path, start_pos, len(list_filter(range(1, length(content) + 1), lambda i: substr(content, i, {len(LITERAL)}) = '{LITERAL}'))::BIGINT AS matches
 FROM c WHERE contains(content, '{LITERAL}')""")
 def text_search_literal(spark: SparkSession, root: str) -> DataFrame:
-    return grep.matching_chunks(_chunks(spark, root), LITERAL)
+    return grep.matching_chunks(_raw(spark, root), LITERAL).dropDuplicates(["chunk_id"])
 
 
 @book.query(f"WITH {C}, m AS (SELECT chunk_id, document_path, start_pos, len(regexp_extract_all(content, '{REGEX}'))::BIGINT AS matches FROM c) SELECT * FROM m WHERE matches > 0")
 def text_search_regex(spark: SparkSession, root: str) -> DataFrame:
-    return grep.matching_chunks(_chunks(spark, root), REGEX, regex=True)
+    return grep.matching_chunks(_raw(spark, root), REGEX, regex=True).dropDuplicates(["chunk_id"])
 
 
 @book.query(f"WITH {LINES} SELECT role, count(*)::BIGINT AS matches, count(DISTINCT document_path)::BIGINT AS files FROM r GROUP BY role")
 def grep_by_role(spark: SparkSession, root: str) -> DataFrame:
-    return grep.grouped(grep.matching_lines(_chunks(spark, root), LITERAL), "role")
+    return grep.grouped(_lines(spark, root), "role")
 
 
 @book.query(f"WITH {LINES} SELECT document_path, count(*)::BIGINT AS matches, count(DISTINCT document_path)::BIGINT AS files FROM r GROUP BY document_path")
 def grep_by_file(spark: SparkSession, root: str) -> DataFrame:
-    lines = grep.matching_lines(_chunks(spark, root), LITERAL)
+    lines = _lines(spark, root)
     return lines.groupBy("document_path").agg(F.count("*").alias("matches"), F.count_distinct("document_path").alias("files"))
 
 
 @book.query(f"WITH {LINES} SELECT trim(regexp_replace(line, '\\s+', ' ', 'g')) AS excerpt, count(*)::BIGINT AS times, count(DISTINCT document_path)::BIGINT AS files FROM r GROUP BY excerpt HAVING count(*) >= 3")
 def grep_repeated(spark: SparkSession, root: str) -> DataFrame:
-    return grep.repeated_lines(grep.matching_lines(_chunks(spark, root), LITERAL))
+    return grep.repeated_lines(_lines(spark, root))
 
 
 BASE = """b AS (SELECT chunk_id, document_path, (1 + coalesce(sum(coalesce(length(content) - length(replace(content, chr(10), '')) + CASE WHEN suffix(content, chr(10)) THEN 0 ELSE 1 END, 1))
@@ -74,9 +84,7 @@ def base_lines(spark: SparkSession, root: str) -> DataFrame:
 @book.query(f"WITH {LINES}, {BASE} SELECT chunk_id, r.document_path, base_line + line_in_chunk - 1 AS line_number, role FROM r JOIN b USING (chunk_id)")
 def grep_lines(spark: SparkSession, root: str) -> DataFrame:
     """Every matching line with its line in the document."""
-    c = _chunks(spark, root)
-    lines = grep.matching_lines(c, LITERAL)
-    return lines.join(grep.base_lines(c).select("chunk_id", "base_line"), "chunk_id").select("chunk_id", "document_path", (F.col("base_line") + F.col("line_in_chunk") - 1).alias("line_number"), "role")
+    return _lines(spark, root).join(grep.base_lines(_chunks(spark, root)).select("chunk_id", "base_line"), "chunk_id").select("chunk_id", "document_path", (F.col("base_line") + F.col("line_in_chunk") - 1).alias("line_number"), "role")
 
 
 @book.query(f"""WITH {LINES}, d AS (SELECT DISTINCT ON (id) id, trim(name) AS name, lower(trim(role)) AS role, chunk_id, document_path, line_number FROM symbols)
@@ -85,7 +93,7 @@ GROUP BY r.chunk_id, line_in_chunk""")
 def enclosing_scope(spark: SparkSession, root: str) -> DataFrame:
     """The definition around every matching line."""
     d = S.cleaned(table(spark, root, "symbols")).where(F.col("role") == "definition")
-    return grep.with_scope(grep.matching_lines(_chunks(spark, root), LITERAL).select("chunk_id", "line_in_chunk"), d)
+    return grep.with_scope(_lines(spark, root).select("chunk_id", "line_in_chunk"), d)
 
 
 @book.query("SELECT doc_id, document_path FROM documents WHERE indexed_at IS NOT NULL ORDER BY indexed_at DESC, doc_id LIMIT 20")
