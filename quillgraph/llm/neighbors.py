@@ -206,7 +206,7 @@ def candidates(v: DataFrame, books: np.ndarray, depth: int, floor: float, limit:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: str, dim: int, k: int, threshold: float, slack: float = 0.2, sample: int = SAMPLE) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: str, dim: int, k: int, threshold: float, slack: float = 0.25, sample: int = SAMPLE) -> DataFrame:
     """(a, b, similarity): pairs of ids at or above the threshold of which one is among the k most similar of the other."""
     vectors, members = current(df, id_col, version_col, vector_col, dim)
     n = vectors.count()
