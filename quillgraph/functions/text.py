@@ -53,19 +53,16 @@ def estimated_tokens(text: Column | str) -> Column:
     """An estimate of a text's BPE tokens: pieces of a fixed pattern, less the pairs that BPE usually joins.
 
     A blank piece joins the piece after it and a punctuation sign the sign after it, from left to right and each piece
-    once.  The pattern's pieces are disjoint, so "pending" is all the state a pass needs.
+    once.  The text is rewritten with one sign a piece (word, blank, punctuation); the joined pairs are then the
+    leftmost matches of one pattern, so the whole needs no array and no fold.
     """
-    pieces = F.regexp_extract_all(
-        col(text), F.lit(rf"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[^{WORD_SIGN}]|$)|[0-9]+|[^{WORD_SIGN}\s]|\s+"), F.lit(0)
-    )
-    kinds = F.transform(pieces, lambda p: F.when(p.rlike(r"^\s"), 1).when(p.rlike(rf"^[^{WORD_SIGN}\s]$"), 2).otherwise(0))
-
-    def step(state: Column, kind: Column) -> Column:
-        joined = ((state["open"] == 1) & (kind != 1)) | ((state["open"] == 2) & (kind == 2))
-        return F.struct(F.when(joined, F.lit(0)).otherwise(kind).alias("open"), (state["n"] + F.when(joined, 0).otherwise(1)).alias("n"))
-
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
-    return F.greatest(F.lit(1), F.aggregate(kinds, start, step, lambda s: s["n"])).cast("long")
+    word, blank, sign = "\u0001", "\u0002", "\u0003"
+    kinds = F.translate(col(text), word + blank + sign, "!!!")
+    kinds = F.regexp_replace(kinds, rf"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[^{WORD_SIGN}]|$)|[0-9]+", word)
+    kinds = F.regexp_replace(kinds, r"\s+", blank)
+    kinds = F.regexp_replace(kinds, f"[{WORD_SIGN}]+", "")  # what the pattern passes over
+    kinds = F.regexp_replace(kinds, f"[^{word}{blank}]", sign)
+    return F.greatest(F.lit(1), F.char_length(F.regexp_replace(kinds, f"{blank}[{word}{sign}]|{sign}{sign}", sign))).cast("long")
 
 
 def density(text: Column | str) -> Column:

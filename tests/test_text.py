@@ -54,6 +54,14 @@ def test_estimated_tokens(spark, text):
     assert one(spark, text, T.estimated_tokens("x")) == tokens(text)
 
 
+def test_estimated_tokens_of_many(spark):
+    rng = random.Random(5)
+    signs = ["a", "Bc", "HTTP", "X", "1", "_", "é", "日", " ", "\n", "\t ", "(", ")", ":", "=", "\u0001", "\u0002", "."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", T.estimated_tokens("x").alias("n")).collect()
+    assert [(texts[r["i"]], r["n"], tokens(texts[r["i"]])) for r in rows if r["n"] != tokens(texts[r["i"]])] == []
+
+
 @pytest.mark.parametrize(("line", "role"), [("", "blank"), ("   ", "blank"), ("#include <a>", "comment"), ("  // x", "comment"), ("import os", "import"), ("async def f():", "definition"), ('"""doc', "string"), ("x = 1", "code")])
 def test_line_role(spark, line, role):
     assert one(spark, line, T.line_role("x")) == role
