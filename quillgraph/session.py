@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -90,6 +91,9 @@ def materialize_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{made}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
+    try:
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
+    except AnalysisException:  # a catalog that takes no such table: the join shuffles instead
+        return materialize(df, name)
     _WRITTEN.append((spark, path, made))
     return spark.table(made)
