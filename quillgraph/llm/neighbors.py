@@ -4,12 +4,15 @@ A vector is approximated by the sum of one entry from each of CODEBOOKS full-dim
 entries.  The codebooks are fitted by k-means on the residuals of a bounded sample (SAMPLE vectors, the least hashes of
 the ids); every vector is indexed.  Encoding is a beam search.  The first ``depth`` codes of each of the BEAM best paths
 are the vector's lists, so near vectors, whose paths differ in order of quality only, share a list.  The depth follows
-from the number of vectors, so that lists stay small, and ends where codes would tell near vectors apart.  Within a list, pairs are scored from the codes alone: a table of
-all products of codebook entries gives the product of two sums by lookups, divided by the stored norms.  Pairs within
-``slack`` of the threshold are scored exactly on the vectors.
-
-Lists beyond LIMIT members are branched again by ``depth + 2`` codes; what is still large at the last codebook is
-compared exactly in blocks.  Equal vectors are one class; a class shows at most k + 1 members to each partner, which
+from the number of vectors, so that lists stay small, and ends where codes would tell near vectors apart.  That is also
+judged path by path: a path ends at the code that leaves over at most CLEAR times the distance at the threshold, and one
+that leaves over little more is listed there besides going on, so that it meets near vectors whose paths end.  Within a
+list, pairs are scored from the codes alone: a table of all products of codebook entries gives the product of two sums by
+lookups, divided by the stored norms.  Pairs within ``slack`` of the threshold are scored exactly on the vectors.
+
+In lists beyond LIMIT members, paths that go on are branched again by ``depth + 2`` codes; those that end, as in a dense
+group of different vectors, are compared exactly on the vectors in salted blocks of about BLOCK members, of which each
+pair of blocks yields the k + 1 nearest of every member.  That work grows with the square of such a group.  Equal vectors are one class; a class shows at most k + 1 members to each partner, which
 is all that k neighbours can need, so a hot vector costs k rows a copy and not a square.
 
 Defined results: a vector that is null, of another length, zero, or holds a NaN, null or infinity is similar to none; of
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import grouping as G
 from quillgraph.session import materialize, materialize_by
 
-CODEBOOKS, ENTRIES, BEAM, SAMPLE, LIMIT, ROUNDS = 10, 64, 8, 16_384, 1024, 8
+CODEBOOKS, ENTRIES, BEAM, SAMPLE, LIMIT, ROUNDS, BLOCK = 10, 64, 8, 16_384, 1024, 8, 4096
 #: Codes name a vector's lists only while what is left to encode is this many times the distance at the threshold.
 CLEAR = 1.5
 
@@ -85,14 +88,18 @@ def fit(x: np.ndarray, books: int = CODEBOOKS, entries: int = ENTRIES, rounds: i
     return out
 
 
-def encode(x: np.ndarray, books: np.ndarray, depth: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(paths (n, beam, depth) of the beam at ``depth``, best full codes (n, books), norms of the approximations)."""
+def encode(x: np.ndarray, books: np.ndarray, depth: int, beam: int = BEAM) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(levels, best full codes (n, books), norms of the approximations).
+
+    A level is (paths (n, beam, m), what each leaves over (n, beam), the places of their parents) for m codes up to ``depth``.
+    """
     m_all, k, _ = books.shape
     n, x = len(x), x.astype(np.float32)
     sq = (books * books).sum(2)
+    own = (x * x).sum(1)[:, None]
     paths = np.zeros((n, 1, 0), np.int64)
     cost = np.zeros((n, 1), np.float32)
-    lists = None
+    levels = []
     for m in range(m_all):
         new = cost[:, :, None] + (sq[m] - 2 * x @ books[m].T)[:, None, :]
         for q in range(m):
@@ -102,11 +109,11 @@ def encode(x: np.ndarray, books: np.ndarray, depth: int, beam: int = BEAM) -> tu
         top = np.argpartition(flat, width - 1, 1)[:, :width]
         cost = np.take_along_axis(flat, top, 1)
         paths = np.concatenate([np.take_along_axis(paths, (top // k)[:, :, None], 1), (top % k)[:, :, None]], 2)
-        if m + 1 == depth:
-            lists = paths.copy()
+        if m < depth:
+            levels.append((paths, np.sqrt(np.maximum(own + cost, 0)), top // k))
     best = np.take_along_axis(paths, np.argmin(cost, 1)[:, None, None], 1)[:, 0]
     approx = sum(books[m][best[:, m]] for m in range(m_all))
-    return lists, best.astype(np.uint8), np.sqrt((approx * approx).sum(1))
+    return levels, best.astype(np.uint8), np.sqrt((approx * approx).sum(1))
 
 
 def left_over(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -118,14 +125,23 @@ def left_over(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def apart(threshold: float) -> float:
+    """The distance of two unit vectors whose cosine is ``threshold``."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold))
+
+
 def list_depth(n: int, left: np.ndarray, threshold: float) -> int:
     """The codes a list is made of: with ENTRIES ** (depth - 1) of the order of n a list holds a few vectors."""
-    clear = int((left > CLEAR * math.sqrt(max(0.0, 2 - 2 * threshold))).sum())
+    clear = int((left > CLEAR * apart(threshold)).sum())
     return max(1, min(CODEBOOKS - 2, clear, 1 + math.ceil(math.log(max(n, 2) / 2, ENTRIES))))
 
 
-def _indexed(v: DataFrame, books: np.ndarray, depth: int) -> DataFrame:
-    """(list, vid, code, norm): the entries of every vector in its lists."""
+def _indexed(v: DataFrame, books: np.ndarray, depth: int, near: float, above: int = 0) -> DataFrame:
+    """(list, vid, code, norm, ends, goes_on): the entries of every vector in its lists of more than ``above`` codes.
+
+    ``near`` is the distance at the threshold.  An entry that ends must meet its list at this depth; one that goes on has
+    codes left that do not tell near vectors apart.
+    """
     dim = books.shape[2]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +149,24 @@ def _indexed(v: DataFrame, books: np.ndarray, depth: int) -> DataFrame:
             at, x = unit_rows(b[1], dim)
             for lo in range(0, len(at), 2000):
                 part = at[lo : lo + 2000]
-                paths, code, norm = encode(x[lo : lo + 2000], books, depth)
-                key = np.zeros(paths.shape[:2], np.int64)
-                for q in range(depth):
-                    key = key * ENTRIES + paths[:, :, q]
-                w = key.shape[1]
+                levels, code, norm = encode(x[lo : lo + 2000], books, depth)
                 vid = b[0].take(pa.array(part)).to_numpy(zero_copy_only=False)
-                codes = [c.tobytes() for c in code]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel()), pa.array(np.repeat(vid, w)), pa.array([c for c in codes for _ in range(w)], pa.binary()), pa.array(np.repeat(norm, w).astype(np.float32))],
-                    ["list", "vid", "code", "norm"],
-                )
-
-    return v.select("vid", "v").mapInArrow(work, "list bigint, vid bigint, code binary, norm float")
+                codes = np.array([c.tobytes() for c in code], object)
+                key, on = np.ones((len(part), 1), np.int64), np.ones((len(part), 1), bool)
+                for m, (paths, rest, parent) in enumerate(levels, 1):
+                    key = np.take_along_axis(key, parent, 1) * ENTRIES + paths[:, :, m - 1]  # begins with 1, so depths differ
+                    on = np.take_along_axis(on, parent, 1)
+                    ends = rest <= (CLEAR + 0.5) * near
+                    listed = on & (ends | (m == depth)) if m > above else np.zeros_like(on)
+                    on = on & (rest > CLEAR * near)
+                    i, j = np.nonzero(listed)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key[i, j]), pa.array(vid[i]), pa.array(codes[i], pa.binary()), pa.array(norm[i].astype(np.float32)), pa.array(ends[i, j]), pa.array(on[i, j])],
+                            ["list", "vid", "code", "norm", "ends", "goes_on"],
+                        )
+
+    return v.select("vid", "v").mapInArrow(work, "list bigint, vid bigint, code binary, norm float, ends boolean, goes_on boolean")
 
 
 def _scored(lists: DataFrame, books: np.ndarray, floor: float) -> DataFrame:
@@ -187,23 +208,78 @@ def _scored(lists: DataFrame, books: np.ndarray, floor: float) -> DataFrame:
     return lists.select("members").mapInArrow(score, "a bigint, b bigint")
 
 
-def candidates(v: DataFrame, books: np.ndarray, depth: int, floor: float, limit: int = LIMIT) -> DataFrame:
-    """Distinct (a, b) vids that share a list and pass the looked-up score."""
-    found, level = [], v
+def nearest(x: np.ndarray, y: np.ndarray, most: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity): for every row of x its ``most`` nearest rows of y at the threshold or above, ties by place; ``same``: not itself."""
+    out = []
+    for lo in range(0, len(x), 256):
+        s = np.round(x[lo : lo + 256] @ y.T, 9)
+        if same:
+            s[np.arange(len(s)), lo + np.arange(len(s))] = -2
+        least = np.full((len(s), 1), threshold)
+        if s.shape[1] > most:
+            least = np.maximum(least, np.partition(s, s.shape[1] - most, 1)[:, s.shape[1] - most, None])
+        keep = s >= least
+        crowded = np.flatnonzero(keep.sum(1) > most)
+        for r in crowded.tolist():
+            at = np.flatnonzero(keep[r])
+            keep[r] = False
+            keep[r, at[np.argsort(-s[r, at], kind="stable")[:most]]] = True
+        i, j = np.nonzero(keep)
+        out.append((i + lo, j, s[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _blocked(big: DataFrame, v: DataFrame, dim: int, most: int, threshold: float, block: int) -> DataFrame:
+    """(a, b, similarity): the ``most`` nearest of each member of the lists in ``big`` (list, vid), exactly; each task meets one pair of blocks."""
+    sizes = big.groupBy("list").agg(F.ceil(F.count("*") / block).alias("_nb"))
+    b = big.join(sizes, "list").withColumn("_b", F.pmod(F.xxhash64("vid", F.lit(5)), F.col("_nb"))).join(v.select("vid", "v"), "vid")
+    left = b.select("list", F.col("_b").alias("_x"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_y"), "vid", "v")
+    right = b.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_x"), F.col("_b").alias("_y"), "vid", "v").toDF("_l", "_p", "_q", "_vid", "_v")
+
+    def rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        t = t.combine_chunks().sort_by(t.column_names[3])
+        at, x = unit_rows(t[4].combine_chunks(), dim)
+        return t[3].to_numpy()[at], x
+
+    def meet(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        (a, x), (c, y) = rows(p), rows(q)
+        same = key[1].as_py() == key[2].as_py()
+        i, j, s = nearest(x, y, most, threshold, same)
+        a_all, b_all, s_all = [a[i]], [c[j]], [s]
+        if not same:
+            j, i, s = nearest(y, x, most, threshold, same)
+            a_all, b_all, s_all = [*a_all, c[j]], [*b_all, a[i]], [*s_all, s]
+        return pa.table({"a": np.concatenate(a_all), "b": np.concatenate(b_all), "similarity": np.concatenate(s_all)})
+
+    met = left.groupBy("list", "_x", "_y").cogroup(right.groupBy("_l", "_p", "_q")).applyInArrow(meet, "a bigint, b bigint, similarity double")
+    met = materialize(met, "p7-met").dropDuplicates(["a", "b"])
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("_r") <= most).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"
+    )
+
+
+def candidates(v: DataFrame, books: np.ndarray, depth: int, floor: float, most: int, threshold: float, limit: int = LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, exact): distinct (a, b) vids that share a list within the limit and pass the looked-up score; (a, b, similarity) from lists beyond it, if any."""
+    found, ended, level, above = [], [], v, 0
     while True:
-        entries = materialize(_indexed(level, books, depth), "p7-entries")
+        entries = materialize(_indexed(level, books, depth, apart(threshold), above), "p7-entries")
         sizes = G.sized(entries, "list")
         small = G.within_limit(entries, sizes, "list", limit).groupBy("list").agg(F.collect_list(F.struct("vid", "code", "norm")).alias("members"))
         found.append(_scored(small, books, floor))
-        big = materialize(G.beyond_limit(entries.select("list", "vid"), sizes, "list", limit), "p7-big")
+        big = materialize(G.beyond_limit(entries.select("list", "vid", "ends", "goes_on"), sizes, "list", limit), "p7-big")
         if big.isEmpty():
             break
-        if depth == CODEBOOKS:
-            found.append(G.block_pairs(big, "list", "vid", limit))
+        last = depth == CODEBOOKS
+        ended.append((big if last else big.where("ends")).select("list", "vid"))
+        on = big.where("goes_on").select("vid").distinct()
+        if last or on.isEmpty():
             break
-        depth = min(CODEBOOKS, depth + 2)
-        level = v.join(big.select("vid").distinct(), "vid", "left_semi")
-    return reduce(DataFrame.unionByName, found).distinct()
+        above, depth = depth, min(CODEBOOKS, depth + 2)
+        level = v.join(on, "vid", "left_semi")
+    exact = None
+    if ended:
+        exact = _blocked(reduce(DataFrame.unionByName, ended), v, books.shape[2], most, threshold, max(limit, BLOCK))
+    return reduce(DataFrame.unionByName, found).distinct(), exact
 
 
 def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: str, dim: int, k: int, threshold: float, slack: float = 0.25, sample: int = SAMPLE) -> DataFrame:
@@ -219,7 +295,7 @@ def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: st
     if not len(at):
         return df.sparkSession.createDataFrame([], "a string, b string, similarity double")
     books = fit(x)
-    pairs = candidates(vectors, books, list_depth(n, left_over(x, books), threshold), threshold - slack)
+    pairs, blocked = candidates(vectors, books, list_depth(n, left_over(x, books), threshold), threshold - slack, k + 1, threshold)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,6 +312,8 @@ def similar_vectors(df: DataFrame, id_col: str, version_col: str, vector_col: st
         .where(F.col("similarity") >= threshold),
         "p7-near",
     )
+    if blocked is not None:
+        near = materialize(near.unionByName(blocked).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "p7-all")
     return _ranked(near, members, k)
 
 

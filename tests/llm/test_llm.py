@@ -246,6 +246,22 @@ def test_neighbors(spark, monkeypatch, limit):
     assert neighbors.similar_vectors(df.where("false"), "id", "version", "sig", 16, 3, 0.95).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 300])
+def test_neighbors_in_a_dense_group(spark, monkeypatch, block):
+    """A third of the vectors are near each other but different: their lists are finished exactly."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(neighbors.candidates, "__defaults__", (100,))
+    monkeypatch.setattr(neighbors, "BLOCK", block, raising=False)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    spread = lambda c, n, far: unit(unit(c) + unit(rng.normal(size=(n, 64))) * far)
+    x = np.concatenate([spread(rng.normal(size=64), 1000, 0.2), *(spread(rng.normal(size=64), 20, 0.7) for _ in range(98)), *(spread(rng.normal(size=64), 2, 0.1) for _ in range(20))])
+    vectors = {f"v{i:04}": r for i, r in enumerate(x)}
+    df = spark.createDataFrame([(i, 1, r.tolist()) for i, r in vectors.items()], "id string, version long, sig array<float>")
+    got = {(r["a"], r["b"]) for r in neighbors.similar_vectors(df, "id", "version", "sig", 64, 15, 0.95).collect()}
+    want = brute_near(vectors, 15, 0.95)
+    assert len(want) > 8000 and len(got & want) >= 0.995 * len(want) and len(got & want) >= 0.995 * len(got)
+
+
 def test_neighbors_copies_stay_linear(spark):
     df = spark.createDataFrame([(f"c{i:03}", 1, [1.0, 2.0, 3.0, 4.0]) for i in range(60)], "id string, version long, sig array<float>")
     got = {(r["a"], r["b"]) for r in neighbors.similar_vectors(df, "id", "version", "sig", 4, 5, 0.9).collect()}
