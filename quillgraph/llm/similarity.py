@@ -5,12 +5,15 @@ minwise token (the shingle that has the least value under one of POSITIONS hash
 of TREES independent trees a node branches its members: the node's path chooses BRANCHES of the positions, and members
 with the same minwise token at a chosen position go to the same child, so a pair of similarity s shares a child with
 probability 1 - (1 - s) ** BRANCHES.  Nodes of at most LIMIT members are compared exhaustively, larger ones branch
-again, and those left at MAX_DEPTH are compared exactly in blocks.  Members of a node are compared by a sketch first
-(eight bits of each minwise token); a pair at the threshold passes it but for MISSED.  Every pair that passes is
-verified on the whole sets.
+again, and those left at MAX_DEPTH are compared exactly in blocks of about BLOCK members.  Members of a node are compared
+by a sketch first (eight bits of the first SKETCHED minwise tokens); a pair at the threshold passes it but for MISSED.
+Every pair that passes is verified on the whole sets.
 
-With BRANCHES = 2, a pair at 0.6 survives one level with 0.84, two with 0.75, three with 0.70; five trees miss it with
-probability 0.0001, 0.0009, 0.0024.  The trees of a level are one job; levels follow only for large nodes.
+The positions below the root are the tree's own, DEEPER of them, so trees fail independently.  With BRANCHES = 2, a pair
+at 0.6 shares a root child with 0.84.  As the nodes of a level draw from the same DEEPER positions, a simulation of
+them stands for a formula: five trees miss such a pair with probability 0.0001 at one level, 0.0009 at two and 0.0034
+at three, which is MAX_DEPTH.  The blocks' work grows with the square of a node that is still large there.  The trees of
+a level are one job; levels follow only for large nodes.
 
 Defined results: null ids are left out; null texts and texts of fewer than ``min_words`` words are in no class; a
 repeated id counts once; equal texts are one class.
@@ -26,14 +29,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm import grouping as G
 from quillgraph.session import materialize, materialize_by
 
-TREES, BRANCHES, DEEPER, LIMIT, MAX_DEPTH = 5, 2, 14, 48, 6
-POSITIONS = TREES * BRANCHES + DEEPER
+TREES, BRANCHES, DEEPER, LIMIT, MAX_DEPTH = 5, 2, 8, 48, 3
+POSITIONS = TREES * (BRANCHES + DEEPER)
+#: The sketch is taken of the first positions, eight to a 64-bit number.
+SKETCHED = 24
+#: Members of a block of what is still large at MAX_DEPTH.
+BLOCK = 4096
 #: Nodes with more rows than this are hot: they branch without being brought together in one task first.
 HOT = 200_000
 #: The probability with which the sketch may lose a pair that is just at the threshold.
@@ -83,8 +89,8 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """Eight bits of each minwise token, packed in three 64-bit numbers."""
-    t = tokens.view(np.uint32)
+    """Eight bits of each of the first SKETCHED minwise tokens, packed in three 64-bit numbers."""
+    t = tokens[:SKETCHED].view(np.uint32)
     return np.ascontiguousarray(((t ^ (t >> np.uint32(13))) & np.uint32(0xFF)).astype(np.uint8)).view(np.int64)
 
 
@@ -92,8 +98,8 @@ def least_agreement(threshold: float, missed: float = MISSED) -> int:
     """The positions in which two sketches must agree, so that a pair at the threshold falls short with probability ``missed`` at most."""
     below, c = 0.0, 0
     while True:
-        below += math.comb(POSITIONS, c) * threshold**c * (1 - threshold) ** (POSITIONS - c)
-        if below > missed or c == POSITIONS:
+        below += math.comb(SKETCHED, c) * threshold**c * (1 - threshold) ** (SKETCHED - c)
+        if below > missed or c == SKETCHED:
             return c
         c += 1
 
@@ -134,12 +140,19 @@ _CLASS = ("cid", "k0", "k1", "k2")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """The next level: the node's own hash chooses BRANCHES different positions of the deeper pool."""
+    """The next level: the node's own hash chooses BRANCHES different positions of its tree's deeper pool; a node number's remainder by TREES is its tree."""
+    tree = F.pmod("node", F.lit(TREES))
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(DEEPER))
     offset = 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(DEEPER - 1))
-    at = nodes.select("node", *_CLASS, "sig", F.explode(F.array(first, F.pmod(first + offset, F.lit(DEEPER)))).alias("_p"))
-    token = F.element_at("sig", (F.col("_p") + TREES * BRANCHES + 1).cast("int"))
-    return at.select(F.xxhash64("node", "_p", token).alias("node"), *_CLASS)
+    at = nodes.select("node", *_CLASS, "sig", tree.alias("_tree"), F.explode(F.array(first, F.pmod(first + offset, F.lit(DEEPER)))).alias("_p"))
+    token = F.element_at("sig", (TREES * BRANCHES + F.col("_tree") * DEEPER + F.col("_p") + 1).cast("int"))
+    return at.select(_numbered(F.xxhash64("node", "_p", token), F.col("_tree")).alias("node"), *_CLASS)
+
+
+def _numbered(h: Column, tree: Column) -> Column:
+    """The node number made of a hash and the node's tree."""
+    h = F.shiftright(h, 3)
+    return h - F.pmod(h, F.lit(TREES)) + tree
 
 
 def _met(limit: int, agree: int):  # noqa: ANN202
@@ -149,7 +162,7 @@ def _met(limit: int, agree: int):  # noqa: ANN202
     """
     i, j = np.triu_indices(limit, 1)
     upto = [np.flatnonzero(j < n) for n in range(limit + 1)]
-    none = np.empty(0, np.int64), np.empty((0, POSITIONS), np.uint8)
+    none = np.empty(0, np.int64), np.empty((0, SKETCHED), np.uint8)
 
     def close(held: tuple[np.ndarray, np.ndarray], out: list) -> None:
         c, k = held
@@ -221,10 +234,35 @@ def _level(level: DataFrame, limit: int, hot: int, agree: int) -> DataFrame:
     return cold.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_met(limit, agree), schema).unionByName(passed)
 
 
+def _blocked(big: DataFrame, block: int, agree: int) -> DataFrame:
+    """(a, b): every pair of classes in a node of ``big`` whose sketches agree, exactly; each task meets one pair of blocks."""
+    sizes = big.groupBy("node").agg(F.ceil(F.count("*") / block).alias("_nb"))
+    b = big.join(sizes, "node").withColumn("_b", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("_nb")))
+    left = b.select("node", F.col("_b").alias("_x"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_y"), *_CLASS)
+    right = b.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_x"), F.col("_b").alias("_y"), *_CLASS)
+    right = right.toDF("_l", "_p", "_q", *(f"_{c}" for c in _CLASS))
+
+    def rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        cid, *k = (c.to_numpy() for c in t.combine_chunks().columns[3:])
+        once = np.unique(cid, return_index=True)[1]
+        return cid[once], np.stack([c[once] for c in k], 1).view(np.uint8)
+
+    def meet(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        (a, x), (c, y) = rows(p), rows(q)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for i in range(len(a)):  # within one block, each pair once
+            j = np.flatnonzero((y[i + 1 :] == x[i]).sum(1) >= agree) + i + 1 if key[1] == key[2] else np.flatnonzero((y == x[i]).sum(1) >= agree)
+            out.append((np.full(len(j), a[i]), c[j]))
+        a, c = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"a": np.minimum(a, c), "b": np.maximum(a, c)})
+
+    return left.groupBy("node", "_x", "_y").cogroup(right.groupBy("_l", "_p", "_q")).applyInArrow(meet, "a bigint, b bigint")
+
+
 def candidates(classes: DataFrame, threshold: float, limit: int = LIMIT, max_depth: int = MAX_DEPTH, hot: int = HOT) -> DataFrame:
     """Distinct (a, b), a before b, of the class numbers that met in a node of some tree."""
     roots = classes.select(*_CLASS, F.posexplode(F.slice("sig", 1, TREES * BRANCHES)).alias("_p", "_t"))
-    level = roots.select(F.xxhash64("_p", "_t").alias("node"), *_CLASS)
+    level = roots.select(_numbered(F.xxhash64("_p", "_t"), F.floor(F.col("_p") / BRANCHES)).alias("node"), *_CLASS)
     found = []
     for depth in range(1, max_depth + 1):
         met = materialize(_level(level, limit, hot, least_agreement(threshold)), "p3-met")
@@ -233,8 +271,7 @@ def candidates(classes: DataFrame, threshold: float, limit: int = LIMIT, max_dep
         if big.isEmpty():
             break
         if depth == max_depth:
-            sizes = big.groupBy("node").agg(F.count("*").alias("n"))
-            found.append(G.block_pairs(big.join(sizes, "node"), "node", "cid", limit))
+            found.append(_blocked(big.join(classes.select(*_CLASS), "cid"), max(limit, BLOCK), least_agreement(threshold)))
         else:
             level = _children(big.join(classes.select(*_CLASS, "sig"), "cid"))
     return reduce(DataFrame.unionByName, found).distinct()

@@ -194,6 +194,25 @@ def test_similarity_of_common_templates(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 15
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_similarity_of_a_hot_group(spark, monkeypatch, block):
+    """Edits of one text, all near the threshold: their nodes stay large to the last level."""
+    monkeypatch.setattr(similarity, "BLOCK", block, raising=False)
+    rng = random.Random(15)
+    base = [f"{rng.choice(WORDS)}{i}" for i in range(200)]
+    texts = {}
+    for i in range(300):
+        w = list(base)
+        for j in rng.sample(range(200), 8):
+            w[j] = f"e{i}x{j}"
+        texts[f"h{i:03}"] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "id string, content string")
+    links, members = similarity.similar_classes(df, "id", "content", 0.6, shingle=3, min_words=20)
+    got = {(r["a"], r["b"]) for r in similarity.expand_pairs(links, members).collect()}
+    want = brute_pairs(texts, 3, 20, 0.6)
+    assert got <= want and len(want) > 30_000 and len(got) >= 0.995 * len(want)
+
+
 def test_similarity_empty(spark):
     df = spark.createDataFrame([], "id string, content string")
     links, members = similarity.similar_classes(df, "id", "content", 0.8)
