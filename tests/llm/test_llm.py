@@ -399,6 +399,20 @@ def test_personal(spark):
         personal.gazetteer(people, most=2)
 
 
+@pytest.mark.parametrize(
+    ("kind", "span"),
+    [
+        ("id_number", "C01X00T47"), ("id_number", "964-71-2210"), ("address", "12bis rue de la Paix"), ("address", "12-B Baker Street"),
+        ("address", "12 bis rue de la Paix"), ("phone", "01 42 68 53 00"), ("phone", "1-800-555-0199"), ("phone", "415-555-0156"),
+    ],
+)
+def test_every_form_is_a_candidate(kind, span):
+    """What the full patterns accept is offered to the labelers."""
+    text = "the first line\npassport: " * (kind == "id_number") + span + ", as noted"
+    got = [(personal.KINDS[k], text[s:e]) for k, s, e, _ in personal.candidates_of(text, set(), set(), re.compile("(?!)"))]
+    assert (kind, span) in got
+
+
 def test_reliabilities():
     rng = random.Random(0)
     rows = Counter()
