@@ -413,6 +413,18 @@ def test_every_form_is_a_candidate(kind, span):
     assert (kind, span) in got
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Ask Jane Doe about it", "Jane Doe"), ("Contact Jane Doe, please", "Jane Doe"), ("Dear Jane Doe", "Jane Doe"), ("Dear Mr Jane Doe", "Jane Doe"),
+        ("Reported By Jane K. Doe", "Jane K. Doe"), ("Ask Jane Doe Monday", "Jane Doe"), ("fixed by Łukasz Nowak", "Łukasz Nowak"), ("see Šárka Dvořák.", "Šárka Dvořák"),
+    ],
+)
+def test_unlisted_names_are_candidates(text, name):
+    got = [text[s:e] for k, s, e, _ in personal.candidates_of(text, set(), set(), re.compile("(?!)")) if k == 4]
+    assert name in got
+
+
 def test_reliabilities():
     rng = random.Random(0)
     rows = Counter()
