@@ -2,13 +2,15 @@
 
 Statistics of each text: maximum and mean line length, shares of white space, of letters and digits, of digits in
 number literals, of long encoded runs, and of lines that carry a long token.  A file is judged by the thresholds of its
-kind (code, or structured data such as JSON and TOML); prose is never judged.  Two signs beside the layout decide alone,
+kind (code, or structured data such as JSON and TOML); prose is never judged, and of files of an unknown kind only the two
+signs that follow are.  Two signs beside the layout decide alone,
 as copies of libraries are laid out like any code: a folder that holds third-party code (whole path segments only), and
 a first comment that declares a generator or a bundled licence (at the start of the comment, so that comments which
 mention or handle such marks do not count).
 
 Defined results: null, empty and blank texts are no cases; a null path has no folder and no extension, so the language
-column decides the kind; an unknown kind is taken as prose.
+column decides the kind, as it does for an extension outside the lists; without an extension an unknown kind is taken as
+prose, and so is one whose language is a natural one.
 """
 
 from __future__ import annotations
@@ -17,14 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions and language names by kind.
-CODE = "py pyw js jsx mjs cjs ts tsx go java kt scala c cc cpp h hpp cs rs rb php swift sh css".split()
-DATA = "json yaml yml toml lock snap xml ini cfg csv".split()
+CODE = "py pyw js jsx mjs cjs ts tsx go java kt scala c cc cpp h hpp cs rs rb php swift sh css cxx hxx hh lua vue svelte scss sass less sql pl pm r dart ex exs erl hs clj groovy ps1".split()
+DATA = "json yaml yml toml lock snap xml ini cfg csv sum".split()
+PROSE = "md mdx markdown rst txt adoc asciidoc org tex".split()
 CODE_NAMES = "python javascript typescript go java kotlin scala c c++ rust ruby php".split()
 DATA_NAMES = "json yaml toml text".split()
+PROSE_NAMES = "markdown restructuredtext rst asciidoc tex latex".split()
 
 # Folders of third-party code.
 THIRD_PARTY = "vendor vendored node_modules bower_components third_party third-party thirdparty 3rdparty site-packages external deps".split()
 
+#: A released script: name and version, among static files.
+RELEASED = r"(?:^|/)(?:static|public|assets|dist|www|wwwroot)/(?:.*/)?[a-z][\w.]*(?:-[a-z][\w.]*)*-v?\d+(?:\.\d+)+(?:[.-](?:min|slim|umd|bundle))*\.(?:m?js|css)$"
+
 _COMMENT = r"^\s*(?:/\*+!?|//+!?|#+!?|<!--|--|;+|\"\"\"|\*)?\s*"
 _GENERATOR = (
     r"(?:code generated (?:by|from)|auto-?\s?generated (?:by|from|file|code)|@generated\b|<auto-?generated|"
@@ -65,17 +72,19 @@ def layout(df: DataFrame, text: str) -> DataFrame:
 
 
 def kind_of(path: Column, language: Column) -> Column:
-    """'code', 'data' or 'prose', from the extension, else from the language."""
+    """'code', 'data', 'prose' or 'other' (an extension and a language outside the lists), from the extension, else from the language."""
     ext = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     name = F.lower(F.trim(F.coalesce(language, F.lit(""))))
-    by_name = F.when(name.isin(CODE_NAMES), "code").when(name.isin(DATA_NAMES), "data").otherwise("prose")
-    return F.when(ext.isin(CODE), "code").when(ext.isin(DATA), "data").when(ext != "", "prose").otherwise(by_name)
+    by_name = F.when(name.isin(CODE_NAMES), "code").when(name.isin(DATA_NAMES), "data").when(
+        (ext == "") | name.isin(PROSE_NAMES) | name.rlike("^[a-z]{2}(?:[-_][a-z]{2,4})?$"), "prose"
+    ).otherwise("other")
+    return F.when(ext.isin(CODE), "code").when(ext.isin(DATA), "data").when(ext.isin(PROSE), "prose").otherwise(by_name)
 
 
 def third_party(path: Column) -> Column:
     """Whether a folder of the path holds third-party code, or the file is a released script (name and version) among static files."""
     p = F.lower(F.coalesce(path, F.lit("")))
-    return p.rlike("(?:^|/)(?:" + "|".join(THIRD_PARTY) + ")/")
+    return p.rlike("(?:^|/)(?:" + "|".join(THIRD_PARTY) + ")/") | p.rlike(RELEASED)
 
 
 def machine_layout(kind: Column) -> Column:

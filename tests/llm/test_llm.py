@@ -107,6 +107,21 @@ def test_generated(spark, path, text, case):
     assert (got.count() == 1) is case
 
 
+@pytest.mark.parametrize(
+    ("path", "lang", "text", "case"),
+    [
+        ("x/node_modules/a.scss", "scss", hand(), True), ("vendor/y.lua", None, hand(), True), ("third_party/z.cxx", "c++", hand(), True),
+        ("vendor/a.zig", "zig", hand(), True), ("src/a.zig", "zig", hand(), False), ("src/a.zig", "zig", "// Code generated by tool.\n" + hand(), True),
+        ("go.sum", None, "example.test/a/b v1.2.3 h1:aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29yb=\n" * 30, True),
+        ("web/static/js/lib-3.6.0.min.js", "javascript", hand(), True), ("web/static/js/lib-menu.js", "javascript", hand(), False),
+        ("vendor/a.md", "markdown", "prose " * 50, False), ("vendor/a.note", "de", "prose " * 50, False),
+    ],
+)
+def test_generated_of_any_extension(spark, path, lang, text, case):
+    df = spark.createDataFrame([(1, text, path, lang)], "doc_id long, text string, document_path string, lang string")
+    assert (generated.not_hand_written(df).count() == 1) is case
+
+
 # --- splitting
 
 
