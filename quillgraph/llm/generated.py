@@ -5,8 +5,8 @@ number literals, of long encoded runs, and of lines that carry a long token.  A
 kind (code, or structured data such as JSON and TOML); prose is never judged, and of files of an unknown kind only the two
 signs that follow are.  Two signs beside the layout decide alone,
 as copies of libraries are laid out like any code: a folder that holds third-party code (whole path segments only), and
-a first comment that declares a generator or a bundled licence (at the start of the comment, so that comments which
-mention or handle such marks do not count).
+a line of the leading comments that declares a generator or a bundled licence (at the start of the line, so that comments
+which mention or handle such marks do not count).
 
 Defined results: null, empty and blank texts are no cases; a null path has no folder and no extension, so the language
 column decides the kind, as it does for an extension outside the lists; without an extension an unknown kind is taken as
@@ -39,7 +39,9 @@ _GENERATOR = (
     r"this (?:file|code) (?:is|was|has been) (?:automatically |auto-?)?(?:generated|produced|created))"
 )
 _LICENCE = r"\S+ v?\d+(?:\.\d+)+ \| \(c\) |\S+ v?\d+(?:\.\d+)+ .{0,60}(?:licen[cs]ed? under|released under|all rights reserved)"
-_DECLARED = "(?is)" + _COMMENT + "(?:" + _GENERATOR + "|" + _LICENCE + ")"
+_DECLARED = "(?ism)" + _COMMENT + "(?:" + _GENERATOR + "|" + _LICENCE + ")"
+#: The comments, blank lines, shebang and build tags that a text begins with (at most 500 of them), and the line after.
+_HEAD = r"^(?:\s++|(?:#|//|--|;)[^\n\r]*+|/\*[\s\S]*?\*/|<!--[\s\S]*?-->){0,500}+(?:\"\"\"\s*|/\*|<!--)?[^\n\r]*"
 
 #: Thresholds by kind.  mean: mean line length of dense text; thin: white-space share of dense text; figures: digit
 #: share of tables; listed: (white-space share, digit share) of machine-written listings; encoded: share of long runs.
@@ -105,7 +107,7 @@ def not_hand_written(df: DataFrame, text: str = "text", path: str = "document_pa
     """The rows of ``df`` that are, as a whole, generated, minified, third-party, locked, recorded, or data saved as code."""
     kind = kind_of(F.col(path), F.col(language))
     rows = df.where(F.col(text).rlike(r"(?U)\S")).withColumn("_kind", kind).where(F.col("_kind") != "prose")
-    declared = F.coalesce(F.substring(text, 1, 400).rlike(_DECLARED), F.lit(False))
+    declared = F.coalesce(F.regexp_extract(text, _HEAD, 0).rlike(_DECLARED), F.lit(False))
     own = third_party(F.col(path)) | declared
     made = ["max_line", "mean_line", "white", "alnum", "figures", "digits", "encoded", "tokens", "_kind"]
     # Columns of the same names in df stay out of the way: the statistics are taken on a copy of the text alone.

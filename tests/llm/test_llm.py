@@ -122,6 +122,20 @@ def test_generated_of_any_extension(spark, path, lang, text, case):
     assert (generated.not_hand_written(df).count() == 1) is case
 
 
+@pytest.mark.parametrize(
+    ("head", "case"),
+    [
+        ("#!/usr/bin/env node\n// Code generated by tool. DO NOT EDIT.\n", True), ("# -*- coding: utf-8 -*-\n# Generated by tool\n", True),
+        ("//go:build linux\n\n// Code generated by tool. DO NOT EDIT.\n", True), ("/*\n * A licence " + "of many words " * 60 + "\n */\n// @generated\n", True),
+        ("/*\n * Some licence\n *\n * @generated by tool\n */\n", True), (" " * 500 + "\n// Code generated by tool.\n", True),
+        ("# reads what is\n# marked as generated by tool\n", False), ("x = 1\n# Generated by tool\n", False), ("# a\n" * 3000, False),
+    ],
+)
+def test_declared_in_the_leading_comments(spark, head, case):
+    df = spark.createDataFrame([(1, head + hand(), "src/a.js", "javascript")], "doc_id long, text string, document_path string, lang string")
+    assert (generated.not_hand_written(df).count() == 1) is case
+
+
 # --- splitting
 
 
