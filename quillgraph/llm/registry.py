@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return held.select("chunk_id", "term")
 
 
+def p1_weights(spark: SparkSession, root: str) -> DataFrame:
+    """The weight of every term of every chunk."""
+    return terms.log_entropy(table(spark, root, "chunks"), "chunk_id", "content").select("chunk_id", "term", "weight")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     links, members = similarity.similar_classes(table(spark, root, "chunks"), "chunk_id", "content", threshold=0.6, shingle=3, min_words=20)
     pairs = similarity.expand_pairs(links, members)
@@ -62,7 +67,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 _P1 = """

@@ -50,6 +50,16 @@ def test_terms(spark):
     assert terms.log_entropy(df.where("false"), "id", "content").count() == 0
 
 
+def test_all_weights_are_registered(spark, tmp_path):
+    from quillgraph.llm import registry
+
+    recs = {"a": "alpha beta alpha", "b": "alpha gamma", "c": "delta"}
+    spark.createDataFrame(list(recs.items()), "chunk_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["chunk_id"], r["term"]): r["weight"] for r in registry.queries()["p1_weights"](spark, str(tmp_path)).collect()}
+    want = weights(recs)
+    assert got.keys() == want.keys() and all(abs(got[k] - max(want[k][2], 0)) < 1e-9 for k in want)
+
+
 # --- frequencies
 
 
