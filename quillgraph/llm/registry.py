@@ -66,8 +66,13 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return personal.listed(personal.mentions(docs, "doc_id", "text", table(spark, root, "people")), "doc_id")
 
 
+def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with its mentions replaced by typed placeholders."""
+    return personal.redacted(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "people"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_redacted)}
 
 
 _P1 = """

@@ -430,12 +430,56 @@ def test_personal(spark):
     got = {(r["doc_id"], r["kind"], r["start_pos"], r["end_pos"]) for r in personal.listed(found, "doc_id").collect()}
     want = {(i, *s) for i, _, spans in cases for s in spans}
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
-    clean = {r["doc_id"]: r["text"] for r in personal.redacted(docs, "doc_id", "text", found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in personal.redacted(docs, "doc_id", "text", people).collect()}
     assert clean[900] == "" and clean[901] is None and clean[903] == "plain " * 3000
     assert "[EMAIL]" in clean[0] and "[PHONE]" in clean[0] and "bench 415.680 ms" in clean[0]
     assert personal.mentions(docs.where("false"), "doc_id", "text", people).count() == 0
-    with pytest.raises(ValueError, match="bounded"):
-        personal.gazetteer(people, most=2)
+    joined = personal.mentions(docs, "doc_id", "text", people, most=2)  # too many people to broadcast
+    assert {(r["doc_id"], r["kind"], r["start_pos"], r["end_pos"]) for r in personal.listed(joined, "doc_id").collect()} == got
+
+
+def test_redaction_is_by_row(spark):
+    """Null and repeated ids, and different texts under one id, are each replaced in place."""
+    cases = [(i, t) for i, t, _ in mention_rows(random.Random(3), 60)]
+    rows = [*cases, (None, "write to " + "x" * 400 + ".y@mail.example now"), (7, "call +1-415-555-0156 now"), (7, "call +1-415-555-0156 now"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    people = spark.createDataFrame(PEOPLE, "given_name string, family_name string")
+    got = Counter((r["doc_id"], r["text"]) for r in personal.redacted(docs, "doc_id", "text", people).collect())
+    assert sum(got.values()) == len(rows)
+    assert got[None, "write to [EMAIL] now"] == 1 and got[7, "call [PHONE] now"] == 2 and got[None, None] == 1 and got[8, ""] == 1
+
+
+REWORDED = [
+    ("Please get in touch with {n} through {m} before the release.", ("name", "email")), ("Hi {n}, could you ring {p} tomorrow?", ("name", "phone")),
+    ("{n} <{m}> signed the change.", ("name", "email")), ("Parcels go to {h}.", ("address",)), ("Her passport number: {i}, as filed.", ("id_number",)),
+    ("Reviewed by {n}; phone: {p}.", ("name", "phone")), ("The flat is at {h}, next to the station.", ("address",)), ("tax number {i} (see the form)", ("id_number",)),
+    ("From: {n}\nTo: {m}\nSubject: weekly notes", ("name", "email")), ("cc {m}; the desk answers on {p} until noon", ("email", "phone")),
+]
+DECOYS = ["The range runs from 415.680 to 555.910 in 12 steps.", "Table 12, rows 4821 to 9944, was rebuilt.", "Graph Window and Cache Layer were renamed.", "Main Street View shows 22 tiles.", "version 3.10.12 of lib@next", "call resize(640, 480) twice"]
+
+
+def test_personal_in_other_words(spark):
+    """Sentences unlike those of the data: recall and precision stay high."""
+    rng, rows, want = random.Random(21), [], set()
+    for i in range(400):
+        g, f = rng.choice(PEOPLE)
+        values = {
+            "n": rng.choice([f"{g} {f}", f"{g[0]}. {f}"]), "m": f"{g}.{f}{i}@mail.example".lower().replace("ö", "o"), "p": rng.choice(["(303) 555-0177", "+1-415-555-0156", "415-555-0133", "+44 20 7946 0866"]),
+            "h": rng.choice(["482 Alder Road, Eastport QX4 5ZZ", "659 Mill Rd, Sallow, XK 55303", "Winder Weg 979, 63919 Sallow"]), "i": rng.choice(["964-71-2210", "QQ 12 34 56 C", "931-66-1092"]),
+        }
+        kind = dict(zip("nmphi", ("name", "email", "phone", "address", "id_number"), strict=True))
+        text = ""
+        for part in re.split(r"(\{\w\})", rng.choice(REWORDED)[0] + "\n" + rng.choice(DECOYS)):
+            if part[:1] == "{":
+                want.add((i, kind[part[1]], len(text), len(text) + len(values[part[1]])))
+                part = values[part[1]]
+            text += part
+        rows.append((i, text))
+    people = spark.createDataFrame(PEOPLE, "given_name string, family_name string")
+    found = personal.mentions(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", people)
+    got = {(r["doc_id"], r["kind"], r["start_pos"], r["end_pos"]) for r in personal.listed(found, "doc_id").collect()}
+    print("recall", len(got & want) / len(want), "precision", len(got & want) / len(got), Counter(x[1] for x in want - got), Counter(x[1] for x in got - want))
+    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9
 
 
 @pytest.mark.parametrize(
@@ -448,7 +492,7 @@ def test_personal(spark):
 def test_every_form_is_a_candidate(kind, span):
     """What the full patterns accept is offered to the labelers."""
     text = "the first line\npassport: " * (kind == "id_number") + span + ", as noted"
-    got = [(personal.KINDS[k], text[s:e]) for k, s, e, _ in personal.candidates_of(text, set(), set(), re.compile("(?!)"))]
+    got = [(personal.KINDS[k], text[s:e]) for k, s, e, _ in personal.candidates_of(text, set(), set())]
     assert (kind, span) in got
 
 
@@ -460,7 +504,7 @@ def test_every_form_is_a_candidate(kind, span):
     ],
 )
 def test_unlisted_names_are_candidates(text, name):
-    got = [text[s:e] for k, s, e, _ in personal.candidates_of(text, set(), set(), re.compile("(?!)")) if k == 4]
+    got = [text[s:e] for k, s, e, _ in personal.candidates_of(text, set(), set()) if k == 4]
     assert name in got
 
 
