@@ -30,7 +30,8 @@ def value_counts(df: DataFrame, value: str, record: str, row_id: str, flag: Colu
         F.col(row_id).alias("_row"),
         F.coalesce(flag, F.lit(False)).alias("_flag"),
     ).where(F.col("value").isNotNull())
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_rec"), F.lit(salts)))
+    # rows without a record are spread by their own ids, so that they are no hot group
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_rec", F.when(F.col("_rec").isNull(), F.col("_row"))), F.lit(salts)))
     seen = Window.partitionBy("value", "_salt").orderBy(F.col("_rec").asc_nulls_first(), F.col("_flag").desc(), "_row")
     counted = rows.select(
         "value",

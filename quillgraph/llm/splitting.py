@@ -2,9 +2,13 @@
 
 A text is worked on as byte ranges.  Each range yields a boundary table (line ends, which of them end an empty line,
 spaces where lines are longer than a window) with positions counted in code points from the range's start, and the
-state of its open first and last line.  Tables of one text are stitched in range order: a prefix sum of the ranges'
+state of its open first and last line.  Tables of one text are stitched in range order: a running sum of the ranges'
 lengths moves the positions, the open-line states decide whether a line end at a range's head ends an empty line.  The
-pieces come from the stitched table alone; no task needs the whole text.
+pieces come from the stitched tables alone, by a walk that holds what lies within one piece of its place, so its memory
+depends neither on the text's length nor on its boundaries.
+
+Texts of one range stay where they are; those of several have their ranges cut out one by one and dealt over the workers.
+``split_files`` reads giant files by ranges: each worker opens the file, reads its own range, and no task sees the rest.
 
 Defined results: null and short texts give no pieces; a repeated id gives its pieces once; a row with a null id is left
 out; a null start position counts as 0.
@@ -12,7 +16,6 @@ out; a null start position counts as 0.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -51,42 +54,76 @@ def range_table(data: bytes, least: int) -> tuple[int, bytes, bytes, bytes, bool
     return int(cp[-1]) if len(a) else 0, ends.tobytes(), empty.tobytes(), sp.tobytes(), head, tail, bool(len(lf))
 
 
-def stitch(tables: list[tuple[int, bytes, bytes, bytes, bool, bool, bool]]) -> tuple[int, list[int], list[int], list[int]]:
-    """(code points, line ends, ends of empty lines, spaces) of the whole text from its ranges' tables, in order."""
-    base, open_blank = 0, False  # before the first line feed no line is an empty one
-    ends, empties, spaces = [], [], []
-    for n, e, m, s, head, tail, has in tables:
-        e = np.frombuffer(e, np.int32).astype(np.int64) + base
-        m = np.frombuffer(m, np.uint8).astype(bool).copy()
+class Walk:
+    """The pieces of one text, from its ranges' tables in order (``add``, then ``close``): last empty line, else last line end, else last space, else the limit."""
+
+    def __init__(self, limit: int, least: int, overlap: int) -> None:
+        self.limit, self.least, self.overlap = limit, least, overlap
+        self.at = self.seen = 0
+        self.open_blank = False  # before the first line feed no line is an empty one
+        self.held = [np.empty(0, np.int64)] * 3  # empty lines, line ends, spaces from here on
+
+    def add(self, n: int, ends: bytes, empties: bytes, spaces: bytes, head: bool, tail: bool, has: bool) -> list[tuple[int, int]]:
+        """Stitch the next range on; the pieces that its end settles."""
+        e = np.frombuffer(ends, np.int32).astype(np.int64) + self.seen
+        m = np.frombuffer(empties, np.uint8).astype(bool)
         if has:
-            m[0] = head and open_blank
-            open_blank = tail
-        else:
-            open_blank = open_blank and head
-        ends.append(e)
-        empties.append(e[m])
-        spaces.append(np.frombuffer(s, np.int32).astype(np.int64) + base)
-        base += n
-    return base, np.concatenate(ends).tolist(), np.concatenate(empties).tolist(), np.concatenate(spaces).tolist()
-
-
-def cut(n: int, ends: list[int], empties: list[int], spaces: list[int], limit: int, least: int, overlap: int) -> list[tuple[int, int]]:
-    """The pieces (start, end) of a text of ``n`` code points: last empty line, else last line end, else last space, else the limit."""
-    out, s = [], 0
-    while n - s > limit:
-        e = s + limit
-        for kind in (empties, ends, spaces):
-            k = bisect_right(kind, s + limit)
-            if k and kind[k - 1] > s + least:
-                e = kind[k - 1]
-                break
-        out.append((s, e))
-        s = e - overlap
-    out.append((s, n))
-    return out
+            m = np.concatenate([[head and self.open_blank], m[1:]])
+        self.open_blank = tail if has else self.open_blank and head
+        new = e[m], e, np.frombuffer(spaces, np.int32).astype(np.int64) + self.seen
+        self.held = [np.concatenate(x) for x in zip(self.held, new, strict=True)]
+        self.seen += n
+        out = []
+        while self.seen - self.at > self.limit:
+            stop = self.at + self.limit
+            for marks in self.held:
+                k = int(np.searchsorted(marks, self.at + self.limit, "right"))
+                if k and marks[k - 1] > self.at + self.least:
+                    stop = int(marks[k - 1])
+                    break
+            out.append((self.at, stop))
+            self.at = stop - self.overlap
+        self.held = [x[np.searchsorted(x, self.at) :] for x in self.held]
+        return out
+
+    def close(self) -> list[tuple[int, int]]:
+        return [(self.at, self.seen)]
 
 
 _TABLE = "id string, base bigint, range_no bigint, n int, ends binary, empties binary, spaces binary, head boolean, tail boolean, has boolean"
+_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_()]
+
+
+def _checked(limit: int, least: int, overlap: int) -> None:
+    if not 0 <= overlap < least < limit:
+        raise ValueError("0 <= overlap < least < limit must hold")
+
+
+def _pieces(tabled: DataFrame, limit: int, least: int, overlap: int) -> DataFrame:
+    """(id, start_pos, end_pos) from the ranges' tables.  Copies of an id go first (map-side), so no id is hot."""
+
+    def batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        ids, starts, stops = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["id", "start_pos", "end_pos"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base, walk = None, 0, Walk(limit, least, overlap)
+
+        def placed(found: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+            return [(now, base + s, base + e) for s, e in found]
+
+        for b in batches:
+            rows: list[tuple[str, int, int]] = []
+            for r in b.to_pylist():
+                if r["id"] != now:
+                    rows += placed(walk.close()) if now is not None and walk.seen > limit else []
+                    now, base, walk = r["id"], r["base"], Walk(limit, least, overlap)
+                rows += placed(walk.add(r["n"], r["ends"], r["empties"], r["spaces"], r["head"], r["tail"], r["has"]))
+            yield batch(rows)
+        yield batch(placed(walk.close()) if now is not None and walk.seen > limit else [])
+
+    once = tabled.dropDuplicates(["id", "range_no"])
+    return once.repartition("id").sortWithinPartitions("id", "range_no").mapInArrow(work, "id string, start_pos bigint, end_pos bigint")
 
 
 def split_oversized(
@@ -100,61 +137,54 @@ def split_oversized(
     range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """(id, start_pos, end_pos) of the pieces of every text longer than ``limit`` code points; see the module docstring."""
-    if not 0 <= overlap < least < limit:
-        raise ValueError("0 <= overlap < least < limit must hold")
+    _checked(limit, least, overlap)
     big = df.where(F.col(id_col).isNotNull() & (F.char_length(text_col) > limit)).select(
         F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(start_col).cast("long"), F.lit(0)).alias("base"), F.col(text_col).cast("binary").alias("data")
     )
-    last = F.floor((F.octet_length("data") - 1) / range_bytes)
-    ranges = big.select("id", "base", "data", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range_no")).select(
-        "id", "base", "range_no", F.substring("data", (F.col("range_no") * range_bytes + 1).cast("int"), F.lit(range_bytes)).alias("data")
-    )
+    small = F.octet_length("data") <= range_bytes
+    single = big.where(small).select("id", "base", F.lit(0).cast("long").alias("range_no"), "data")
+    last = F.floor((F.octet_length("data") - 1) / range_bytes).cast("int")
+    # The ranges are cut inside the row, so an exploded row carries its own range and not the text.
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("long").alias("range_no"), F.substring("data", i * range_bytes + 1, F.lit(range_bytes)).alias("data")))
+    several = big.where(~small).select("id", "base", F.explode(cut).alias("r")).select("id", "base", "r.range_no", "r.data").repartition("id", "range_no")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = list(zip(*(range_table(x.as_py(), least) for x in b["data"]), strict=True)) or [[]] * 7
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [b["id"], b["base"], b["range_no"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                ["id", "base", "range_no", "n", "ends", "empties", "spaces", "head", "tail", "has"],
-            )
+            yield pa.RecordBatch.from_arrays([b["id"], b["base"], b["range_no"], *(pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True))], _names(_TABLE))
+
+    tabled = single.mapInArrow(tables, _TABLE).unionByName(several.mapInArrow(tables, _TABLE))
+    return _pieces(tabled, limit, least, overlap).select(F.col("id").alias(id_col), "start_pos", "end_pos")
+
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, base, parts = None, 0, []
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-        def flush() -> list[tuple[str, int, int]]:
-            return [] if now is None else [(now, base + s, base + e) for s, e in cut(*stitch(parts), limit, least, overlap)]
 
-        def batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
-            ids, starts, stops = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["id", "start_pos", "end_pos"])
+def split_files(files: DataFrame, path_col: str, length_col: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, start_pos, end_pos) of the pieces of UTF-8 files longer than ``limit`` code points.
+
+    ``files`` lists paths or URIs that every worker can open, with their lengths in bytes; a null path or length is left
+    out.  A worker reads the ranges dealt to it by offset; no task loads a file.
+    """
+    _checked(limit, least, overlap)
+    f = files.where(F.col(path_col).isNotNull() & (F.col(length_col) > limit)).select(F.col(path_col).alias("id"), F.col(length_col).cast("long").alias("size")).distinct()
+    last = F.floor((F.col("size") - 1) / range_bytes).cast("long")
+    ranges = f.select("id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range_no")).repartition("id", "range_no")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
         for b in batches:
-            rows: list[tuple[str, int, int]] = []
-            for r in b.to_pylist():
-                if r["id"] != now:
-                    rows += flush()
-                    now, base, parts = r["id"], r["base"], []
-                parts.append((r["n"], r["ends"], r["empties"], r["spaces"], r["head"], r["tail"], r["has"]))
-            yield batch(rows)
-        yield batch(flush())
-
-    # The boundary tables are small against the text.  Copies of an id go first (map-side), so no id is hot.
-    tabled = ranges.mapInArrow(tables, _TABLE).dropDuplicates(["id", "range_no"])
-    out = tabled.repartition("id").sortWithinPartitions("id", "range_no").mapInArrow(pieces, "id string, start_pos bigint, end_pos bigint")
-    return out.select(F.col("id").alias(id_col), "start_pos", "end_pos")
-
-
-def split_file(path: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> list[tuple[int, int]]:
-    """The same over one file, read range by range (a worker's view of a giant file)."""
-    found = []
-    with open(path, "rb") as f:
-        while data := f.read(range_bytes):
-            found.append(range_table(data, least))
-    if not found:
-        return []
-    n, ends, empties, spaces = stitch(found)
-    return cut(n, ends, empties, spaces, limit, least, overlap) if n > limit else []
+            found = []
+            for path, no in zip(b["id"].to_pylist(), b["range_no"].to_pylist(), strict=True):
+                store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                with store.open_input_file(inner) as source:
+                    found.append((0, *range_table(source.read_at(range_bytes, no * range_bytes), least)))
+            cols = list(zip(*found, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(cols[0], pa.int64()), b["range_no"], *(pa.array(c, k) for c, k in zip(cols[1:], _KINDS, strict=True))], _names(_TABLE))
+
+    return _pieces(ranges.mapInArrow(tables, _TABLE), limit, least, overlap).select(F.col("id").alias(path_col), "start_pos", "end_pos")
 
 
 def ordered(pieces: list[tuple[int, int]], overlap: int = OVERLAP) -> bool:

@@ -2,10 +2,10 @@
 
 weight(record, term) = ln(1 + tf) * (1 - H(term) / ln N), where H is the entropy of the term's spread over the N
 records.  With gf the term's total frequency, H = ln gf - sum(tf * ln tf) / gf, so a term needs three sums and no
-second pass: one aggregation by (record, term), one by term.
+second pass: one aggregation by (record, term), written once, and one by term.
 
-Defined results: records with a null id are left out; a repeated id counts once; null, empty and term-free texts give
-no rows but count in N; with N < 2 the entropy part is 1.  Extra columns are ignored.
+Defined results: records with a null id are left out; of a repeated id the text with the least hash counts, once; null,
+empty and term-free texts give no rows but count in N; with N < 2 the entropy part is 1.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,15 +15,33 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import materialize
+
 #: Maximal runs of four or more ASCII letters.
 TERM_PATTERN = "[A-Za-z]{4,}"
+#: What sums of logarithms may differ by.
+SLACK = 1e-9
+
+
+def records(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(rows (_id, _text, _copies), N): the rows that count, and how often each is there.
+
+    Repeated ids are found by hashes of their texts, so texts are not shuffled; only if repeated ids are too many to be
+    broadcast, by the optimizer's measure, does the join move texts.
+    """
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h"))
+    seen = rows.groupBy("_id", "_h").agg(F.count("*").alias("_n")).groupBy("_id").agg(F.min(F.struct("_h", "_n")).alias("_k"), F.sum("_n").alias("_all"))
+    seen = materialize(seen.select("_id", F.col("_k._h").alias("_keep"), F.col("_k._n").alias("_copies"), "_all"), "p1-records")
+    repeated = materialize(seen.where("_all > 1").drop("_all"), "p1-repeated")
+    kept = rows.join(repeated, "_id", "left").where(F.col("_keep").isNull() | (F.col("_h") == F.col("_keep")))
+    return kept.select("_id", "_text", F.coalesce("_copies", F.lit(1)).alias("_copies")), seen.count()
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, pattern: str = TERM_PATTERN) -> DataFrame:
-    """(id, term, tf).  The one shuffle is by id: it removes repeated ids and also serves the (id, term) grouping."""
-    one = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropDuplicates(["_id"])
-    words = one.select("_id", F.explode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).alias("_w"))
-    return words.groupBy("_id", F.lower("_w").alias("term")).agg(F.count("*").alias("tf")).select(F.col("_id").alias(id_col), "term", "tf")
+def term_counts(rows: DataFrame, pattern: str = TERM_PATTERN) -> DataFrame:
+    """(_id, term, tf), written: every later step reads it, and no text is read again."""
+    words = rows.select("_id", "_copies", F.explode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).alias("_w"))
+    counts = words.groupBy("_id", F.lower("_w").alias("term")).agg((F.count("*") / F.max("_copies")).cast("long").alias("tf"))
+    return materialize(counts, "p1-counts")
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
@@ -42,26 +60,19 @@ def global_weight(n: Column | int) -> Column:
     return F.when(n < 2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - h / F.log(n.cast("double")))))
 
 
-def log_entropy(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:
-    """(id, term, tf, df, weight) of every term of every record.
+def log_entropy(df: DataFrame, id_col: str, text_col: str, min_weight: float | None = None) -> DataFrame:
+    """(id, term, tf, df, weight) of every term of every record, or of those that weigh at least ``min_weight``.
 
-    ``min_tf``, ``min_df`` and ``max_df`` restrict the rows that are returned, never the statistics; they are applied
-    before the join by term, so that neither common terms nor single mentions are shuffled.  The join itself may meet
-    a hot term; the statistics side has one row a term, so adaptive execution can split the other side.
+    As no term weighs more than ln(1 + tf), rows below ``min_weight`` by that bound are left out before the join by
+    term.  The statistics side has one row a term, so adaptive execution can split the other side at a hot term.
     """
-    counts = term_counts(df, id_col, text_col)
-    n = df.where(F.col(id_col).isNotNull()).agg(F.count_distinct(id_col).alias("n")).scalar()
-    stats = term_stats(counts).where(F.col("df") >= min_df)
-    if max_df is not None:
-        stats = stats.where(F.col("df") <= max_df)
-    return (
-        counts.where(F.col("tf") >= min_tf)
-        .join(stats, "term")
-        .select(id_col, "term", "tf", "df", (F.log(1.0 + F.col("tf")) * global_weight(n)).alias("weight"))
-    )
+    rows, n = records(df, id_col, text_col)
+    counts = term_counts(rows)
+    able = counts if min_weight is None else counts.where(F.log(1.0 + F.col("tf")) >= min_weight - SLACK)
+    out = able.join(term_stats(counts), "term").select(F.col("_id").alias(id_col), "term", "tf", "df", (F.log(1.0 + F.col("tf")) * global_weight(n)).alias("weight"))
+    return out if min_weight is None else out.where(F.col("weight") >= min_weight - SLACK)
 
 
-def weight_floor(n_min_tf: int, max_df: int, n: Column) -> Column:
-    """The least weight that a term with at least ``n_min_tf`` uses and at most ``max_df`` records can have: its entropy is at most ln max_df."""
-    g = F.when(n < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - math.log(max_df) / F.log(n.cast("double"))))
-    return math.log(1 + n_min_tf) * g
+def least_weight(tf: int, df: int, n: int) -> float:
+    """The least weight of a term with ``tf`` uses in a record and ``df`` records among ``n``: its entropy is at most ln df."""
+    return math.log(1 + tf) * (1.0 if n < 2 else max(0.0, 1 - math.log(max(df, 1)) / math.log(n)))
