@@ -32,6 +32,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row a chunk: its class, the class's copies, and the chunks it is similar to."""
+    rows = similarity.class_rows(*similarity.similar_classes(table(spark, root, "chunks"), "chunk_id", "content", threshold=0.6, shingle=3, min_words=20))
+    return rows.withColumnRenamed("id", "chunk_id")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     symbols = table(spark, root, "symbols")
     reference = F.lower(F.trim("role")) == "reference"
@@ -81,7 +87,7 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p9_filled, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_classes, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p9_filled, p10_found, p10_redacted)}
 
 
 _P1 = """

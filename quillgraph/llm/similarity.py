@@ -278,6 +278,8 @@ def candidates(classes: DataFrame, threshold: float, limit: int = LIMIT, max_dep
 
 
 _BLOOM_BITS = 1 << 25
+#: Representatives that the filter tells apart: at eight bits each, it lets one text in twenty through in vain.
+BLOOM_MOST = _BLOOM_BITS // 8
 
 
 def _bits(ids: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -315,15 +317,22 @@ def similar_classes(
     # The sets of the classes in question are made again from their representatives' texts.  The Bloom filter picks the
     # texts where they lie, so no text is shuffled; what it lets through in vain meets no candidate in the joins.
     numbers = cand.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    picked = df.sparkSession.sparkContext.broadcast(bloom(numbers.join(classes.select("cid", "rep"), "cid").select("rep")))
+    reps = materialize(numbers.join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("id")), "p3-reps")
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    by_filter = reps.count() <= BLOOM_MOST
+    if not by_filter:  # more than the filter can tell apart: the texts are picked by a join
+        texts = texts.join(reps, "id", "left_semi")
+    picked = df.sparkSession.sparkContext.broadcast(bloom(reps) if by_filter else None)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = _Hashes(), np.unpackbits(picked.value).view(bool)
+        hashes, bits = _Hashes(), None if picked.value is None else np.unpackbits(picked.value).view(bool)
         with np.errstate(over="ignore"):
             for b in batches:
-                x, y = _bits(b[0].to_pylist())
-                texts = b[1].filter(pa.array(bits[x] & bits[y])).to_pylist()
-                s = [shingle_set(t, hashes, shingle, min_words) for t in texts]
+                column = b[1]
+                if bits is not None:
+                    x, y = _bits(b[0].to_pylist())
+                    column = column.filter(pa.array(bits[x] & bits[y]))
+                s = [shingle_set(t, hashes, shingle, min_words) for t in column.to_pylist()]
                 s = [x for x in s if x is not None]
                 keys = [keys_of(x) for x in s]
                 yield pa.RecordBatch.from_arrays(
@@ -342,7 +351,6 @@ def similar_classes(
                     sim.append(both / (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     whole = materialize_by(texts.mapInArrow(sets, "cid bigint, cls binary, items binary").dropDuplicates(["cid", "cls"]), "cid", "p3-sets")
     x = whole.select(F.col("cid").alias("a"), F.col("cls").alias("p"), F.col("items").alias("x"))
     y = whole.select(F.col("cid").alias("b"), F.col("cls").alias("q"), F.col("items").alias("y"))
@@ -351,8 +359,41 @@ def similar_classes(
     return links, members
 
 
+#: Copies of a class that one row of the expansion meets at most on either side.
+COPIES = 1000
+
+
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) ids of all similar pairs, the copies within each class included; a before b."""
-    across = links.select("a", "b").join(members.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
-    copies = members.select("cls", F.col("id").alias("x")).join(members.select("cls", F.col("id").alias("y")), "cls").where("x < y")
+    """(a, b) ids of all similar pairs, the copies within each class included; a before b.
+
+    The result has a row a pair, so copies make it grow with their square; no task does: members are dealt into blocks of
+    about COPIES by their hash, and a key of the joins is a class and a block.
+    """
+    sizes = materialize(members.groupBy("cls").agg(F.ceil(F.count("*") / COPIES).alias("nb")), "p3-sizes")
+    dealt = members.join(sizes.where("nb > 1"), "cls", "left").select("cls", "id", F.when(F.col("nb").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).alias("k"))
+    dealt = materialize(dealt, "p3-dealt")
+
+    def blocks(c: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+
+    of = lambda c, nb: sizes.select(F.col("cls").alias(c), F.col("nb").alias(nb))
+    met = links.select("a", "b").join(of("a", "na"), "a").join(of("b", "nb"), "b")
+    met = met.select("a", "b", blocks("na").alias("i"), "nb").select("a", "b", "i", blocks("nb").alias("j"))
+    side = lambda c, k, x: dealt.select(F.col("cls").alias(c), F.col("k").alias(k), F.col("id").alias(x))
+    across = met.join(side("a", "i", "x"), ["a", "i"]).join(side("b", "j", "y"), ["b", "j"])
+    own = sizes.select(F.col("cls").alias("a"), blocks("nb").alias("i"), "nb")
+    own = own.select("a", "i", F.explode(F.sequence(F.col("i"), F.col("nb") - 1)).alias("j")).withColumn("b", F.col("a"))
+    copies = own.join(side("a", "i", "x"), ["a", "i"]).join(side("b", "j", "y"), ["b", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
     return across.select("x", "y").unionByName(copies.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def class_rows(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, cls, copies, links): one row a document; ``copies`` are the members of its class, ``links`` the other documents it is similar to.
+
+    Linear in the documents: a hot class is one number that its members are joined with.
+    """
+    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("cls").alias("b"), F.col("copies").alias("n")), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("near"))
+    per = sizes.join(near, "cls", "left").select("cls", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return members.join(per, "cls").select("id", F.lower(F.hex("cls")).alias("cls"), "copies", "links")

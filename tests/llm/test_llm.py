@@ -228,6 +228,21 @@ def test_similarity(spark, monkeypatch, limit, hot):
     assert got <= want and len(got) >= 0.97 * len(want)
     assert {tuple(sorted(p)) for p in itertools.combinations([f"copy{i}" for i in range(6)], 2)} <= got
     assert members.count() == len({i for i, t in texts.items() if shingles(t, 3, 20)})
+    degree = Counter(x for p in got for x in p)
+    rows = {r["id"]: (r["copies"], r["links"]) for r in similarity.class_rows(links, members).collect()}
+    assert rows == {i: (sum(shingles(t, 3, 20) == shingles(u, 3, 20) for u in texts.values()), degree[i]) for i, t in texts.items() if shingles(t, 3, 20)}
+
+
+def test_expansion_in_blocks(spark, monkeypatch):
+    """Classes of many copies, linked to each other, and the join that picks texts when they are too many for the filter."""
+    monkeypatch.setattr(similarity, "COPIES", 7)
+    monkeypatch.setattr(similarity, "BLOOM_MOST", 1)
+    base = [f"{a}{i}" for i, a in enumerate(WORDS * 3)]
+    one, two = " ".join(base), " ".join([*base[:-1], "other"])
+    texts = {f"x{i:02}": one for i in range(40)} | {f"y{i:02}": two for i in range(15)} | {"z": " ".join(reversed(base))}
+    links, members = similarity.similar_classes(spark.createDataFrame(list(texts.items()), "id string, content string"), "id", "content", 0.6, shingle=3, min_words=20)
+    got = [(r["a"], r["b"]) for r in similarity.expand_pairs(links, members).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 3, 20, 0.6) and len(got) == 55 * 54 // 2
 
 
 def test_similarity_of_common_templates(spark):
@@ -307,8 +322,8 @@ def test_neighbors(spark, monkeypatch, limit):
     want = brute_near(vectors, 3, 0.95)
     if limit > 100:
         assert got == want
-    else:  # deeper lists: pairs may be missed, none is wrong
-        assert got <= brute_near(vectors, 999, 0.95) and len(got) > 20
+    else:  # lists forced apart or into exact blocks
+        assert got <= brute_near(vectors, 999, 0.95) and len(got & want) >= 0.9 * len(want)
     assert all(a < b for a, b in got)
     assert neighbors.similar_vectors(df.where("false"), "id", "version", "sig", 16, 3, 0.95).count() == 0
 
