@@ -1,12 +1,12 @@
-"""Files that nobody wrote by hand, by thresholds on layout statistics tuned per kind of language.
+"""Files that nobody wrote by hand, by thresholds on layout statistics tuned per language.
 
 Statistics of each text: maximum and mean line length, shares of white space, of letters and digits, of digits in
 number literals, of long encoded runs, and of lines that carry a long token.  A file is judged by the thresholds of its
-kind (code, or structured data such as JSON and TOML); prose is never judged, and of files of an unknown kind only the two
-signs that follow are.  Two signs beside the layout decide alone,
-as copies of libraries are laid out like any code: a folder that holds third-party code (whole path segments only), and
-a line of the leading comments that declares a generator or a bundled licence (at the start of the line, so that comments
-which mention or handle such marks do not count).
+language (``LIMITS``; ``tune`` makes them from a labelled sample), other code and structured data by those common to
+their kind; prose is never judged, and of files of an unknown kind only the two signs that follow are.  Two signs beside
+the layout decide alone, as copies of libraries are laid out like any code: a folder that holds third-party code (whole
+path segments only), and a line of the leading comments that declares a generator or a bundled licence (at the start of
+the line, so that comments which mention or handle such marks do not count).  ``reasons`` tells which of the three spoke.
 
 Defined results: null, empty and blank texts are no cases; a null path has no folder and no extension, so the language
 column decides the kind, as it does for an extension outside the lists; without an extension an unknown kind is taken as
@@ -15,7 +15,7 @@ prose, and so is one whose language is a natural one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Extensions and language names by kind.
@@ -43,12 +43,30 @@ _DECLARED = "(?ism)" + _COMMENT + "(?:" + _GENERATOR + "|" + _LICENCE + ")"
 #: The comments, blank lines, shebang and build tags that a text begins with (at most 500 of them), and the line after.
 _HEAD = r"^(?:\s++|(?:#|//|--|;)[^\n\r]*+|/\*[\s\S]*?\*/|<!--[\s\S]*?-->){0,500}+(?:\"\"\"\s*|/\*|<!--)?[^\n\r]*"
 
-#: Thresholds by kind.  mean: mean line length of dense text; thin: white-space share of dense text; figures: digit
-#: share of tables; listed: (white-space share, digit share) of machine-written listings; encoded: share of long runs.
+#: Extensions and language names of the languages with thresholds of their own.
+LANGUAGES = {
+    "python": ("py pyw", "python py python3"), "script": ("js jsx mjs cjs", "javascript js node"), "typescript": ("ts tsx", "typescript ts"), "go": ("go", "go golang"), "java": ("java", "java"),
+    "json": ("json", "json"), "yaml": ("yaml yml", "yaml yml"), "toml": ("toml", "toml"), "lock": ("lock snap sum", ""),
+}
+#: Thresholds by language, midway between hand-written and machine-written texts of the tuning sample (``tune``); "code" and
+#: "data" are for the languages without a sample.  mean: mean line length of dense text; thin: white-space share of dense
+#: text; figures: digit share of tables; close, digits: white-space and digit share of machine-written listings; encoded:
+#: share of long runs; tokens: share of lines with a long token.
 LIMITS = {
-    "code": {"mean": 180, "thin": 0.125, "figures": 0.22, "listed": (0.115, 0.12), "encoded": 0.70, "tokens": 0.85},
-    "data": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "listed": (0.0, 1.0), "encoded": 0.85, "tokens": 0.60},
+    "python": {"mean": 198, "thin": 0.125, "figures": 0.30, "close": 0.115, "digits": 0.115, "encoded": 0.70, "tokens": 0.53},
+    "script": {"mean": 180, "thin": 0.125, "figures": 0.22, "close": 0.115, "digits": 0.113, "encoded": 0.68, "tokens": 0.54},
+    "typescript": {"mean": 175, "thin": 0.12, "figures": 0.29, "close": 0.115, "digits": 0.115, "encoded": 0.69, "tokens": 0.52},
+    "go": {"mean": 177, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.114, "encoded": 0.69, "tokens": 0.53},
+    "java": {"mean": 182, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.121, "encoded": 0.70, "tokens": 0.54},
+    "code": {"mean": 190, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.12, "encoded": 0.70, "tokens": 0.70},
+    "json": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.92, "tokens": 0.60},
+    "yaml": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.95, "tokens": 0.67},
+    "toml": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.93, "tokens": 0.57},
+    "lock": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.85, "tokens": 0.50},
+    "data": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.92, "tokens": 0.60},
 }
+#: Documents of a language that ``tune`` looks at, at most.
+SAMPLE = 20_000
 
 
 def layout(df: DataFrame, text: str) -> DataFrame:
@@ -83,33 +101,77 @@ def kind_of(path: Column, language: Column) -> Column:
     return F.when(ext.isin(CODE), "code").when(ext.isin(DATA), "data").when(ext.isin(PROSE), "prose").otherwise(by_name)
 
 
+def language_of(path: Column, language: Column) -> Column:
+    """The key of ``LIMITS`` for a file, or null: its language, else its kind, if that is judged by layout."""
+    ext = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    name = F.lower(F.trim(F.coalesce(language, F.lit(""))))
+    own = F.lit(None).cast("string")
+    for key, (extensions, names) in LANGUAGES.items():
+        known = [*CODE, *DATA, *PROSE]
+        own = F.when(ext.isin(extensions.split()) | (~ext.isin(known) & name.isin(names.split())), key).otherwise(own)
+    kind = kind_of(path, language)
+    return F.when(kind.isin("code", "data"), F.coalesce(own, kind))
+
+
 def third_party(path: Column) -> Column:
     """Whether a folder of the path holds third-party code, or the file is a released script (name and version) among static files."""
     p = F.lower(F.coalesce(path, F.lit("")))
     return p.rlike("(?:^|/)(?:" + "|".join(THIRD_PARTY) + ")/") | p.rlike(RELEASED)
 
 
-def machine_layout(kind: Column) -> Column:
-    """Whether the layout alone shows that a machine wrote the file."""
+def machine_layout(language: Column) -> Column:
+    """Whether the layout alone shows that a machine wrote the file; ``language`` is a key of ``LIMITS`` or null."""
 
-    def by(limits: dict) -> Column:
-        thin = (F.col("white") < limits["thin"]) & ((F.col("digits") > 0.05) | (F.col("white") < 0.6 * limits["thin"]))
-        dense = (F.col("mean_line") > limits["mean"]) & thin
-        table = F.col("figures") > limits["figures"]
-        listing = (F.col("white") < limits["listed"][0]) & (F.col("digits") > limits["listed"][1]) & (F.col("encoded") < 0.3) & (F.col("alnum") > 0.4)
-        blob = (F.col("encoded") > limits["encoded"]) & (F.col("max_line") < 1000)
-        return dense | table | listing | blob | (F.col("tokens") > limits["tokens"])
+    def limit(name: str) -> Column:
+        pairs = [F.lit(x) for key, limits in LIMITS.items() for x in (key, float(limits[name]))]
+        return F.try_element_at(F.create_map(*pairs), language)
 
-    return F.when(kind == "code", by(LIMITS["code"])).when(kind == "data", by(LIMITS["data"])).otherwise(F.lit(False))
+    thin = (F.col("white") < limit("thin")) & ((F.col("digits") > 0.05) | (F.col("white") < 0.6 * limit("thin")))
+    dense = (F.col("mean_line") > limit("mean")) & thin
+    table = F.col("figures") > limit("figures")
+    listing = (F.col("white") < limit("close")) & (F.col("digits") > limit("digits")) & (F.col("encoded") < 0.3) & (F.col("alnum") > 0.4)
+    blob = (F.col("encoded") > limit("encoded")) & (F.col("max_line") < 1000)  # rows of it: one long line may stand in a hand-written file
+    return F.coalesce(dense | table | listing | blob | (F.col("tokens") > limit("tokens")), F.lit(False))
+
+
+def _judged(df: DataFrame, text: str, path: str, language: str) -> DataFrame:
+    """(_row, _layout, _folder, _declared) of the texts that may be cases; the columns of ``df`` are kept apart, so names may clash."""
+    rows = df.where(F.col(text).rlike(r"(?U)\S")).select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+        F.col(text).alias("_text"),
+        kind_of(F.col(path), F.col(language)).alias("_kind"),
+        language_of(F.col(path), F.col(language)).alias("_key"),
+        third_party(F.col(path)).alias("_folder"),
+        F.coalesce(F.regexp_extract(text, _HEAD, 0).rlike(_DECLARED), F.lit(False)).alias("_declared"),
+    )
+    return layout(rows.where(F.col("_kind") != "prose"), "_text").select("_row", machine_layout(F.col("_key")).alias("_layout"), "_folder", "_declared")
 
 
 def not_hand_written(df: DataFrame, text: str = "text", path: str = "document_path", language: str = "lang") -> DataFrame:
     """The rows of ``df`` that are, as a whole, generated, minified, third-party, locked, recorded, or data saved as code."""
-    kind = kind_of(F.col(path), F.col(language))
-    rows = df.where(F.col(text).rlike(r"(?U)\S")).withColumn("_kind", kind).where(F.col("_kind") != "prose")
-    declared = F.coalesce(F.regexp_extract(text, _HEAD, 0).rlike(_DECLARED), F.lit(False))
-    own = third_party(F.col(path)) | declared
-    made = ["max_line", "mean_line", "white", "alnum", "figures", "digits", "encoded", "tokens", "_kind"]
-    # Columns of the same names in df stay out of the way: the statistics are taken on a copy of the text alone.
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"), "_kind", own.alias("_own"))
-    return layout(keyed, "_text").where(F.col("_own") | machine_layout(F.col("_kind"))).drop(*made, "_text", "_own").select("_row.*")
+    return _judged(df, text, path, language).where("_layout OR _folder OR _declared").select("_row.*")
+
+
+def reasons(df: DataFrame, id_col: str, text: str = "text", path: str = "document_path", language: str = "lang") -> DataFrame:
+    """(id, by_layout, by_folder, by_declaration) of the same rows: what speaks for each."""
+    found = _judged(df, text, path, language).where("_layout OR _folder OR _declared")
+    return found.select(F.col(f"_row.{id_col}").alias(id_col), F.col("_layout").alias("by_layout"), F.col("_folder").alias("by_folder"), F.col("_declared").alias("by_declaration"))
+
+
+def tune(df: DataFrame, case_col: str, text: str = "text", path: str = "document_path", language: str = "lang", sample: int = SAMPLE) -> dict[str, dict[str, float]]:
+    """Thresholds by language from labelled texts: for each share, midway between the greatest of the hand-written and the least of the cases that lie beyond all of them.
+
+    Looks at no more than ``sample`` texts of a language.  A language without texts of both kinds, and a share that parts
+    none, keep what ``LIMITS`` says.
+    """
+    rows = layout(df.select(F.col(text).alias("_t"), F.col(case_col).alias("_case"), language_of(F.col(path), F.col(language)).alias("_key")).where("_key IS NOT NULL AND _t IS NOT NULL"), "_t")
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_t")))).where(F.col("_r") <= sample)
+    shares = {"figures": "figures", "digits": "digits", "encoded": "encoded", "tokens": "tokens"}
+    most = few.where("NOT _case").groupBy("_key").agg(*[F.max(c).alias(f"m_{c}") for c in shares.values()])
+    beyond = few.where("_case").join(most, "_key").groupBy("_key").agg(*[F.min(F.when(F.col(c) > F.col(f"m_{c}"), F.col(c))).alias(f"b_{c}") for c in shares.values()], *[F.first(f"m_{c}").alias(f"m_{c}") for c in shares.values()])
+    out = {k: dict(v) for k, v in LIMITS.items()}
+    for r in beyond.collect():  # a row a language
+        for name, c in shares.items():
+            if r[f"b_{c}"] is not None:
+                out[r["_key"]][name] = round((r[f"m_{c}"] + r[f"b_{c}"]) / 2, 3)
+    return out

@@ -51,6 +51,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return generated.not_hand_written(docs).select("doc_id")
 
 
+def p5_reasons(spark: SparkSession, root: str) -> DataFrame:
+    """What speaks for each case: its layout, its folder, its declaration."""
+    return generated.reasons(table(spark, root, "documents").select("doc_id", "text", "document_path", "lang"), "doc_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_oversized(table(spark, root, "chunks"), "chunk_id", "content", "start_pos")
 
@@ -87,7 +92,7 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_classes, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p9_filled, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_classes, p4_found, p5_found, p5_reasons, p6_found, p7_found, p8_ids, p9_containers, p9_filled, p10_found, p10_redacted)}
 
 
 _P1 = """

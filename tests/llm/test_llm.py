@@ -120,6 +120,17 @@ def test_generated(spark, path, text, case):
     assert (got.count() == 1) is case
 
 
+def test_reasons_and_thresholds(spark):
+    table = "T = [\n" + "  12, 431, -7, 880, 19, 3, 55, 1024,\n" * 60 + "]\n"
+    rows = [(1, hand(), "src/a.py", "python", False), (2, table, "src/t.py", "python", True), (3, hand(), "vendor/a.py", "python", True), (4, "# Generated by tool\n" + hand(), "src/g.py", None, True), (5, None, "a.py", None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, document_path string, lang string, made boolean")
+    got = {r["doc_id"]: (r["by_layout"], r["by_folder"], r["by_declaration"]) for r in generated.reasons(df, "doc_id").collect()}
+    assert got == {2: (True, False, False), 3: (False, True, False), 4: (False, False, True)}
+    tuned = generated.tune(df.where("doc_id < 3"), "made")
+    assert 0.05 < tuned["python"]["figures"] < 0.7 and tuned["go"] == generated.LIMITS["go"]
+    assert set(generated.LIMITS) == set(generated.LANGUAGES) | {"code", "data"}
+
+
 @pytest.mark.parametrize(
     ("path", "lang", "text", "case"),
     [
