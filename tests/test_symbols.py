@@ -87,3 +87,35 @@ def test_extraction_parsed(spark):
     assert broken == {("f", "function", "definition", 1, None), ("os", "module", "reference", 2, None)}
     js = names(spark, "a.js", "import { a } from './m'\nclass K {\n  run(x) {\n    return new Q( helper(x))\n  }\n}\nconst v = {\n  k: 1\n}\ndocument.querySelector('.c#d')\n")
     assert {("./m", "module", "reference", 1, None), ("a", "import", "reference", 1, None), ("K", "class", "definition", 2, None), ("run", "function", "definition", 3, "K"), ("helper", "function", "reference", 4, "K.run"), ("Q", "class", "reference", 4, "K.run"), ("v", "variable", "definition", 7, None), (".c", "css_class", "reference", 10, None), ("#d", "css_id", "reference", 10, None)} <= js
+
+
+def script(spark, text, path="a.js"):
+    from quillgraph.operators.scripts import script_symbols
+
+    return set(script_symbols(text))
+
+
+def test_scripts(spark):
+    has = lambda text, *wanted: {(n, k, r) for n, k, r, *_ in script(spark, text)} >= set(wanted)
+    d, r = "definition", "reference"
+    assert has("function handleClick() {}", ("handleClick", "function", d)) and has("export class Component {}", ("Component", "class", d))
+    assert has("const API_URL = 'http://x'", ("API_URL", "variable", d)) and has("export interface Config {}", ("Config", "class", d))
+    assert has("const express = require('express')", ("express", "module", r)) and not has("const q = require('express')", ("q", "import", r))
+    assert has("const q = require('./q')", ("q", "import", r), ("./q", "module", r)) and has("const { a, b } = require('./m')", ("a", "import", r), ("b", "import", r), ("./m", "module", r))
+    assert has("const e = new Engine();", ("Engine", "class", r), ("e", "variable", d)) and has("x.compute(a, b);", ("compute", "function", r))
+    assert len([x for x in script(spark, "x.compute(a, b);") if x[0] == "compute"]) == 1
+    assert has("if (c) { return foo(); }", ("foo", "function", r)) and not {"if", "return"} & {x[0] for x in script(spark, "if (c) { return foo(); }")}
+    assert has("const A = B;", ("A", "variable", d), ("B", "variable", r)) and not has("const X = X;", ("X", "variable", r))
+    assert has("module.exports = {\n  Dyn,\n  Nav: Service,\n  ...require('./utils'),\n};", ("Dyn", "variable", r), ("Nav", "variable", d), ("Service", "variable", r), ("./utils", "module", r))
+    assert has("module.exports = new Thing()", ("Thing", "class", d)) and has("el.classList.add('active on')", (".active", "css_class", r), (".on", "css_class", r))
+    assert has("document.getElementById('nav')", ("#nav", "css_id", r)) and has("import {\n  a,\n  b as c\n} from 'y'", ("y", "module", r), ("a", "import", r), ("c", "import", r))
+
+
+def test_scripts_read_no_strings(spark):
+    text = "// call(x)\n/* new Q() */\nconst s = 'run(1) class K {';\nconst t = `go(${1})`;\nconst re = /['\"](/;\nfunction f(a = {}) {\n  const o = { k() { return g(); } };\n}\nh();\n"
+    got = script(spark, text)
+    assert {n for n, *_ in got} == {"s", "t", "re", "f", "o", "k", "g", "h"}
+    where = {(n, line, c) for n, _, _, line, c in got}
+    assert {("f", 6, None), ("o", 7, "f"), ("k", 7, "f"), ("g", 7, "f.k"), ("h", 9, None)} <= where
+    assert script(spark, "class A {\n  run(x) {\n    if (x) { this.go(); }\n  }\n}\n") >= {("run", "function", "definition", 2, "A"), ("go", "function", "reference", 3, "A.run")}
+    assert script(spark, "}}} ((( ]] '") == set()
