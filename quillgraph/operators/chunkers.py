@@ -1,11 +1,12 @@
-"""Chunkers: one text in, its chunks out.
+"""Chunkers: one text in, its chunks out, in one pass and without a shuffle.
 
-The greedy ones share one step: pieces with a size and a limit each are dealt into runs, a piece opening a new run when
-it would push the run beyond the piece's limit.  That step is a fold over the pieces (``dealt``), so it stays inside
-the JVM; Python runs only where a parser or a look-back over sentences is needed.
+The pieces of a text (paragraphs, definitions, line groups, sentences) and their sizes are found by expressions inside the
+JVM.  Dealing pieces into runs depends on what the run holds so far, so it is done over the sizes in Arrow batches, where
+the text of a run is put together too.  A text's chunks come from its own row, so no text is brought together with others.
 
-Defined results: a text without content (null, empty, blank) gives one empty chunk at 0; positions are code points.
-Results have doc (the text's id), chunk_index, content, start_pos, end_pos.
+Defined results: a text without content (null, empty, blank) gives one empty chunk at 0; a null id is left out; a repeated
+row gives its chunks again; positions are code points.  Results have doc (the text's id), chunk_index, content, start_pos,
+end_pos.
 """
 
 from __future__ import annotations
@@ -13,58 +14,80 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 
 SIZE, MOST = 256, 4096
+_CHUNK = ("doc", "chunk_index", "content", "start_pos", "end_pos")
+Placed = tuple[str, int, int]
 
 
-def dealt(pieces: Column) -> Column:
-    """The run number of each piece of an array of structs with ``n`` (size) and ``limit``."""
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("runs"))
-
-    def step(s: Column, p: Column) -> Column:
-        last = F.coalesce(F.try_element_at(s["runs"], F.lit(-1)), F.lit(0))
-        full = (F.size(s["runs"]) > 0) & (s["total"] + p["n"] > p["limit"])
-        return F.struct(F.when(full, p["n"]).otherwise(s["total"] + p["n"]).cast("long").alias("total"), F.array_append(s["runs"], F.when(full, last + 1).otherwise(last)).alias("runs"))
-
-    return F.aggregate(pieces, start, step, lambda s: s["runs"])
+def dealt(sizes: list[int], limits: list[int]) -> list[int]:
+    """Where runs of pieces begin: a piece opens a run if it would push the open one beyond the piece's own limit."""
+    starts, total = [], 0
+    for i, (n, limit) in enumerate(zip(sizes, limits, strict=True)):
+        if not starts or total + n > limit:
+            starts.append(i)
+            total = 0
+        total += n
+    return starts
 
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _rows(owner: list[int], placed: list[Placed], index: list[int], ids: pa.Array) -> pa.RecordBatch:
+    content, start, end = zip(*placed, strict=True) if placed else ((), (), ())
+    cols = [ids.take(pa.array(owner, pa.int64())), pa.array(index, pa.int64()), pa.array(content, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, list(_CHUNK))
+
+
+def _per_text(pieces: DataFrame, chunks_of) -> DataFrame:  # noqa: ANN001
+    """The chunks of every row; ``chunks_of`` makes them from the row's other columns, and a text without any has the empty one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, placed, index = [], [], []
+            for i, values in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                found = chunks_of(*values) or [("", 0, 0)]
+                owner += [i] * len(found)
+                index += range(len(found))
+                placed += found
+            yield _rows(owner, placed, index, b[0])
+
+    return pieces.mapInArrow(work, f"doc {dict(pieces.dtypes)['doc']}, chunk_index bigint, content string, start_pos bigint, end_pos bigint")
+
+
 def _runs(pieces: DataFrame, joined: str) -> DataFrame:
-    """Chunks of the runs: ``pieces`` has doc and ``p`` (array of structs text, n, limit, exact); pieces are joined with ``joined``, which also ends a run.
+    """Chunks of the runs: ``pieces`` has doc, text, n, limit (arrays) and exact; pieces are joined with ``joined``, which also ends a run.
 
     Blank runs are left out and the others numbered; an exact run ends where its stripped content ends.
     """
-    rows = pieces.select("doc", F.posexplode(F.arrays_zip("p", dealt(F.col("p")).alias("run"))).alias("i", "x")).select("doc", "i", "x.run", "x.p.text", "x.p.exact")
-    runs = rows.groupBy("doc", "run").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"), F.max("exact").alias("exact"))
-    whole = runs.select("doc", "run", "exact", F.concat(F.array_join(F.col("parts.text"), joined), F.lit(joined)).alias("raw"))
-    w = Window.partitionBy("doc").orderBy("run")
-    before = F.coalesce(F.sum(F.char_length("raw")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = whole.withColumns({"start_pos": before, "content": _strip(F.col("raw"))}).where(F.col("content") != "")
-    end = F.col("start_pos") + F.when(F.col("exact"), F.char_length("content")).otherwise(F.char_length("raw"))
-    return placed.select("doc", (F.row_number().over(w) - 1).alias("chunk_index"), "content", "start_pos", end.alias("end_pos"))
 
+    def chunks_of(texts: list[str], sizes: list[int], limits: list[int], exact: bool) -> list[Placed]:
+        out, at = [], 0
+        starts = dealt(sizes, limits)
+        for s, e in zip(starts, [*starts[1:], len(texts)], strict=False):
+            raw = joined.join(texts[s:e]) + joined
+            if content := raw.strip():
+                out.append((content, at, at + len(content if exact else raw)))
+            at += len(raw)
+        return out
 
-def _blank() -> Column:
-    return ~F.col("t").rlike(r"(?U)\S")
+    return _per_text(pieces.select("doc", "text", "n", "limit", "exact"), chunks_of)
 
 
-def _with_empty(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds the empty chunk of every blank text, and settles the types."""
-    empty = docs.where(_blank()).select("doc", F.lit(0).alias("chunk_index"), F.lit("").alias("content"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
-    return chunks.unionByName(empty).select("doc", *[F.col(c).cast("long").alias(c) if c != "content" else c for c in ("chunk_index", "content", "start_pos", "end_pos")])
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("t"))
 
 
-def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("t")).dropDuplicates(["doc"])
+def _sized(texts: Column) -> Column:
+    return F.transform(texts, lambda x: T.estimated_tokens(x))
 
 
 def paragraphs(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, most: int = MOST, adaptive: bool = True) -> DataFrame:
@@ -72,11 +95,9 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, most
 
     Positions refer to the paragraphs joined by an empty line each, not to the source.
     """
-    docs = _docs(df, id_col, text_col)
-    paras = F.filter(F.transform(F.split("t", r"\n\s*\n"), _strip), lambda p: p != "")
+    docs = _docs(df, id_col, text_col).select("doc", F.filter(F.transform(F.split("t", r"\n\s*\n"), _strip), lambda p: p != "").alias("text"))
     limit = lambda p: F.greatest(F.lit(size // 2), F.least(F.floor(size * (1 - T.density(p) * 0.5)).cast("int"), F.lit(most))) if adaptive else F.lit(size)
-    pieces = docs.where(~_blank()).select("doc", F.transform(paras, lambda p: F.struct(p.alias("text"), T.estimated_tokens(p).alias("n"), limit(p).alias("limit"), F.lit(False).alias("exact"))).alias("p"))
-    return _with_empty(docs, _runs(pieces, "\n\n"))
+    return _runs(docs.select("doc", "text", _sized(F.col("text")).alias("n"), F.transform("text", limit).alias("limit"), F.lit(False).alias("exact")), "\n\n")
 
 
 # Where a top-level definition begins, by extension.
@@ -107,17 +128,19 @@ def code(df: DataFrame, id_col: str, text_col: str, path_col: str, size: int = S
     Python is cut where its parser says (texts that do not parse by pattern), other languages by pattern, unknown ones
     by the script pattern; a text without definitions is cut by lines.
     """
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("t"), F.regexp_replace(T.extension(path_col), r"^\.", "").alias("ext")).dropDuplicates(["doc"])
-    full = docs.where(~_blank())
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("t"), F.coalesce(F.regexp_replace(T.extension(path_col), r"^\.", ""), F.lit("")).alias("ext"))
     cut = F.lit(None).cast("array<string>")
     for ext, pattern in BOUNDARIES.items():
         cut = F.when(F.col("ext") == ext, _cut_before(F.col("t"), pattern)).otherwise(cut)
-    by_pattern = full.where(~F.col("ext").isin(PYTHON)).select("doc", "t", F.coalesce(cut, _cut_before(F.col("t"), _JS)).alias("c"))
-    parsed = full.where(F.col("ext").isin(PYTHON)).select("doc", "t").mapInArrow(_python_pieces, f"doc {dict(docs.dtypes)['doc']}, t string, c array<string>")
+    by_pattern = docs.where(~F.col("ext").isin(PYTHON)).select("doc", "t", F.coalesce(cut, _cut_before(F.col("t"), _JS)).alias("c"))
+    parsed = docs.where(F.col("ext").isin(PYTHON)).select("doc", "t").mapInArrow(_python_pieces, f"doc {dict(docs.dtypes)['doc']}, t string, c array<string>")
     cuts = by_pattern.unionByName(parsed.select("doc", "t", F.coalesce("c", _cut_before(F.col("t"), _JS)).alias("c")))
-    defined = F.transform(F.filter("c", lambda x: x != ""), lambda x: F.struct(x.alias("text"), T.estimated_tokens(x).alias("n"), F.lit(size).alias("limit"), F.lit(False).alias("exact")))
-    pieces = cuts.select("doc", F.when(F.size("c") > 1, defined).otherwise(_line_groups(F.col("t"), size)).alias("p"))
-    return _with_empty(docs, _runs(pieces, ""))
+    defined = F.filter("c", lambda x: x != "")
+    p = T.let(F.when(F.size("c") > 1, F.struct(defined.alias("text"), F.lit(False).alias("exact"))).otherwise(F.struct(_line_groups(F.col("t"), size).alias("text"), F.lit(True).alias("exact"))), lambda x: x)
+    rows = cuts.select("doc", p.alias("p")).select("doc", "p.text", "p.exact")
+    # a line group is a run of its own: its size exceeds its limit
+    n = F.when(F.col("exact"), F.transform("text", lambda x: F.lit(1).cast("long"))).otherwise(_sized(F.col("text")))
+    return _runs(rows.select("doc", "text", n.alias("n"), F.transform("text", lambda x: F.when(F.col("exact"), 0).otherwise(size)).alias("limit"), "exact"), "")
 
 
 PYTHON = ["py", "pyw", "pyx"]
@@ -144,13 +167,13 @@ def _python_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _line_groups(text: Column, size: int) -> Column:
-    """The text's lines in equal groups of about ``size`` estimated tokens, each a run of its own (its size exceeds its limit)."""
+    """The text's lines in equal groups of about ``size`` estimated tokens."""
     lines = F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+$"), F.lit(0))
 
     def grouped(v: Column) -> Column:
         n, per = F.size(v["l"]), v["per"]
         starts = F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int"))
-        return F.transform(starts, lambda k: F.struct(F.array_join(F.slice(v["l"], k * per + 1, per), "").alias("text"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("limit"), F.lit(True).alias("exact")))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda k: F.array_join(F.slice(v["l"], k * per + 1, per), "")))
 
     per = lambda l: F.greatest(F.lit(1), F.floor(size / F.greatest(F.lit(1), F.floor(T.estimated_tokens(text) / F.greatest(F.size(l), F.lit(1)))))).cast("int")  # noqa: E731, E741
     return T.let(lines, lambda l: T.let(F.struct(l.alias("l"), per(l).alias("per")), grouped))  # noqa: E741
@@ -158,47 +181,44 @@ def _line_groups(text: Column, size: int) -> Column:
 
 def by_lines(df: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
     """Equal numbers of lines a chunk, of about ``size`` estimated tokens; blank chunks are left out."""
-    docs = _docs(df, id_col, text_col)
-    return _with_empty(docs, _runs(docs.where(~_blank()).select("doc", _line_groups(F.col("t"), size).alias("p")), ""))
+    docs = _docs(df, id_col, text_col).select("doc", _line_groups(F.col("t"), size).alias("text"))
+    ones = lambda v: F.transform("text", lambda x: F.lit(v).cast("long"))
+    return _runs(docs.select("doc", "text", ones(1).alias("n"), ones(0).alias("limit"), F.lit(True).alias("exact")), "")
+
+
+def windows(sizes: np.ndarray, size: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """The runs (first, end) of sentences of these sizes, by binary search over their running sums.
+
+    A run ends with the sentence that brings it to ``size``, or before the one that would bring it beyond ``most``; the next
+    one begins with the first sentence from which on the rest of the run is at most ``overlap``, but never with the same.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    find = lambda value, side: int(np.searchsorted(upto, value, side))
+    out, first = [], 0
+    while first < len(sizes):
+        end = min(find(upto[first] + size, "left"), find(upto[first] + most, "right") - 1, len(sizes))
+        if end <= first:  # one sentence beyond the most
+            break
+        out.append((first, end))
+        first = len(sizes) if end == len(sizes) else max(first + 1, find(upto[end] - overlap, "left"))
+    return out
 
 
 def sentence_windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, most: int = MOST, overlap: int = 32) -> DataFrame:
     """Overlapping runs of sentences: each run begins with the last sentences of the one before that fit ``overlap``.
 
-    Sentences and their sizes are found in the JVM; the walk with its step back runs over the sizes alone.  A sentence
-    beyond ``most`` ends the text's chunks.
+    A sentence beyond ``most`` ends the text's chunks.
     """
-    docs = _docs(df, id_col, text_col)
-    parts = F.split("t", r"(?<=[.!?])\s+")
-    gaps = F.concat(F.transform(F.regexp_extract_all("t", F.lit(r"(?<=[.!?])\s+"), F.lit(0)), lambda g: F.char_length(g)), F.array(F.lit(0)))
-    d = docs.where(~_blank()).select("doc", parts.alias("s"), gaps.alias("g"))
-    d = d.withColumn("n", F.transform("s", lambda x: T.estimated_tokens(x).cast("int")))
+    between = r"(?<=[.!?])\s+"
+    docs = _docs(df, id_col, text_col).where(F.col("doc").isNotNull()).select("doc", F.when(F.col("t").rlike(r"(?U)\S"), F.col("t")).otherwise("").alias("t"))
+    d = docs.select("doc", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", between)).alias("s"), F.transform(F.regexp_extract_all("t", F.lit(between), F.lit(0)), lambda g: F.char_length(g)).alias("g"))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for sizes in b[1].to_pylist():
-                i, runs = 0, []
-                while i < len(sizes):
-                    first, total = i, 0
-                    while i < len(sizes) and total < size and total + sizes[i] <= most:
-                        total += sizes[i]
-                        i += 1
-                    if i == first:
-                        break
-                    runs.append({"a": first, "b": i})
-                    if i < len(sizes):
-                        back, kept = i, 0
-                        while back > first + 1 and kept + sizes[back - 1] <= overlap:
-                            kept += sizes[back - 1]
-                            back -= 1
-                        i = back
-                out.append(runs or [{"a": 0, "b": 0}])
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc", "runs"])
-
-    runs = d.select("doc", "n").mapInArrow(walk, f"doc {dict(docs.dtypes)['doc']}, runs array<struct<a:int,b:int>>")
-    rows = d.join(runs, "doc").select("doc", "s", "g", F.posexplode("runs").alias("chunk_index", "r"))
-    content = F.array_join(F.slice("s", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), " ")
-    before = F.aggregate(F.zip_with(F.slice("s", 1, F.col("r.a")), F.slice("g", 1, F.col("r.a")), lambda x, y: F.char_length(x) + y), F.lit(0), lambda a, x: a + x)
-    placed = rows.select("doc", "chunk_index", content.alias("content"), before.alias("start_pos")).withColumn("end_pos", F.col("start_pos") + F.char_length("content"))
-    return _with_empty(docs, placed)
+    def chunks_of(sentences: list[str], gaps: list[int], sizes: list[int]) -> list[Placed]:
+        starts = np.concatenate([[0], np.cumsum([len(x) + g for x, g in zip(sentences, [*gaps, 0][: len(sentences)], strict=True)])])
+        out = []
+        for s, e in windows(np.array(sizes, np.int64), size, most, overlap):
+            content = " ".join(sentences[s:e])
+            out.append((content, int(starts[s]), int(starts[s]) + len(content)))
+        return out
+
+    return _per_text(d.select("doc", "s", "g", _sized(F.col("s")).alias("n")), chunks_of)

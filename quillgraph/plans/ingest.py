@@ -37,9 +37,10 @@ def line_chunks(spark: SparkSession, root: str) -> DataFrame:
 @book.query()
 def merged_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Paragraph chunks of all documents, merged where neighbours are similar."""
-    docs = table(spark, root, "documents").select("doc_id", T.modality("document_path").alias("modality"))
-    c = chunkers.paragraphs(table(spark, root, "documents"), "doc_id", "text").withColumn("tokens", T.estimated_tokens("content"))
-    return features.merge_similar(c.join(docs.withColumnRenamed("doc_id", "doc"), "doc"))
+    d = table(spark, root, "documents").withColumn("key", F.struct("doc_id", T.modality("document_path").alias("modality")))
+    c = chunkers.paragraphs(d, "key", "text").withColumn("tokens", T.estimated_tokens("content"))
+    rows = c.select(F.col("doc.doc_id").alias("doc"), "chunk_index", "content", "start_pos", "end_pos", "tokens", F.col("doc.modality").alias("modality"))
+    return features.merge_similar(rows)
 
 
 @book.query()

@@ -108,16 +108,53 @@ def greedy(sizes, limits):
     return runs
 
 
-def test_dealt(spark):
+def test_dealt():
     import random
 
     rng = random.Random(3)
-    for _ in range(5):
+    for _ in range(50):
         sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 30))]
         limits = [rng.randint(8, 14) for _ in sizes]
-        df = spark.createDataFrame([([{"n": a, "limit": b} for a, b in zip(sizes, limits, strict=True)],)], "p array<struct<n:long,limit:int>>")
-        got = df.select(chunkers.dealt(F.col("p"))).first()[0]
-        assert [got.count(i) for i in range(max(got) + 1)] == greedy(sizes, limits)
+        starts = chunkers.dealt(sizes, limits)
+        assert [b - a for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)] == greedy(sizes, limits)
+
+
+def test_windows():
+    import random
+
+    import numpy as np
+
+    def walk(sizes, size, most, overlap):
+        out, i = [], 0
+        while i < len(sizes):
+            first, total = i, 0
+            while i < len(sizes) and total < size and total + sizes[i] <= most:
+                total += sizes[i]
+                i += 1
+            if i == first:
+                break
+            out.append((first, i))
+            if i < len(sizes):
+                i = next(b for b in range(first + 1, i + 1) if sum(sizes[b:i]) <= overlap)
+        return out
+
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.randint(1, 12) for _ in range(rng.randint(0, 25))]
+        args = rng.randint(1, 20), rng.randint(8, 25), rng.randint(0, 12)
+        assert chunkers.windows(np.array(sizes, np.int64), *args) == walk(sizes, *args)
+
+
+def test_token_estimates_agree(spark):
+    import random
+
+    from quillgraph.functions import text as T
+
+    rng = random.Random(8)
+    signs = ["a", "Bc", "HTTP", "X", "1", "_", "é", "日", " ", "\n", "\t ", "(", ")", ":", "=", ".", "\u00a0"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.estimated_tokens("x").alias("n")).collect()
+    assert [(r["x"], r["n"]) for r in rows if "\u00a0" not in r["x"] and r["n"] != T.token_estimate(r["x"])] == []
 
 
 @pytest.fixture
@@ -155,4 +192,6 @@ def test_fingerprint_and_merge(spark):
     assert abs(sum(x * x for x in got["a"]) - 1) < 1e-5 and len(got["b"]) == 128 and got["c"] is None
     ch = spark.createDataFrame([("d", i, t, i * 10, i * 10 + 9, 5, m) for i, (t, m) in enumerate([("same words here", "text"), ("same words here", "text"), ("@#%&*{}[]()", "text")])], "doc string, chunk_index long, content string, start_pos long, end_pos long, tokens long, modality string")
     m = features.merge_similar(ch, threshold=0.9).orderBy("chunk_index").collect()
-    assert m[0]["content"] == "same words here\n\nsame words here" and m[0]["tokens"] == 10 and len(m) == 2
+    assert m[0]["content"] == "same words here\n\nsame words here" and m[0]["tokens"] == 6 and [r["chunk_index"] for r in m] == [0, 1]
+    apart = features.merge_similar(ch.withColumn("modality", F.lit("code")).replace({"same words here": "def same(words)"}, subset=["content"])).collect()
+    assert len(apart) == 3  # definitions stay apart
