@@ -50,6 +50,23 @@ def split_identifier(name: Column | str) -> Column:
     return F.when(col(name).rlike("^[a-z]+$"), F.array(col(name))).otherwise(parts)  # most words are one part
 
 
+_IDENTIFIER = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b")
+_CASES = [re.compile(p) for p in (r"([A-Z])([A-Z][a-z])", r"([a-z])([A-Z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])")]
+
+
+def identifier_list(text: str) -> list[str]:
+    """``identifiers`` of one value, such as a query."""
+    return _IDENTIFIER.findall(text)
+
+
+def identifier_parts(name: str) -> list[str]:
+    """``split_identifier`` of one value."""
+    spaced = re.sub(r"[_\-]+", " ", name.strip())
+    for pattern in _CASES:
+        spaced = pattern.sub(r"\1 \2", spaced)
+    return spaced.lower().split()
+
+
 def estimated_tokens(text: Column | str) -> Column:
     """An estimate of a text's BPE tokens: pieces of a fixed pattern, less the pairs that BPE usually joins.
 

@@ -1,81 +1,79 @@
-"""Keyword ranking (Okapi BM25) over a postings table.
+"""Keyword ranking (Okapi BM25) over a postings table that is built once and asked many times.
 
-A posting is (id, term, tf); a term is a stemmed part of an identifier of at least two signs.  Stemming runs once for
-each distinct part of the collection and is joined back; the optimizer broadcasts the vocabulary only if its measured
-size allows.  Records with a null id, null or empty text are left out of the index; a repeated id counts once.
+A posting is (id, term, tf); a term is a stemmed part of an identifier of at least two signs.  The texts are read once; each
+distinct word of the collection is split and stemmed once and joined back.  Postings are written in buckets by term, so a
+query reads the buckets of its terms only; record lengths and totals are written with them.  Records with a null id, null or
+empty text are left out of the index; a repeated id counts once.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.functions.stem import with_stems
-from quillgraph.session import materialize
+from quillgraph.functions.stem import stem, with_stems
+from quillgraph.operators.repeats import kept_rows
+from quillgraph.session import materialize, materialize_by
 
 K1, B = 1.5, 0.75
 
 
-def parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, part, tf): identifier parts of at least two signs with their counts.  One shuffle, by id.
+def split_words(words: DataFrame) -> DataFrame:
+    """(w, part): the parts of at least two signs of each word of ``words`` (w), repeats included."""
+    return words.select("w", F.explode(T.split_identifier("w")).alias("part")).where(F.char_length("part") > 1)
 
-    A record without such parts has one row with a null part and 0, so the table also says which records there are.
-    """
-    one = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).dropDuplicates(["id"])
-    words = one.select("id", F.explode_outer(T.identifiers("t")).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
-    split = words.select("id", "n", F.explode_outer(F.filter(T.split_identifier("w"), lambda p: F.char_length(p) > 1)).alias("part"))
-    return split.groupBy("id", "part").agg(F.sum(F.when(F.col("part").isNotNull(), F.col("n")).otherwise(0)).alias("tf"))
 
+def stems(words: DataFrame) -> DataFrame:
+    """(part, term): each distinct part of the words (w) with its stem."""
+    return with_stems(split_words(words).select("part").distinct(), "part", "term")
 
-def stems(parts_df: DataFrame) -> DataFrame:
-    """(part, term): each distinct part with its stem."""
-    return with_stems(parts_df.where(F.col("part").isNotNull()).select("part").distinct(), "part", "term")
 
+def word_counts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(counts (id, w, n), ids (id)): the identifiers of every record that has a text, and all such records."""
+    rows, ids = kept_rows(df.where(F.col(text_col) != ""), id_col, text_col, "bm25-records")
+    words = rows.select(F.col("_id").alias("id"), "_copies", F.explode(T.identifiers("_text")).alias("w"))
+    counts = words.groupBy("id", "w").agg((F.count("*") / F.max("_copies")).cast("long").alias("n"))
+    return materialize(counts, "bm25-words"), ids.select(F.col("_id").alias("id"))
 
-class Index:
-    """Postings by unstemmed part and record lengths, written once and read by every query over the collection.
 
-    ``parts`` is (id, part, tf); ``sizes`` is (id, dl) of every indexed record, 0 for those without terms.
-    """
+class Index:
+    """Postings (id, term, tf), lengths (id, dl; 0 for records without terms) and totals, written once."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str):
-        self.parts = materialize(parts(df, id_col, text_col), "bm25-parts")
-        self.sizes = self.parts.groupBy("id").agg(F.sum("tf").alias("dl"))
-
-    def postings(self) -> DataFrame:
-        """(id, term, tf)."""
-        return self.parts.join(stems(self.parts), "part").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+        counts, ids = word_counts(df, id_col, text_col)
+        distinct = counts.select("w").distinct()
+        parts = split_words(distinct)
+        terms = materialize(parts.join(stems(distinct), "part").groupBy("w", "term").agg(F.count("*").alias("k")), "bm25-terms")
+        made = counts.join(terms, "w").groupBy("id", "term").agg(F.sum(F.col("n") * F.col("k")).alias("tf"))
+        self.postings = materialize_by(made, "term", "bm25_postings")
+        lengths = self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+        self.sizes = materialize(ids.join(lengths, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")), "bm25-sizes")
+        self.n, self.average_length = self.stats().select("n", "average_length").first()
 
     def stats(self) -> DataFrame:
         """One row: records (n), average length (average_length), terms."""
         return self.sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("average_length"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms"))
 
     def scores(self, query: str) -> DataFrame:
-        """(id, score) of every record that shares a term with the query; repeated query terms count.
-
-        A stem keeps its word's first letter, so only the vocabulary of the query's first letters is stemmed; only
-        postings of the parts found leave the scan.
-        """
-        q = query_terms(self.parts, query)
-        letters = sorted({m[0].lower() for m in re.findall(r"[A-Z]?[a-z]+|[0-9]+|[A-Z]", query)})
-        wanted = stems(self.parts.where(F.substring("part", 1, 1).isin(letters))).join(F.broadcast(q), "term")
-        tf = self.parts.join(wanted, "part").groupBy("id", "term", "qtf").agg(F.sum("tf").alias("tf"))
-        docs = tf.groupBy("term").agg(F.count("*").alias("df"))
-        total = self.stats().select(F.struct("n", "average_length").alias("s")).scalar()
-        n, avgdl = total.getField("n"), total.getField("average_length")
-        rows = tf.join(docs, "term").join(self.sizes, "id")
-        part = F.col("qtf") * idf(n, F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+        """(id, score) of every record that shares a term with the query; repeated query terms count."""
+        wanted = query_terms(query)
+        if not wanted:
+            return self.sizes.where("false").select("id", F.lit(0.0).alias("score"))
+        hits = self.postings.where(F.col("term").isin(list(wanted)))
+        docs = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
+        times = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col("term"))
+        rows = hits.join(F.broadcast(docs), "term").join(self.sizes, "id")
+        weight = times * idf(F.lit(self.n), F.col("df"))
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.average_length or 1.0)))
         return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def query_terms(df: DataFrame, query: str) -> DataFrame:
-    """(term, qtf) of a query: a literal, so a handful of rows."""
-    one = df.sparkSession.range(1).select(F.lit(query).alias("q"))
-    p = one.select(F.explode(T.identifiers("q")).alias("w")).select(F.explode(T.split_identifier("w")).alias("part")).where(F.char_length("part") > 1)
-    return with_stems(p, "part", "term").groupBy("term").agg(F.count("*").alias("qtf"))
+def query_terms(query: str) -> dict[str, int]:
+    """The terms of a query and how often each is named."""
+    return dict(Counter(stem(p) for w in T.identifier_list(query) for p in T.identifier_parts(w) if len(p) > 1))
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -43,12 +43,82 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, query: list[float], k:
     return rows.orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def nearest_current(history: DataFrame, id_col: str, version_col: str, vector_col: str, query: list[float], k: int) -> DataFrame:
+    """(id, similarity) of the k ids whose highest version is nearest to one query vector, to nine places.
+
+    Similarities are taken row by row and the version is decided among them, so no vector is shuffled.  An id whose highest
+    version is not usable is similar to none.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    own = F.when(usable(F.col(vector_col), len(query)), cosine(F.col(vector_col), q))
+    last = history.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(version_col).alias("n"), own.alias("s")).groupBy("id").agg(F.max_by("s", "n").alias("similarity"))
+    return last.where(F.col("similarity").isNotNull()).orderBy(F.desc(F.round("similarity", 9)), "id").limit(k)
+
+
+#: Query vectors that are sent to every task at most, in bytes of their numbers.
+SENT = 64 << 20
+
+
 def nearest_batch(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, dim: int, k: int, blocks: int = 16) -> DataFrame:
     """(query_id, id, rank, similarity): the k nearest of every query row, by exact block products.
 
-    Queries are dealt into blocks and each block meets all base rows in one Arrow task group; a task holds one block of
-    queries and keeps k rows for each, so memory does not grow with the base.  The partial lists meet in a window.
+    Queries of up to SENT bytes, which is checked, go to every task; the base streams by in batches and a task keeps the k
+    best of each query so far, so the base is neither shuffled nor held.  More queries meet the base in shuffled blocks.
     """
+    usable_queries = queries.where(usable(F.col(vector_col), dim))
+    few = usable_queries.limit(SENT // (8 * dim) + 1).count()
+    if few * 8 * dim > SENT:
+        partial = _blocks(queries, base, id_col, vector_col, dim, k, blocks)
+    else:
+        partial = _streamed(usable_queries, base.where(usable(F.col(vector_col), dim)), id_col, vector_col, dim, k)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
+    return partial.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "rank", "similarity")
+
+
+def _streamed(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, dim: int, k: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+        n = np.sqrt((x * x).sum(1))
+        return x / np.where(n == 0, 1, n)[:, None]
+
+    held = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).toArrow()
+    ids = held["q"].combine_chunks() if held.num_rows else pa.array([], pa.int64())
+    sent = base.sparkSession.sparkContext.broadcast((ids, matrix(held["v"].combine_chunks()) if held.num_rows else np.empty((0, dim))))
+
+    def work(batches):  # noqa: ANN001, ANN202
+        ids, x = sent.value
+        best_s, best_i = np.full((len(x), 0), -2.0), np.empty((len(x), 0), object)
+        kind = None
+        for b in batches:
+            kind = b[0].type
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                s = x @ matrix(part[1]).T
+                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(np.array(part[0].to_pylist(), object), s.shape)], 1)
+                r = np.round(s, 12)
+                if s.shape[1] > k:  # all that ties with the k-th stays in until the end decides by id
+                    least = np.partition(r, r.shape[1] - k, 1)[:, r.shape[1] - k]
+                    keep = r >= least[:, None]
+                    order = np.array([_first(np.flatnonzero(keep[q]), r[q], i[q], k) for q in range(len(x))], int).reshape(len(x), k)
+                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                best_s, best_i = s, i
+        if kind is not None and len(x):
+            rows = np.repeat(np.arange(len(x)), best_s.shape[1])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(best_i.ravel().tolist(), kind), pa.array(best_s.ravel())], ["query_id", "id", "similarity"])
+
+    return base.select(id_col, vector_col).mapInArrow(work, f"query_id {dict(queries.dtypes)[id_col]}, id {dict(base.dtypes)[id_col]}, similarity double")
+
+
+def _first(at, r, ids, k: int) -> list[int]:  # noqa: ANN001
+    """The k best places among ``at``: by similarity, then id."""
+    return sorted(at.tolist(), key=lambda j: (-r[j], ids[j]))[:k]
+
+
+def _blocks(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, dim: int, k: int, blocks: int) -> DataFrame:
+    """(query_id, id, similarity): the k best of each query in each share of the base; every block of queries meets every share once."""
     import numpy as np
     import pandas as pd
 
@@ -71,9 +141,7 @@ def nearest_batch(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
         at = order.ravel()
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "id": ids[at], "similarity": s[rows, at]})
 
-    partial = q.groupBy("_b", "_p").cogroup(b.groupBy("_b", "_p")).applyInPandas(meet, cols)
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return partial.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "rank", "similarity")
+    return q.groupBy("_b", "_p").cogroup(b.groupBy("_b", "_p")).applyInPandas(meet, cols)
 
 
 def blend_weight(query: str, base: float) -> float:

@@ -13,6 +13,7 @@ from quillgraph.plans.base import Book
 from quillgraph.plans.graph import GRAPH
 from quillgraph.plans.retrieval import _PRESENT, QUERY, SCORED, TERMS
 from quillgraph.plans.retrieval import _chunks as _content
+from quillgraph.plans.retrieval import _index
 from quillgraph.plans.store import _raw
 from quillgraph.sources.tables import table
 
@@ -24,7 +25,7 @@ SELECT chunk_id, coalesce((SELECT list_sort(list(DISTINCT symbol_name)) FROM edg
 coalesce((SELECT list_sort(list(DISTINCT symbol_name)) FROM edges WHERE target_chunk_id = chunk_id), []) AS depended_on_by FROM h""")
 def search_with_edges(spark: SparkSession, root: str) -> DataFrame:
     """The best chunks with the symbols that tie them to others."""
-    hits = bm25.top(bm25.Index(_content(spark, root), "chunk_id", "content").scores(QUERY), 10).select(F.col("id").alias("chunk_id"))
+    hits = bm25.top(_index(spark, root).scores(QUERY), 10).select(F.col("id").alias("chunk_id"))
     return compose.attach_edges(hits, S.resolve(table(spark, root, "symbols")))
 
 
@@ -37,7 +38,7 @@ g AS (SELECT id, score, CASE WHEN len(found) = 0 THEN 0 ELSE 0.4 * present / {ma
 SELECT id AS chunk_id, round(CASE WHEN near > 0 THEN round(score * 0.65 + near * 0.35, 6) ELSE score END, 5) AS score FROM g ORDER BY CASE WHEN near > 0 THEN round(score * 0.65 + near * 0.35, 6) ELSE score END DESC, id LIMIT 10""")
 def proximity_rerank(spark: SparkSession, root: str) -> DataFrame:
     c = _content(spark, root)
-    hits = bm25.top(bm25.Index(c, "chunk_id", "content").scores(QUERY), 20).withColumn("score", F.round("score", 6))
+    hits = bm25.top(_index(spark, root).scores(QUERY), 20).withColumn("score", F.round("score", 6))
     rows = hits.join(c.select(F.col("chunk_id").alias("id"), "content"), "id")
     return compose.rerank(rows, "content", TERMS, 10).select(F.col("id").alias("chunk_id"), F.round("score", 5).alias("score"))
 
@@ -51,7 +52,7 @@ SELECT chunk_id, arg_min(name, id) AS symbol, round((SELECT coalesce(min(score),
 WHERE role = 'definition' AND document_path IS NOT NULL AND lower(name) IN ('load_chunk', 'load_bucket', 'schemaerror') AND chunk_id NOT IN (SELECT chunk_id FROM h) AND chunk_id IN (SELECT chunk_id FROM c) GROUP BY chunk_id""")
 def symbol_boost(spark: SparkSession, root: str) -> DataFrame:
     c = _content(spark, root)
-    ranked = bm25.top(bm25.Index(c, "chunk_id", "content").scores(QUERY), 10).select(F.col("id").alias("chunk_id"), "score")
+    ranked = bm25.top(_index(spark, root).scores(QUERY), 10).select(F.col("id").alias("chunk_id"), "score")
     return compose.symbol_boost(ranked, S.cleaned(table(spark, root, "symbols")), IDENTIFIERS, c)
 
 
@@ -65,7 +66,7 @@ SELECT chunk_id, source FROM b ORDER BY o, chunk_id LIMIT 50""")
 def combined_search(spark: SparkSession, root: str) -> DataFrame:
     """Keyword hits, then chunks with a symbol, then chunks with a text; each chunk once."""
     c = _content(spark, root)
-    hits = bm25.top(bm25.Index(c, "chunk_id", "content").scores(QUERY), 10)
+    hits = bm25.top(_index(spark, root).scores(QUERY), 10)
     from pyspark.sql import Window
 
     k = hits.select(F.col("id").alias("chunk_id"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("pos"))  # ten rows

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.functions.stem import stem_sql
-from quillgraph.operators import bm25, vectors
+from quillgraph import session
+from quillgraph.operators import bm25, features, vectors
 from quillgraph.plans.base import Book
 from quillgraph.sources.tables import table
 
@@ -25,8 +26,17 @@ def _raw(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select("chunk_id", "document_path", "content", "start_pos", "end_pos", "token_count")
 
 
+_BUILT: dict[tuple[str, str, int], tuple[tuple, bm25.Index]] = {}
+
+
 def _index(spark: SparkSession, root: str) -> bm25.Index:
-    return bm25.Index(_chunks(spark, root), "chunk_id", "content")
+    """The index of the chunks: built once, and again only if the ids that it was built from have changed."""
+    c = table(spark, root, "chunks").select("chunk_id", "content")
+    state = tuple(c.agg(F.count("*"), F.bit_xor(F.xxhash64("chunk_id"))).first())
+    key = (spark.sparkContext.applicationId, root, session.epoch)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        _BUILT[key] = state, bm25.Index(c, "chunk_id", "content")
+    return _BUILT[key][1]
 
 
 CHUNKS = "c AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_path, content, start_pos, end_pos, token_count FROM chunks)"
@@ -73,17 +83,14 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
 @book.query(f"WITH {SCORED} SELECT id AS chunk_id, round(coalesce(score, 0), 6) AS score FROM one LEFT JOIN scored USING (id)")
 def bm25_score_batch(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk's score; 0 for those without a hit."""
-    c = _chunks(spark, root)
-    s = bm25.Index(c, "chunk_id", "content").scores(QUERY)
-    every = c.where("content <> ''").select(F.col("chunk_id").alias("id"))
-    return every.join(s, "id", "left").select(F.col("id").alias("chunk_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    index = _index(spark, root)
+    return index.sizes.join(index.scores(QUERY), "id", "left").select(F.col("id").alias("chunk_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 @book.query(f"WITH {PARTS} SELECT term, count(*)::BIGINT AS chunks, sum(tf)::BIGINT AS uses FROM posts GROUP BY term")
 def bm25_index(spark: SparkSession, root: str) -> DataFrame:
     """Document frequency and uses of every stemmed term."""
-    p = _index(spark, root).postings()
-    return p.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("uses"))
+    return _index(spark, root).postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("uses"))
 
 
 @book.query(f"WITH {PARTS} SELECT count(*)::BIGINT AS n, round(avg(dl), 6) AS average_length, sum(dl)::BIGINT AS terms FROM dl")
@@ -93,7 +100,8 @@ def bm25_stats(spark: SparkSession, root: str) -> DataFrame:
 
 @book.query(f"WITH {PARTS} SELECT part, term FROM vocabulary")
 def vocabulary_stems(spark: SparkSession, root: str) -> DataFrame:
-    return bm25.stems(bm25.parts(_chunks(spark, root), "chunk_id", "content"))
+    words = table(spark, root, "chunks").where(F.col("chunk_id").isNotNull()).select(F.explode(T.identifiers("content")).alias("w"))
+    return bm25.stems(words.distinct())
 
 
 @book.query(f"""WITH names AS (SELECT DISTINCT name FROM symbols WHERE name IS NOT NULL), split AS (SELECT name, unnest({_split('name')}) AS part FROM names)
@@ -120,9 +128,8 @@ PREFIX = "meridian"
 WHERE document_path = '{PREFIX}' OR starts_with(document_path, '{PREFIX}/') ORDER BY score DESC, chunk_id LIMIT 10""")
 def path_prefix_search(spark: SparkSession, root: str) -> DataFrame:
     """The best chunks under a path; the filter comes before the cut."""
-    c = _chunks(spark, root)
-    s = bm25.Index(c, "chunk_id", "content").scores(QUERY)
-    inside = c.where(T.under_path("document_path", PREFIX)).select(F.col("chunk_id").alias("id"))
+    s = _index(spark, root).scores(QUERY)
+    inside = table(spark, root, "chunks").where(T.under_path("document_path", PREFIX)).select(F.col("chunk_id").alias("id"))
     return bm25.top(s.join(inside, "id", "left_semi"), 10).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
@@ -215,12 +222,13 @@ def knn_label_vote(spark: SparkSession, root: str) -> DataFrame:
 
 
 ALPHA = vectors.blend_weight(QUERY, 0.42)
+QUERY_VECTOR = [round(float(x), 9) for x in features.fingerprint(QUERY)]
 
 
 @book.query(f"""WITH {SCORED},
 h AS (SELECT chunk_id, semantic_signature AS v FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) AS r FROM chunk_history) WHERE r = 1
       AND len(semantic_signature) = 128 AND NOT list_bool_or(list_transform(semantic_signature, lambda x: x IS NULL OR isnan(x)))),
-qv AS (SELECT v AS w FROM h WHERE list_sum(list_transform(v, lambda x: x * x)) > 0 ORDER BY chunk_id LIMIT 1),
+qv AS (SELECT {QUERY_VECTOR}::DOUBLE[] AS w),
 near AS (SELECT chunk_id AS id, CASE WHEN list_sum(list_transform(h.v, lambda x: x * x)) = 0 THEN 0.0 ELSE list_cosine_similarity(h.v::DOUBLE[], qv.w::DOUBLE[]) END AS s FROM h, qv ORDER BY round(s, 9) DESC, id LIMIT 30),
 kw AS (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 20),
 m AS (SELECT id, s AS v, coalesce(score, 0) AS b FROM near FULL JOIN kw USING (id)),
@@ -233,12 +241,8 @@ SELECT id AS chunk_id, round(CASE WHEN fallback THEN b / bmax ELSE {ALPHA}::DOUB
  + (1 - {ALPHA}::DOUBLE) * (CASE WHEN bmax > 0 THEN b / bmax ELSE b END) END, 6) AS score, CASE WHEN fallback THEN 'keyword' ELSE 'vector' END AS source
 FROM s, g ORDER BY score DESC, chunk_id LIMIT 10""")
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
-    """Vector and keyword top lists blended, with the fallback to keywords."""
-    h = table(spark, root, "chunk_history").groupBy("chunk_id").agg(F.max_by("semantic_signature", "version").alias("v"))
-    h = h.where(vectors.usable(F.col("v"), 128))
-    q = h.where(vectors.dot(F.col("v"), F.col("v")) > 0).orderBy("chunk_id").select("v").first()
-    near = h.select(F.col("chunk_id").alias("id"), vectors.cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in (q[0] if q else [0.0] * 128)])).alias("similarity"))
-    near = near.orderBy(F.desc(F.round("similarity", 9)), "id").limit(30)
+    """Vector and keyword top lists blended, with the fallback to keywords; the query's vector is its own fingerprint."""
+    near = vectors.nearest_current(table(spark, root, "chunk_history"), "chunk_id", "version", "semantic_signature", QUERY_VECTOR, 30)
     kw = bm25.top(_index(spark, root).scores(QUERY), 20)
     out = vectors.hybrid(near, kw, ALPHA, 10)
     return out.select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "source").orderBy(F.desc("score"), "chunk_id").limit(10)

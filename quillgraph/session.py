@@ -33,11 +33,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or (only where unset, as in tests) a temporary one."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
         ctx = spark.sparkContext._jsc.sc().getCheckpointDir()
         given = ctx.get() if ctx.isDefined() else None
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -45,6 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: What ``materialize`` and ``materialize_by`` have written in this process: (session, path, table name or "").
 _WRITTEN: list[tuple[SparkSession, str, str]] = []
+#: How often ``release`` has run: what was built on written tables before is gone.
+epoch = 0
+#: The schema of the bucketed tables; it lies in the shared folder.
+SCHEMA = "quillgraph"
+
+
+def _schema(spark: SparkSession) -> str:
+    """The prefix of bucketed tables: a schema of their own, cleared of tables whose folder is gone, or none if the catalog gives none."""
+    key = (spark.sparkContext.applicationId, SCHEMA)
+    if key not in _SCHEMAS:
+        try:
+            spark.sql(f"CREATE SCHEMA IF NOT EXISTS {SCHEMA} LOCATION '{shared_dir(spark)}/{SCHEMA}.db'")
+            for t in spark.catalog.listTables(SCHEMA):
+                where = [r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {SCHEMA}.{t.name}").collect() if r["col_name"] == "Location"]
+                if where and not _exists(spark, where[0]):
+                    spark.sql(f"DROP TABLE IF EXISTS {SCHEMA}.{t.name}")
+            _SCHEMAS[key] = f"{SCHEMA}."
+        except Exception:  # noqa: BLE001 - a catalog without the right to make schemas
+            _SCHEMAS[key] = ""
+    return _SCHEMAS[key]
+
+
+_SCHEMAS: dict[tuple[str, str], str] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def release() -> None:
@@ -52,6 +82,8 @@ def release() -> None:
 
     Runs by itself when the process ends; a long session may call it between jobs.
     """
+    global epoch
+    epoch += 1
     while _WRITTEN:
         spark, path, name = _WRITTEN.pop()
         steps = (lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") if name else None, lambda: _delete(spark, path))  # noqa: B023
@@ -89,8 +121,8 @@ def materialize_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
     """As ``materialize``, bucketed by ``key``: later joins on it read the table without shuffling it again."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{made}"
+    table = f"quillgraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path, made = f"{shared_dir(spark)}/{table}", _schema(spark) + table
     try:
         df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
     except AnalysisException:  # a catalog that takes no such table: the join shuffles instead
