@@ -9,7 +9,10 @@ empty text are left out of the index; a repeated id counts once.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,19 @@ def stems(words: DataFrame) -> DataFrame:
     return with_stems(split_words(words).select("part").distinct(), "part", "term")
 
 
+def word_terms(words: DataFrame) -> DataFrame:
+    """(w, term, k): the terms of each distinct word and how often it holds them, in Arrow batches over the vocabulary."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = lru_cache(1 << 16)(stem)
+        for b in batches:
+            rows = [(w, t, k) for w in b[0].to_pylist() for t, k in Counter(once(p) for p in T.identifier_parts(w) if len(p) > 1).items()]
+            w, t, k = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(t, pa.string()), pa.array(k, pa.int64())], ["w", "term", "k"])
+
+    return words.select("w").mapInArrow(work, "w string, term string, k bigint")
+
+
 def word_counts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(counts (id, w, n), ids (id)): the identifiers of every record that has a text, and all such records."""
     rows, ids = kept_rows(df.where(F.col(text_col) != ""), id_col, text_col, "bm25-records")
@@ -44,9 +60,7 @@ class Index:
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str):
         counts, ids = word_counts(df, id_col, text_col)
-        distinct = counts.select("w").distinct()
-        parts = split_words(distinct)
-        terms = materialize(parts.join(stems(distinct), "part").groupBy("w", "term").agg(F.count("*").alias("k")), "bm25-terms")
+        terms = materialize(word_terms(counts.select("w").distinct()), "bm25-terms")
         made = counts.join(terms, "w").groupBy("id", "term").agg(F.sum(F.col("n") * F.col("k")).alias("tf"))
         self.postings = materialize_by(made, "term", "bm25_postings")
         lengths = self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
