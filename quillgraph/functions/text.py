@@ -77,7 +77,7 @@ def estimated_tokens(text: Column | str) -> Column:
     word, blank, sign = "\u0001", "\u0002", "\u0003"
     kinds = F.translate(col(text), word + blank + sign, "!!!")
     kinds = F.regexp_replace(kinds, rf"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[^{WORD_SIGN}]|$)|[0-9]+", word)
-    kinds = F.regexp_replace(kinds, r"\s+", blank)
+    kinds = F.regexp_replace(kinds, r"(?U)[\s\x1c-\x1f]+", blank)
     kinds = F.regexp_replace(kinds, f"[{WORD_SIGN}]+", "")  # what the pattern passes over
     kinds = F.regexp_replace(kinds, f"[^{word}{blank}]", sign)
     return F.greatest(F.lit(1), F.char_length(F.regexp_replace(kinds, f"{blank}[{word}{sign}]|{sign}{sign}", sign))).cast("long")
