@@ -5,8 +5,10 @@ anti-joined with the target on (key, version): a record that is new, or whose ve
 else is remembered, so a run that breaks off before publishing has changed nothing and its records are simply left over
 again, and a record that was published is never left over twice.
 
-``Target`` publishes a version of the target by writing a segment and then creating one small commit file, which the
-file system does atomically; a reader sees all of a run or none of it.
+``Target`` publishes a version of the target by writing a segment and then a small commit file under another name, which is
+renamed to the run's number; a reader sees all of a run or none of it.  The file system has to rename atomically and refuse
+a name that is taken (HDFS and its like; not plain object stores).  ``compact`` writes the current rows as one segment that
+stands for all runs before, so the number of segments that are read stays small; ``vacuum`` removes what no run names.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ class Target:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _log(self) -> list[tuple[int, str]]:
-        """(number, segment) of every commit file; the segment is empty if its writer broke off while committing."""
+        """(number, content) of every commit file, in order.  A name that is no number is a commit that was not finished."""
         log = self._path(f"{self.path}/_log")
         if not self._fs.exists(log):
             return []
@@ -101,8 +103,10 @@ class Target:
         return sorted(found)
 
     def commits(self) -> list[tuple[int, str]]:
-        """(number, segment) of every published run, in order."""
-        return [(n, s) for n, s in self._log() if s]
+        """(number, segment) of the published runs that are to be read, in order: the last compaction and the runs since."""
+        log = self._log()
+        start = max((i for i, (_, content) in enumerate(log) if content.startswith(_BASE)), default=0)
+        return [(n, content.removeprefix(_BASE)) for n, content in log[start:]]
 
     def segments(self) -> DataFrame | None:
         """All published rows, with the number of the run that published them as ``_commit``."""
@@ -134,13 +138,50 @@ class Target:
     def publish(self, output: DataFrame) -> int:
         """Write ``output`` (it must carry key and version) and commit it; returns the run's number.
 
-        Fails without effect if another writer has committed the same number first.
+        Fails without effect if another writer has committed the same number first, and a run that breaks off anywhere
+        before the rename has published nothing.
         """
-        done = self._log()
-        number, segment = (done[-1][0] + 1 if done else 1), f"seg-{uuid.uuid4().hex}"
+        log = self._log()
+        number, segment = (log[-1][0] + 1 if log else 1), f"seg-{uuid.uuid4().hex}"
         output.write.parquet(f"{self.path}/{segment}")
+        self._commit(number, segment)
+        return number
+
+    def _commit(self, number: int, content: str) -> None:
         self._fs.mkdirs(self._path(f"{self.path}/_log"))
-        commit = self._fs.create(self._path(f"{self.path}/_log/{number}"), False)
-        commit.write(bytearray(segment.encode()))  # until it is closed with its content, the commit does not count
-        commit.close()
+        draft = self._path(f"{self.path}/_log/draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        never_replace = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._path(f"{self.path}/_log/{number}")), never_replace)
+
+    def compact(self) -> int | None:
+        """Write the current rows as one segment that stands for all runs so far; returns its number, or None if there is nothing to bring together."""
+        commits, rows = self.commits(), self.rows()
+        if rows is None or len(commits) < 2:
+            return None
+        number, segment = commits[-1][0] + 1, f"seg-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{segment}")
+        self._commit(number, _BASE + segment)
         return number
+
+    def vacuum(self, older_than_seconds: float = 86_400) -> list[str]:
+        """Remove the segments and drafts that no run names and that are older than any run may take; returns their names."""
+        import time
+
+        live, before = {s for _, s in self.commits()}, (time.time() - older_than_seconds) * 1000
+        gone = []
+        for folder, prefix in ((self.path, "seg-"), (f"{self.path}/_log", "draft-")):
+            for s in self._fs.listStatus(self._path(folder)) if self._fs.exists(self._path(folder)) else []:
+                name = s.getPath().getName()
+                if name.startswith(prefix) and name not in live and s.getModificationTime() <= before:
+                    self._fs.delete(s.getPath(), True)
+                    gone.append(name)
+        return gone
+
+
+#: What the commit file of a compaction begins with.
+_BASE = "base:"

@@ -24,12 +24,21 @@ def test_pending_and_target(spark, tmp_path):
     # a run that writes and breaks off before committing changes nothing
     changed.write.parquet(str(tmp_path / "t" / "seg-lost"))
     assert rows(target.pending(changed), "k") == {(1,)}
-    # a commit that broke off half-way is void and does not block the next
-    (tmp_path / "t" / "_log" / "2").write_text("")
+    # a commit that broke off half-way has no number yet and does not block the next
+    (tmp_path / "t" / "_log" / "draft-lost").write_text("seg")
     target.publish(target.pending(changed))
     assert target.pending(changed).count() == 0 and rows(target.rows(), "k", "v") == {(1, "a2"), (2, "b")}
     # back to an older version is a change
     assert rows(target.pending(source.where("k = 1")), "k") == {(1,)}
+    # a number that is taken is refused, without effect
+    with pytest.raises(Exception, match="(?i)exist"):
+        target._commit(2, "seg-lost")
+    # compaction changes what is read, not what it says; what no run names can go
+    before = rows(target.rows(), "k", "v")
+    assert target.compact() == 3 and len(target.commits()) == 1 and rows(target.rows(), "k", "v") == before and target.compact() is None
+    assert target.vacuum() == [] and {"seg-lost", "draft-lost"} <= set(target.vacuum(older_than_seconds=-60)) and rows(target.rows(), "k", "v") == before
+    target.publish(source.where("k = 1"))
+    assert rows(target.rows(), "k", "v") == {(1, "a"), (2, "b")} and rows(target.pending(changed), "k") == {(1,)}
 
 
 def test_documents_to_process(spark):
