@@ -56,6 +56,15 @@ def runs_as_intervals(runs: DataFrame) -> DataFrame:
     return one.select("since", F.lead("since").over(Window.orderBy("since")).alias("until"), "ok")
 
 
+def with_run(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents that lie in a run's interval, with its ``since`` and ``ok``; the join is on days, as in ``indexed_by_success``."""
+    last = F.coalesce(spans.agg(F.max(F.to_date("since"))).scalar(), F.lit("1970-01-01").cast("date"))
+    days = spans.select("since", "until", "ok", F.explode(F.sequence(F.to_date("since"), F.to_date(F.coalesce("until", "since")))).alias("day"))
+    d = documents.withColumn("_day", F.least(F.to_date("indexed_at"), last))
+    inside = (F.col("_day") == F.col("day")) & (F.col("indexed_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("indexed_at") < F.col("until")))
+    return d.join(days, inside).drop("_day", "day", "until")
+
+
 def indexed_by_success(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """The documents whose ``indexed_at`` lies in a successful run: that of the latest start not after it.
 

@@ -9,7 +9,7 @@ from quillgraph.config import EngineConfig
 from quillgraph.operators.vectors import cosine, nearest_batch
 
 
-def index_plan(seen: DataFrame, stored: DataFrame, locks: DataFrame, agent: str) -> DataFrame:
+def index_plan(seen: DataFrame, stored: DataFrame, locks: DataFrame, agent: str | Column) -> DataFrame:
     """(path, step) of every seen file: locked, conflict, same_file, same_content, modified or new.
 
     ``seen`` is (path, modified, length, hash, expected_version), ``stored`` (path, modified, length, hash, version),

@@ -75,31 +75,6 @@ def lock_states(log: DataFrame, now: Column, key: str = "document_path", owner:
     return last.select(key, F.col(f"l.{owner}").alias(owner), F.col(f"l.{at}").alias(at), F.when(held, "locked").otherwise("expired").alias("state"))
 
 
-def lock_replay(log: DataFrame, key: str, owner: str, at: str, ttl_seconds: int) -> DataFrame:
-    """(key, owner, at, outcome) of each request, in order: acquired, refreshed, reclaimed or refused.
-
-    A request is granted if the document is free, held by the same owner, or its lock has expired.  Whether a lock has
-    expired depends on the last granted request, so each document is replayed in order (one group a document).
-    """
-    import pandas as pd
-
-    kinds = dict(log.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{owner}` {kinds[owner]}, `{at}` {kinds[at]}, outcome string"
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, owner], kind="stable")
-        holder, granted, out = None, None, []
-        for o, t in zip(rows[owner], rows[at], strict=True):
-            expired = granted is not None and (t - granted).total_seconds() > ttl_seconds
-            outcome = "acquired" if holder is None else "refreshed" if o == holder else "reclaimed" if expired else "refused"
-            if outcome != "refused":
-                holder, granted = o, t
-            out.append(outcome)
-        return rows.assign(outcome=out)[[key, owner, at, "outcome"]]
-
-    return log.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, owner, at).groupBy(key).applyInPandas(replay, schema)
-
-
 def compare_and_set(documents: DataFrame, requests: DataFrame, key: str = "document_path", version: str = "doc_version") -> DataFrame:
     """(key, expected, actual, granted, new_version): optimistic version checks; a missing document is refused."""
     d = documents.select(F.col(key).alias("_k"), F.col(version).alias("actual"))

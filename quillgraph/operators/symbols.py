@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.session import materialize
 
-#: Names that say little: by rule, Python's keywords and public built-ins.
-NOISE = sorted({*keyword.kwlist, *(x for x in dir(builtins) if not x.startswith("_"))})
+# Keywords and everyday names of other languages, which say little.
+SCRIPT_NOISE = "console log error warn require module exports process document window setTimeout setInterval clearTimeout Promise resolve reject then catch finally JSON parse stringify Object Array String Number Boolean Math Date RegExp Map Set Symbol Error undefined null this arguments push pop shift slice splice forEach filter reduce concat indexOf includes toString hasOwnProperty addEventListener".split()
+JAVA_NOISE = "System out println Integer Long Double List ArrayList HashMap Optional Override equals hashCode valueOf getClass length size stream collect".split()
+GO_NOISE = "make append cap panic recover nil err fmt Println Printf Sprintf Errorf string int bool byte error".split()
+RUST_NOISE = "Some None Ok Err unwrap expect clone into iter vec println format Box Rc Arc Vec String Self self".split()
+COMMON_NOISE = "get set add remove update delete create init run start stop close read write name value key data item items args kwargs self cls config options result test main".split()
+#: Names that say little: by rule, Python's keywords and public built-ins, and the lists above.
+NOISE = sorted({*keyword.kwlist, *(x for x in dir(builtins) if not x.startswith("_")), *SCRIPT_NOISE, *JAVA_NOISE, *GO_NOISE, *RUST_NOISE, *COMMON_NOISE})
 
 
 def cleaned(symbols: DataFrame) -> DataFrame:
@@ -73,16 +79,10 @@ def resolve(symbols: DataFrame, noise: list[str] | None = None) -> DataFrame:
     bad = NOISE if noise is None else noise
     refs = s.where((F.col("role") == "reference") & (F.char_length("name") >= 2) & ~F.col("name").isin(bad)).select("chunk_id", "document_path", "name", "container").distinct()
     defs = s.where(F.col("role") == "definition").select(F.col("chunk_id").alias("target"), F.col("document_path").alias("target_path"), "name", F.col("container").alias("target_container")).distinct()
-    met = refs.join(defs, "name")
     modules = s.where((F.col("role") == "reference") & (F.col("kind") == "module")).select("chunk_id", "document_path", F.col("name").alias("module")).distinct()
     matches = module_matches(modules.select("module").distinct(), defs.select(F.col("target_path").alias("path")).distinct())
-    hinted = modules.join(matches, "module").select("chunk_id", F.col("path").alias("target_path")).distinct().withColumn("_hint", F.lit(True))
-    met = met.join(hinted, ["chunk_id", "target_path"], "left")
-    per = Window.partitionBy("chunk_id", "name", "container")
-    met = met.withColumn("_own", F.coalesce(F.col("container") == F.col("target_container"), F.lit(False)))
-    met = met.withColumn("_any_own", F.max("_own").over(per)).where("_own OR NOT _any_own")
-    met = met.withColumn("_hint", F.coalesce("_hint", F.lit(False))).withColumn("_any_hint", F.max("_hint").over(per)).where("_hint OR NOT _any_hint")
-    named = met.select("chunk_id", "document_path", "name", "target", "target_path")
+    hinted = modules.join(matches, "module").select("chunk_id", F.col("path").alias("target_path")).distinct()
+    named = _preferred(refs, defs, hinted).select("chunk_id", "document_path", "name", "target", "target_path")
     first = s.where(F.col("role") == "definition").groupBy(F.col("document_path").alias("path")).agg(F.min_by("chunk_id", "id").alias("target"))
     lost = modules.join(defs.select(F.col("name").alias("module")).distinct(), "module", "left_anti").join(matches, "module").join(first, "path")
     files = lost.groupBy("chunk_id", "document_path", "module").agg(F.min_by("target", "path").alias("target"), F.min("path").alias("target_path"))
@@ -91,6 +91,88 @@ def resolve(symbols: DataFrame, noise: list[str] | None = None) -> DataFrame:
     return edges.select(F.col("chunk_id").alias("source_chunk_id"), F.col("target").alias("target_chunk_id"), kind.alias("edge_type"), F.col("name").alias("symbol_name")).distinct()
 
 
+def _preferred(refs: DataFrame, defs: DataFrame, hinted: DataFrame) -> DataFrame:
+    """References with the definitions they prefer: of their own container if there are any, then in imported files if there are any, else all of the name.
+
+    The keys of a preference are keys of its join (name and container, name and imported file), so a hot name is met in full
+    only by references without either.  ``hinted`` is (chunk_id, target_path).
+    """
+    key = ["chunk_id", "name", "container"]
+    by_container = refs.where(F.col("container").isNotNull()).join(defs.withColumnRenamed("target_container", "container"), ["name", "container"])
+    rest = refs.join(by_container.select(*key).distinct(), key, "left_anti")
+    # a module that a chunk imports leads it to the definitions of one file
+    in_container = by_container.join(hinted, ["chunk_id", "target_path"])
+    hinted_own = in_container.select(*key).distinct()
+    own = in_container.select(*refs.columns, "target", "target_path").unionByName(by_container.join(hinted_own, key, "left_anti").select(*refs.columns, "target", "target_path"))
+    led = rest.join(hinted, "chunk_id").join(defs.drop("target_container"), ["name", "target_path"]).select(*refs.columns, "target", "target_path")
+    done = led.select("chunk_id", "name", F.coalesce("container", F.lit("")).alias("_c"), F.col("container").isNull().alias("_n")).distinct()
+    free = rest.withColumns({"_c": F.coalesce("container", F.lit("")), "_n": F.col("container").isNull()}).join(done, ["chunk_id", "name", "_c", "_n"], "left_anti").drop("_c", "_n")
+    plain = free.join(defs.drop("target_container"), "name").select(*refs.columns, "target", "target_path")
+    return own.unionByName(led).unionByName(plain).distinct()
+
+
+def significant(name: Column, threshold: float = 0.0, excluded: list[str] | None = None) -> Column:
+    """Whether a name counts: never if it is excluded, and with a threshold above 0 not if it says little."""
+    ok = ~name.isin(excluded) if excluded else F.lit(True)
+    return ok & ~name.isin(NOISE) if threshold > 0 else ok
+
+
+def rebuilt(edges: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """The edges after the chunks of ``changed`` (chunk_id) got new symbols: what they touch by name or by end is resolved anew, the rest stays.
+
+    A name is touched if a changed chunk has it now or an old edge of a changed chunk bore it; module names are resolved
+    through files, so chunks that import are resolved with all their names.
+    """
+    s, ids = cleaned(symbols), changed.select("chunk_id").distinct()
+    mine = s.join(ids, "chunk_id", "left_semi").select("name")
+    sides = [edges.join(ids.withColumnRenamed("chunk_id", c), c, "left_semi").select(F.col("symbol_name").alias("name")) for c in ("source_chunk_id", "target_chunk_id")]
+    names = materialize(mine.unionByName(sides[0]).unionByName(sides[1]).unionByName(s.where((F.col("role") == "reference") & (F.col("kind") == "module")).select("name")).distinct(), "names")
+    fresh = resolve(symbols).join(names.withColumnRenamed("name", "symbol_name"), "symbol_name", "left_semi")
+    kept = edges.join(names.withColumnRenamed("name", "symbol_name"), "symbol_name", "left_anti")
+    return kept.unionByName(fresh.select(edges.columns)).distinct()
+
+
+def references_of(symbols: DataFrame, chunks: DataFrame, name: str | Column, preview: int = 200) -> DataFrame:
+    """(id, role, kind, chunk_id, document_path, line_number, content_preview, verdict) of every use and definition of one name.
+
+    The verdict is the same in all rows: referenced, unreferenced or external; a name that is nowhere has no rows.
+    """
+    own = cleaned(symbols).where(F.col("name") == name)
+    d, r = F.max(F.col("role") == "definition").over(Window.partitionBy("name")), F.max(F.col("role") == "reference").over(Window.partitionBy("name"))
+    verdict = F.when(d & r, "referenced").when(d, "unreferenced").otherwise("external")
+    c = chunks.select("chunk_id", F.substring("content", 1, preview).alias("content_preview")).dropDuplicates(["chunk_id"])
+    return own.withColumn("verdict", verdict).join(c, "chunk_id", "left").select("id", "role", "kind", "chunk_id", "document_path", "line_number", F.coalesce("content_preview", F.lit("")).alias("content_preview"), "verdict")
+
+
+def with_dynamic(symbols: DataFrame, registered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbols, errors): runtime symbols (agent_id, name, kind, role, document_path, line_number) join the others under runtime:<agent>:<name>.
+
+    A symbol registered again replaces itself; one without a name or with another role is an error.
+    """
+    ok = F.coalesce((F.col("name") != "") & F.col("role").isin("definition", "reference"), F.lit(False))
+    chunk = F.concat(F.lit("runtime:"), "agent_id", F.lit(":"), "name")
+    new = registered.where(ok).select("name", F.coalesce("kind", F.lit("function")).alias("kind"), "role", chunk.alias("chunk_id"), "document_path", F.col("line_number").cast("long").alias("line_number"), F.lit(None).cast("string").alias("container"))
+    new = new.dropDuplicates(["chunk_id", "role"]).withColumn("id", -F.abs(F.xxhash64("chunk_id", "role")))
+    kept = symbols.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return kept.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in symbols.columns])), registered.where(~ok)
+
+
+def dynamic(symbols: DataFrame, agent: str | None = None) -> DataFrame:
+    """The runtime symbols, of all agents or of one."""
+    return symbols.where(F.startswith("chunk_id", F.lit("runtime:" if agent is None else f"runtime:{agent}:")))
+
+
+def without_dynamic(symbols: DataFrame, agent: str) -> DataFrame:
+    return symbols.where(~F.coalesce(F.startswith("chunk_id", F.lit(f"runtime:{agent}:")), F.lit(False)))
+
+
+def impact_files(reached: DataFrame, chunk_paths: DataFrame, path_part: str | None = None) -> DataFrame:
+    """(path, chunks, depth_min, depth_max) of what a walk reached beyond its seeds; runtime chunks are walked but not told."""
+    paths = chunk_paths if path_part is None else chunk_paths.where(F.contains("document_path", F.lit(path_part)))
+    met = reached.where("hop > 0").where(~F.startswith("chunk_id", F.lit("runtime:"))).join(paths.select("chunk_id", "document_path"), "chunk_id")
+    return met.groupBy(F.col("document_path").alias("path")).agg(F.count("*").alias("chunks"), F.min("hop").alias("depth_min"), F.max("hop").alias("depth_max"))
+
+
 def test_edges(symbols: DataFrame) -> DataFrame:
     """Edges from the first chunk of a test file to that of the file it tests, by file names (test_x, x_test, tests/x)."""
     s = cleaned(symbols).groupBy("document_path").agg(F.min_by("chunk_id", "id").alias("chunk"))
@@ -161,9 +243,12 @@ def _weighted(pairs: DataFrame, key: str, files: DataFrame) -> DataFrame:
 
 def coupling(edges: DataFrame, chunk_paths: DataFrame, symbols: DataFrame, path: str) -> DataFrame:
     """(path, direction, edges, names, weight): the files that share edges with one file."""
+    # the file's own chunks first: only edges at them meet the paths
+    own = materialize(chunk_paths.where(F.col("document_path") == path).select("chunk_id").distinct(), "own")
+    touching = edges.join(own.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id", "left_semi").unionByName(edges.join(own.withColumnRenamed("chunk_id", "target_chunk_id"), "target_chunk_id", "left_semi")).distinct()
     src = chunk_paths.select(F.col("chunk_id").alias("source_chunk_id"), F.col("document_path").alias("sp"))
     dst = chunk_paths.select(F.col("chunk_id").alias("target_chunk_id"), F.col("document_path").alias("tp"))
-    e = edges.join(src, "source_chunk_id").join(dst, "target_chunk_id").where(((F.col("sp") == path) | (F.col("tp") == path)) & (F.col("sp") != F.col("tp")))
+    e = touching.join(src, "source_chunk_id").join(dst, "target_chunk_id").where(F.col("sp") != F.col("tp"))
     e = e.select(F.when(F.col("sp") == path, F.col("tp")).otherwise(F.col("sp")).alias("path"), (F.col("sp") == path).alias("out"), F.col("symbol_name").alias("name"))
     direction = F.when(F.min("out") != F.max("out"), "bidirectional").when(F.max("out"), "depends_on").otherwise("depended_on_by")
     totals = e.groupBy("path").agg(direction.alias("direction"), F.count("*").alias("edges"))

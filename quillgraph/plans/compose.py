@@ -131,14 +131,6 @@ def common_folder(spark: SparkSession, root: str) -> DataFrame:
     return compose.common_folder(d.where(F.col("source") == first), "document_path")
 
 
-@book.query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS rate, count(*)::BIGINT AS calls FROM events GROUP BY 1)
-SELECT hour, calls, round(rate, 6) AS rate, CASE WHEN rate < 0.01 THEN 'idle' WHEN rate < 0.1 THEN 'vacuum' ELSE 'rebuild_symbols' END AS action FROM h""")
-def hourly_health(spark: SparkSession, root: str) -> DataFrame:
-    """Failed operations by the hour and what they ask for."""
-    e = table(spark, root, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("calls"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("rate"))
-    return e.select("hour", "calls", F.round("rate", 6).alias("rate"), compose.busy_action(F.col("rate")).alias("action"))
-
-
 @book.query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS started, count(*)::BIGINT AS beats FROM s GROUP BY user_id, n""")

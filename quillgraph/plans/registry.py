@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.operators import incremental
-from quillgraph.plans import compose, graph, ingest, retrieval, store
+from quillgraph.plans import agents, answers, compose, graph, ingest, retrieval, store
 from quillgraph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ WHERE NOT coalesce(ok AND sha256(coalesce(text, ''))
 """
 
 
-BOOKS = [retrieval.book, graph.book, store.book, ingest.book, compose.book]
+BOOKS = [retrieval.book, graph.book, store.book, ingest.book, compose.book, agents.book, answers.book]
 
 
 def queries() -> dict[str, Query]:

@@ -148,13 +148,13 @@ def chunk_versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 @book.query("""WITH cur AS (SELECT chunk_id, max(version) AS version, arg_max(content_hash, version) AS content_hash FROM chunk_history GROUP BY chunk_id),
-inc AS (SELECT DISTINCT ON (chunk_id) chunk_id, sha256(content) AS content_hash FROM chunks WHERE token_count IS NOT NULL AND content IS NOT NULL)
+inc AS (SELECT DISTINCT ON (chunk_id) chunk_id, sha256(content) AS content_hash FROM chunks WHERE content IS NOT NULL)
 SELECT coalesce(cur.chunk_id, inc.chunk_id) AS chunk_id, CASE WHEN inc.chunk_id IS NULL THEN version ELSE coalesce(version, 0) + 1 END AS version,
 CASE WHEN inc.chunk_id IS NULL THEN cur.content_hash ELSE inc.content_hash END AS content_hash, inc.chunk_id IS NOT NULL AND cur.chunk_id IS NOT NULL AS replaced FROM cur FULL JOIN inc USING (chunk_id)""")
 def versioned_upsert(spark: SparkSession, root: str) -> DataFrame:
     """The store after the present chunks are put on top of the history."""
     cur = table(spark, root, "chunk_history").groupBy("chunk_id").agg(F.max("version").alias("version"), F.max_by("content_hash", "version").alias("content_hash"))
-    inc = table(spark, root, "chunks").where("token_count IS NOT NULL AND content IS NOT NULL").select("chunk_id", F.sha2("content", 256).alias("content_hash"))
+    inc = table(spark, root, "chunks").where("content IS NOT NULL").select("chunk_id", F.sha2("content", 256).alias("content_hash"))
     return store.upsert_versions(cur, inc, "chunk_id", ["content_hash"])
 
 
@@ -215,12 +215,6 @@ def lock_states(spark: SparkSession, root: str) -> DataFrame:
     return store.lock_states(n, F.lit(NOW).cast("timestamp"), at="created_at", ttl="ttl").select("document_path", "agent_id", "state")
 
 
-@book.query()
-def lock_replay(spark: SparkSession, root: str) -> DataFrame:
-    """Every change as a request for the document's lock of an hour, replayed in order."""
-    return store.lock_replay(_notes(spark, root).where("agent_id IS NOT NULL"), "document_path", "agent_id", "created_at", 3600)
-
-
 @book.query("""WITH q AS (SELECT document_path, min(doc_version) AS expected FROM documents WHERE document_path IS NOT NULL GROUP BY 1)
 SELECT d.doc_id, expected, doc_version AS actual, coalesce(expected = doc_version, false) AS granted FROM documents d JOIN q USING (document_path)""")
 def version_checks(spark: SparkSession, root: str) -> DataFrame:
@@ -231,45 +225,6 @@ def version_checks(spark: SparkSession, root: str) -> DataFrame:
     return store.compare_and_set(d, r, key="doc_id").select("doc_id", "expected", "actual", "granted")
 
 
-_T = "t AS (SELECT *, event_type <> 'purchase' AS success FROM events)"
-
-
-@book.query(f"WITH {_T} SELECT event_type, count(*)::BIGINT AS calls, count_if(NOT success)::BIGINT AS failures, round(avg(value), 6) AS average FROM t GROUP BY event_type")
-def operation_stats(spark: SparkSession, root: str) -> DataFrame:
-    """The events taken as an operation log: calls and failures by kind."""
-    t = table(spark, root, "events")
-    return t.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "purchase").alias("failures"), F.round(F.avg("value"), 6).alias("average"))
-
-
-_SES = "s AS (SELECT event_id, user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_number, value AS relevance, 1 + event_id % 97 AS tokens FROM events)"
-
-
-def _session_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Each user's events as the turns of a session."""
-    e = table(spark, root, "events")
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select("event_id", F.col("user_id").alias("session_id"), turn.alias("turn_number"), F.col("value").alias("relevance"), (1 + F.col("event_id") % 97).alias("tokens"))
-
-
-@book.query(f"WITH {_SES} SELECT session_id, max(turn_number) AS turns, sum(tokens)::BIGINT AS total_tokens FROM s GROUP BY session_id")
-def session_totals(spark: SparkSession, root: str) -> DataFrame:
-    return _session_rows(spark, root).groupBy("session_id").agg(F.max("turn_number").alias("turns"), F.sum("tokens").alias("total_tokens"))
-
-
-@book.query(f"WITH {_SES} SELECT event_id, session_id, turn_number FROM s WHERE turn_number <= 3")
-def session_rollback(spark: SparkSession, root: str) -> DataFrame:
-    """All sessions back to turn 3, which stays."""
-    return _session_rows(spark, root).where("turn_number <= 3").select("event_id", "session_id", "turn_number")
-
-
-@book.query(f"""WITH {_SES}, p AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) - coalesce(sum(tokens) OVER (PARTITION BY session_id ORDER BY relevance, turn_number, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 500 AS kept FROM s)
-SELECT event_id, session_id FROM p WHERE kept""")
-def session_prune(spark: SparkSession, root: str) -> DataFrame:
-    """What is left of each session within 500 tokens."""
-    rows = store.prune_to_budget(_session_rows(spark, root), "session_id", "tokens", [F.col("relevance"), F.col("turn_number"), F.col("event_id")], 500)
-    return rows.where("kept").select("event_id", "session_id")
-
-
 @book.query("""SELECT lower(trim(status)) AS status, count(DISTINCT run_id)::BIGINT AS runs, count_if(finished_at IS NULL)::BIGINT AS open_rows FROM index_runs GROUP BY 1""")
 def run_totals(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "index_runs")

@@ -70,10 +70,7 @@ def test_versions_and_diff(spark):
     assert rows(store.snapshot_diff(a, b, "k", "v"), "k", "status") == {("p", "unchanged"), ("q", "removed"), ("r", "modified"), ("s", "new")}
 
 
-def test_locks(spark):
-    log = spark.createDataFrame([("d", "a", T0), ("d", "b", T0 + timedelta(seconds=10)), ("d", "a", T0 + timedelta(seconds=200)), ("d", "b", T0 + timedelta(seconds=600)), (None, "b", T0), ("d", "c", None)], "p string, o string, t timestamp")
-    got = [(r["o"], r["outcome"]) for r in store.lock_replay(log, "p", "o", "t", 300).orderBy("t").collect()]
-    assert got == [("a", "acquired"), ("b", "refused"), ("a", "refreshed"), ("b", "reclaimed")]
+def test_compare_and_set(spark):
     cas = store.compare_and_set(spark.createDataFrame([("d", 2)], "document_path string, doc_version long"), spark.createDataFrame([("d", 2), ("d", 1), ("x", 1), ("d", None)], "document_path string, expected long"))
     assert sorted((r["granted"], r["new_version"]) for r in cas.collect() if r["actual"]) == [(False, 2), (False, 2), (True, 3)]
 

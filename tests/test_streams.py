@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import store
+from quillgraph.operators import locks
 from quillgraph.streaming import streams
 
 T0 = datetime(2026, 1, 1)
@@ -16,7 +16,8 @@ def test_streams_match_batch(spark, tmp_path):
     notes = streams.run_to_end(streams.recent_notifications(read()), "notes")
     assert sorted(r["id"] for r in notes.collect()) == list(range(60))
     got = streams.run_to_end(streams.leases(read(), "document_path", "agent_id", "created_at", 300), "leases")
-    want = store.lock_replay(df.where("created_at IS NOT NULL"), "document_path", "agent_id", "created_at", 300)
+    asked = df.select(F.col("document_path").alias("document"), F.col("agent_id").alias("agent"), F.col("created_at").alias("at"), F.lit("acquire").alias("action"), F.lit(300).alias("ttl"), F.lit(False).alias("force"))
+    want = locks.replay(asked).select(F.col("document").alias("document_path"), F.col("agent").alias("agent_id"), F.col("at").alias("created_at"), "outcome")
     key = lambda d: sorted((r["document_path"], r["created_at"], r["agent_id"], r["outcome"]) for r in d.collect())
     assert key(got) == key(want)
     rates = streams.run_to_end(streams.failure_rates(read(), "created_at", F.col("agent_id") == "a0"), "rates")
