@@ -43,6 +43,15 @@ def base_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "document_path", (1 + F.coalesce(F.sum(F.coalesce(lines, F.lit(1))).over(w), F.lit(0))).cast("long").alias("base_line"))
 
 
+def chunk_for_line(based: DataFrame, line: int) -> DataFrame:
+    """(document_path, chunk_id): the chunk of each file that holds a line (from 1), or the file's last chunk if it is shorter.
+
+    ``based`` is what ``base_lines`` gives.
+    """
+    at = based.where((F.col("base_line") <= line) & F.col("document_path").isNotNull())
+    return at.groupBy("document_path").agg(F.max_by("chunk_id", F.struct("base_line", "chunk_id")).alias("chunk_id"))
+
+
 def matching_lines(chunks: DataFrame, pattern: str, regex: bool = False) -> DataFrame:
     """(chunk_id, document_path, line_in_chunk, line, role) of every line with a match; both kinds are filtered before the split."""
     hit = F.contains("content", F.lit(pattern)) if not regex else F.col("content").rlike(pattern)

@@ -36,6 +36,46 @@ def effective(own: Column, given: Column) -> Column:
     return F.coalesce(given, own)
 
 
+def binary_signature(content: Column) -> Column:
+    """128 numbers for content that is no text: the signs of its SHA-256 in hex by their codes, then zeros."""
+    signs = F.transform(F.split(F.sha2(content, 256), ""), lambda c: F.ascii(c) / 255.0)
+    return F.concat(F.filter(signs, lambda x: x > 0), F.array_repeat(F.lit(0.0), 64))
+
+
+def with_given(own: DataFrame, given: DataFrame, dim: int) -> DataFrame:
+    """(chunk_id, v, by_agent): the vectors in effect: a given one, brought to length 1, before the chunk's own.
+
+    Both are (chunk_id, v).  A given vector that is not usable or zero, or of an unknown chunk, is not taken (``refused``).
+    """
+    g = given.where(usable(F.col("v"), dim)).select("chunk_id", F.col("v").alias("_g")).where(dot(F.col("_g"), F.col("_g")) > 0).dropDuplicates(["chunk_id"])
+    met = own.select("chunk_id", "v").join(g.select("chunk_id", unit(F.col("_g")).alias("_g")), "chunk_id", "left")
+    rows = met.select("chunk_id", effective(F.col("v").cast("array<double>"), F.col("_g")).alias("v"), F.col("_g").isNotNull().alias("by_agent"))
+    return rows.where(F.col("v").isNotNull())
+
+
+def refused(own: DataFrame, given: DataFrame, dim: int) -> DataFrame:
+    """(chunk_id, reason) of the given vectors that are not taken."""
+    met = given.join(own.select("chunk_id", F.lit(True).alias("_in")), "chunk_id", "left")
+    fine = F.when(usable(F.col("v"), dim), dot(F.col("v"), F.col("v")) > 0).otherwise(False)
+    return met.select("chunk_id", F.when(F.col("_in").isNull(), "unknown_chunk").when(~fine, "unusable_vector").alias("reason")).where(F.col("reason").isNotNull())
+
+
+def removed(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The index without the vectors of some ids."""
+    return index.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def quality(own: DataFrame, given: DataFrame, dim: int) -> DataFrame:
+    """One row: chunks, given (with an agent's vector), coverage in per cent, span (of the ten nearest to an even probe), advice."""
+    probe = F.array(*[F.lit(0.1)] * dim)
+    near = own.where(F.col("v").isNotNull()).where(dot(F.col("v"), F.col("v")) > 0).select(cosine(F.col("v"), probe).alias("s")).orderBy(F.desc(F.round("s", 9))).limit(10)
+    span = near.agg(F.max("s") - F.min("s")).scalar()
+    k = own.select("chunk_id").join(given.select("chunk_id").distinct(), "chunk_id", "left_semi").agg(F.count("*")).scalar()
+    row = own.agg(F.count("*").alias("chunks")).withColumn("given", k)
+    share = F.col("given") / F.greatest(F.col("chunks"), F.lit(1)) * 100.0
+    return row.select("chunks", "given", F.round(share, 2).alias("coverage"), F.round(span, 4).alias("span"), F.when(share < 5, "critical").when(share < 80, "low").alias("advice"))
+
+
 def nearest(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int) -> DataFrame:
     """(id, similarity) of the k nearest to one query vector.  A map and a top-k; nothing else is shuffled."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph import session
 from quillgraph.operators import symbols as S
 from quillgraph.plans.base import Book
-from quillgraph.session import materialize
 from quillgraph.sources.tables import table
 
 book = Book()
 
 _NOISE = ", ".join(f"'{x}'" for x in S.NOISE)
-_SUFFIXES = "list_transform(range(1, len(string_split(p, '/')) + 1), lambda i: array_to_string(list_slice(string_split(p, '/'), i, NULL), '/'))"
+_SUFFIXES = "list_transform(range(1, len(string_split(p, '/')) + 1), lambda i: array_to_string(list_slice(string_split(p, '/'), i, len(string_split(p, '/'))), '/'))"
 _WEB = " OR ".join(f"suffix(w, '{e}')" for e in S.WEB_ENDINGS)
 _SCRIPT = ", ".join(f"r || '{e}'" for e in S.SCRIPT_ENDINGS)
 
@@ -45,8 +45,16 @@ def _symbols(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "symbols")
 
 
+_RESOLVED: dict[tuple[str, str, int], tuple[tuple, DataFrame]] = {}
+
+
 def _edges(spark: SparkSession, root: str) -> DataFrame:
-    return S.resolve(_symbols(spark, root))
+    """The edges of the symbols: resolved and written once, and again only if the symbols' ids have changed."""
+    state = tuple(_symbols(spark, root).agg(F.count("*"), F.bit_xor(F.xxhash64("id"))).first())
+    key = (spark.sparkContext.applicationId, root, session.epoch)
+    if key not in _RESOLVED or _RESOLVED[key][0] != state:
+        _RESOLVED[key] = state, session.materialize(S.resolve(_symbols(spark, root)), "edges")
+    return _RESOLVED[key][1]
 
 
 def _paths(spark: SparkSession, root: str) -> DataFrame:
@@ -64,29 +72,6 @@ def edge_totals(spark: SparkSession, root: str) -> DataFrame:
     return _edges(spark, root).groupBy("edge_type").agg(F.count("*").alias("edges"), F.count_distinct("symbol_name").alias("names"))
 
 
-@book.query(f"WITH {GRAPH} SELECT module, path FROM matches")
-def module_paths(spark: SparkSession, root: str) -> DataFrame:
-    """The files that each imported module may mean."""
-    s = S.cleaned(_symbols(spark, root))
-    modules = s.where((F.col("role") == "reference") & (F.col("kind") == "module")).select(F.col("name").alias("module")).distinct()
-    return S.module_matches(modules, s.where(F.col("role") == "definition").select(F.col("document_path").alias("path")).distinct())
-
-
-@book.query(f"WITH {GRAPH} SELECT DISTINCT document_path AS source_path, path AS target_path FROM (SELECT document_path, module, min(path) AS path FROM (SELECT DISTINCT document_path, module FROM modules) JOIN matches USING (module) GROUP BY ALL)")
-def file_dependencies(spark: SparkSession, root: str) -> DataFrame:
-    return S.file_dependencies(_symbols(spark, root))
-
-
-@book.query(f"""WITH {GRAPH}, d AS (SELECT document_path, arg_min(chunk_id, id) AS chunk, regexp_replace(regexp_extract(document_path, '([^/]+)$', 1), '(.)\\.[^.]*$', '\\1') AS stem,
-  regexp_matches('/' || document_path, '/tests?/') AS folder FROM s GROUP BY document_path),
-k AS (SELECT chunk, unnest([CASE WHEN starts_with(stem, 'test_') THEN substr(stem, 6) END, CASE WHEN suffix(stem, '_test') THEN left(stem, length(stem) - 5) END, CASE WHEN folder THEN stem END]) AS stem
-  FROM d WHERE folder OR starts_with(stem, 'test_') OR suffix(stem, '_test'))
-SELECT DISTINCT k.chunk AS source_chunk_id, x.chunk AS target_chunk_id, 'test_of' AS edge_type, 'test' AS symbol_name
-FROM k JOIN d x ON k.stem = x.stem WHERE NOT (x.folder OR starts_with(x.stem, 'test_') OR suffix(x.stem, '_test'))""")
-def test_edges(spark: SparkSession, root: str) -> DataFrame:
-    return S.test_edges(_symbols(spark, root))
-
-
 @book.query(f"WITH {GRAPH} SELECT name, count(DISTINCT document_path)::BIGINT AS files FROM s WHERE role = 'definition' GROUP BY name")
 def definition_file_counts(spark: SparkSession, root: str) -> DataFrame:
     return S.definition_files(_symbols(spark, root))
@@ -130,7 +115,7 @@ def _seed(edges: DataFrame, forward: bool = False) -> DataFrame:
 
 
 def _walk(spark: SparkSession, root: str, depth: int, forward: bool = False) -> DataFrame:
-    edges = materialize(_edges(spark, root), "edges")
+    edges = _edges(spark, root)
     return S.reach(edges, _seed(edges, forward), depth, forward)
 
 
@@ -156,7 +141,7 @@ def dependency_reach(spark: SparkSession, root: str) -> DataFrame:
 @book.query(f"{_bfs(4)} SELECT chunk_id, round(CASE WHEN hop = 0 THEN 0.0 ELSE pow(0.8, hop) END, 6) AS staleness FROM best")
 def staleness_decay(spark: SparkSession, root: str) -> DataFrame:
     """Staleness of what depends on one changed chunk."""
-    edges = materialize(_edges(spark, root), "edges")
+    edges = _edges(spark, root)
     return S.staleness(edges, _seed(edges)).withColumn("staleness", F.round("staleness", 6))
 
 
@@ -168,7 +153,7 @@ weights AS (SELECT name, CASE WHEN name IN ({_NOISE}) OR length(name) <= 3 THEN
 
 def _coupled(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     """Edges, chunks' paths, symbols, and the file that most edges from other files lead to."""
-    edges, paths = materialize(_edges(spark, root), "edges"), _paths(spark, root)
+    edges, paths = _edges(spark, root), _paths(spark, root)
     into = edges.where("edge_type = 'cross_file'").join(paths.select(F.col("chunk_id").alias("target_chunk_id"), "document_path"), "target_chunk_id")
     best = into.groupBy("document_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "document_path").first()
     return edges, paths, _symbols(spark, root), best[0] if best else ""

@@ -29,7 +29,6 @@ def code_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.code(table(spark, root, "documents").where(T.modality("document_path") == "code"), "doc_id", "text", "document_path")
 
 
-@book.query()
 def line_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.by_lines(table(spark, root, "documents"), "doc_id", "text")
 

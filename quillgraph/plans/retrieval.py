@@ -45,7 +45,7 @@ CHUNKS = "c AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_path, content,
 _WORDS = "list_filter(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-zA-Z_][a-zA-Z0-9_]*$'))"
 
 
-def _split(w: str) -> str:
+def _SPLIT_SQL(w: str) -> str:
     s = f"regexp_replace(trim({w}), '[_\\-]+', ' ', 'g')"
     for p in ("([A-Z])([A-Z][a-z])", "([a-z])([A-Z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
         s = f"regexp_replace({s}, '{p}', '\\1 \\2', 'g')"
@@ -56,7 +56,7 @@ PARTS = f"""
 {CHUNKS},
 one AS (SELECT chunk_id AS id, content AS t FROM c WHERE content <> ''),
 words AS (SELECT id, unnest({_WORDS.format(t='t')}) AS w FROM one),
-parts AS (SELECT id, part, count(*) AS tf FROM (SELECT id, unnest({_split('w')}) AS part FROM words) WHERE length(part) > 1 GROUP BY ALL),
+parts AS (SELECT id, part, count(*) AS tf FROM (SELECT id, unnest({_SPLIT_SQL('w')}) AS part FROM words) WHERE length(part) > 1 GROUP BY ALL),
 vocabulary AS (SELECT part, {stem_sql('part', True)} AS term FROM (SELECT DISTINCT part FROM parts)),
 posts AS (SELECT id, term, sum(tf)::BIGINT AS tf FROM parts JOIN vocabulary USING (part) GROUP BY ALL),
 dl AS (SELECT one.id, coalesce(sum(tf), 0)::BIGINT AS dl FROM one LEFT JOIN parts USING (id) GROUP BY ALL)
@@ -65,7 +65,7 @@ dl AS (SELECT one.id, coalesce(sum(tf), 0)::BIGINT AS dl FROM one LEFT JOIN part
 SCORED = f"""
 {PARTS},
 qw AS (SELECT unnest({_WORDS.format(t="'" + QUERY + "'")}) AS w),
-q AS (SELECT term, count(*) AS qtf FROM (SELECT {stem_sql('part', True)} AS term FROM (SELECT unnest({_split('w')}) AS part FROM qw) WHERE length(part) > 1) GROUP BY ALL),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT {stem_sql('part', True)} AS term FROM (SELECT unnest({_SPLIT_SQL('w')}) AS part FROM qw) WHERE length(part) > 1) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY ALL),
 total AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
 scored AS (SELECT id, sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))) AS score
@@ -104,7 +104,7 @@ def vocabulary_stems(spark: SparkSession, root: str) -> DataFrame:
     return bm25.stems(words.distinct())
 
 
-@book.query(f"""WITH names AS (SELECT DISTINCT name FROM symbols WHERE name IS NOT NULL), split AS (SELECT name, unnest({_split('name')}) AS part FROM names)
+@book.query(f"""WITH names AS (SELECT DISTINCT name FROM symbols WHERE name IS NOT NULL), split AS (SELECT name, unnest({_SPLIT_SQL('name')}) AS part FROM names)
 SELECT part, count(*)::BIGINT AS uses FROM split GROUP BY part""")
 def identifier_parts(spark: SparkSession, root: str) -> DataFrame:
     """The parts of all distinct symbol names."""
@@ -148,7 +148,7 @@ def proximity_scores(spark: SparkSession, root: str) -> DataFrame:
     return scored.where(F.col("proximity") > 0).dropDuplicates(["chunk_id"])
 
 
-@book.query(f"""WITH {CHUNKS}, r AS (SELECT chunk_id, unnest(string_split(content, chr(10))) AS line FROM c),
+@book.query(f"""WITH {CHUNKS}, r AS (SELECT chunk_id, unnest(string_SPLIT_SQL(content, chr(10))) AS line FROM c),
 b AS (SELECT chunk_id, regexp_replace(line, '^\\s+', '') AS x FROM r)
 SELECT role, count(*)::BIGINT AS lines FROM (SELECT CASE WHEN x = '' THEN 'blank'
  WHEN {' OR '.join("starts_with(x, '" + s + "')" for s in T.COMMENT_STARTS)} THEN 'comment'
@@ -161,7 +161,7 @@ def line_roles(spark: SparkSession, root: str) -> DataFrame:
     return counted.select(F.explode("r").alias("role")).groupBy("role").agg(F.count("*").alias("lines"))
 
 
-@book.query(f"""WITH {CHUNKS}, l AS (SELECT chunk_id, content, string_split(content, chr(10)) AS lines FROM c WHERE content IS NOT NULL),
+@book.query(f"""WITH {CHUNKS}, l AS (SELECT chunk_id, content, string_SPLIT_SQL(content, chr(10)) AS lines FROM c WHERE content IS NOT NULL),
 d AS (SELECT chunk_id, content, len(lines) AS n, length(content) AS k, length(content) - length(regexp_replace(content, '[{{}}\\[\\]()<>:=|&%$#@!~`]', '', 'g')) AS special,
  len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]'))) AS indented,
  len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•]\\s'))) + len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[0-9]+[.)]\\s'))) AS marks FROM l)
@@ -180,12 +180,6 @@ def chunk_ids(spark: SparkSession, root: str) -> DataFrame:
     return rows.dropDuplicates(["chunk_id"])
 
 
-@book.query()
-def estimated_token_counts(spark: SparkSession, root: str) -> DataFrame:
-    """The token estimate of every chunk."""
-    return _raw(spark, root).select("chunk_id", T.estimated_tokens("content").alias("estimated_tokens")).dropDuplicates(["chunk_id"])
-
-
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
