@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillgraph.operators import extraction
 from quillgraph.operators import symbols as S
 
@@ -59,6 +61,22 @@ def test_coupling(spark):
     assert co == {"B": (1, 1, 1.5)}
 
 
+def test_dynamic_and_significance(spark):
+    s = table(spark, [d("f", "a", "A"), r("f", "b", "B")])
+    reg = spark.createDataFrame([("me", "hook", None, "definition", "A", 1), ("me", "hook", "function", "definition", "A", 2), ("me", "", "x", "definition", "A", 1), ("you", "h2", "x", "caller", "A", None)], "agent_id string, name string, kind string, role string, document_path string, line_number int")
+    more, errors = S.with_dynamic(s, reg)
+    assert errors.count() == 2 and {x["chunk_id"] for x in S.dynamic(more).collect()} == {"runtime:me:hook"} and S.dynamic(more, "you").count() == 0
+    assert S.without_dynamic(more, "me").count() == 2 and more.count() == 3
+    assert [x["ok"] for x in spark.createDataFrame([("print",), ("fold_it",)], "n string").select(S.significant(F.col("n"), 1.0, ["zz"]).alias("ok")).collect()] == [False, True]
+
+
+def test_rebuilt(spark):
+    before = table(spark, [d("f", "a", "A"), r("f", "b", "B"), d("g", "c", "C"), r("g", "b", "B"), r("A", "b", "B", kind="module")])
+    after = table(spark, [d("f", "x", "A2"), r("f", "b", "B"), d("g", "c", "C"), r("g", "b", "B"), r("g", "x", "A2"), r("A", "b", "B", kind="module")])
+    changed = spark.createDataFrame([("a",), ("x",)], "chunk_id string")
+    assert edges(S.rebuilt(S.resolve(before), after, changed)) == edges(S.resolve(after))
+
+
 def names(spark, path, text):
     df = spark.createDataFrame([("d", text, path), ("n", None, path)], "id string, t string, p string")
     return {(x["name"], x["kind"], x["role"], x["line_number"], x["container"]) for x in extraction.extract(df, "id", "t", "p").collect()}
