@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.repeats import kept_rows
 from quillgraph.session import materialize
 
 #: Maximal runs of four or more ASCII letters.
@@ -23,20 +24,6 @@ TERM_PATTERN = "[A-Za-z]{4,}"
 SLACK = 1e-9
 
 
-def records(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(rows (_id, _text, _copies), N): the rows that count, and how often each is there.
-
-    Repeated ids are found by hashes of their texts, so texts are not shuffled; only if repeated ids are too many to be
-    broadcast, by the optimizer's measure, does the join move texts.
-    """
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h"))
-    seen = rows.groupBy("_id", "_h").agg(F.count("*").alias("_n")).groupBy("_id").agg(F.min(F.struct("_h", "_n")).alias("_k"), F.sum("_n").alias("_all"))
-    seen = materialize(seen.select("_id", F.col("_k._h").alias("_keep"), F.col("_k._n").alias("_copies"), "_all"), "p1-records")
-    repeated = materialize(seen.where("_all > 1").drop("_all"), "p1-repeated")
-    kept = rows.join(repeated, "_id", "left").where(F.col("_keep").isNull() | (F.col("_h") == F.col("_keep")))
-    return kept.select("_id", "_text", F.coalesce("_copies", F.lit(1)).alias("_copies")), seen.count()
-
-
 def term_counts(rows: DataFrame, pattern: str = TERM_PATTERN) -> DataFrame:
     """(_id, term, tf), written: every later step reads it, and no text is read again."""
     words = rows.select("_id", "_copies", F.explode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).alias("_w"))
@@ -66,7 +53,8 @@ def log_entropy(df: DataFrame, id_col: str, text_col: str, min_weight: float | N
     As no term weighs more than ln(1 + tf), rows below ``min_weight`` by that bound are left out before the join by
     term.  The statistics side has one row a term, so adaptive execution can split the other side at a hot term.
     """
-    rows, n = records(df, id_col, text_col)
+    rows, ids = kept_rows(df, id_col, text_col, "p1-records")
+    n = ids.count()
     counts = term_counts(rows)
     able = counts if min_weight is None else counts.where(F.log(1.0 + F.col("tf")) >= min_weight - SLACK)
     out = able.join(term_stats(counts), "term").select(F.col("_id").alias(id_col), "term", "tf", "df", (F.log(1.0 + F.col("tf")) * global_weight(n)).alias("weight"))
