@@ -24,11 +24,27 @@ TERM_PATTERN = "[A-Za-z]{4,}"
 SLACK = 1e-9
 
 
+def row_terms(text: str, pattern: str = TERM_PATTERN) -> Column:
+    """The terms of a row with their counts (array of structs term, tf), found within the row.
+
+    The words are sorted and put together, so that a term's uses stand side by side; each run of one is a match, and its
+    length tells how many there are.
+    """
+    words = F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), " ")), " ")
+    line = F.concat(F.array_join(F.array_sort(words), " "), F.lit(" "))
+    runs = F.regexp_extract_all(line, F.lit(r"([a-z]+ )\1*+"), F.lit(0))
+    return F.transform(runs, lambda r: F.struct(F.substring_index(r, " ", 1).alias("term"), (F.char_length(r) / (F.instr(r, " "))).cast("long").alias("tf")))
+
+
 def term_counts(rows: DataFrame, pattern: str = TERM_PATTERN) -> DataFrame:
-    """(_id, term, tf), written: every later step reads it, and no text is read again."""
-    words = rows.select("_id", "_copies", F.explode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).alias("_w"))
-    counts = words.groupBy("_id", F.lower("_w").alias("term")).agg((F.count("*") / F.max("_copies")).cast("long").alias("tf"))
-    return materialize(counts, "p1-counts")
+    """(_id, term, tf), written: every later step reads it, and no text is read again.
+
+    A row's counts need no other row, so nothing is shuffled but the counts of repeated ids, of which one copy is kept.
+    """
+    flat = rows.select("_id", "_copies", F.explode(row_terms("_text", pattern)).alias("t")).select("_id", "_copies", "t.*")
+    once = flat.where("_copies = 1").select("_id", "term", "tf")
+    again = flat.where("_copies > 1").groupBy("_id", "term").agg(F.max("tf").alias("tf"))
+    return materialize(once.unionByName(again), "p1-counts")
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
