@@ -120,6 +120,12 @@ def common_folder(paths: DataFrame, column: str) -> DataFrame:
     return ends.select(F.array_join(F.slice(a, 1, n), "/").alias("folder"))
 
 
+def recent_folder(documents: DataFrame, path: str, at: str, share: int = 4) -> DataFrame:
+    """One row (folder): the folder that the newest part (one in ``share``, at least one) of the files have in common; files without a time take no part."""
+    d = documents.where(F.col(path).isNotNull() & F.col(at).isNotNull()).groupBy(path).agg(F.max(at).alias("_t"))
+    return common_folder(d.orderBy(F.desc("_t"), path).limit(max(1, d.count() // share)), path)
+
+
 def parsed_notes(notes: Column | str) -> Column:
     """Notes that are JSON as their canonical JSON text, others as they are."""
     n = T.col(notes)

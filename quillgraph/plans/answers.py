@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import query as Q
 from quillgraph.functions import text as T
-from quillgraph.operators import answers, bm25, compose, extraction, grep, vectors
+from quillgraph import session
+from quillgraph.operators import answers, bm25, compose, extraction, grep, indexing, vectors
 from quillgraph.operators import symbols as S
 from quillgraph.plans import ingest
 from quillgraph.plans.base import Book
@@ -16,6 +19,8 @@ from quillgraph.plans.retrieval import _SPLIT_SQL, _WORDS, PARTS, QUERY, SCORED,
 from quillgraph.plans.retrieval import _raw as _content
 from quillgraph.functions.stem import stem_sql
 from quillgraph.plans.store import BASE, LITERAL, LINES, C, _chunks
+from quillgraph.sources import files
+from quillgraph.sources.files import normal_path
 from quillgraph.sources.tables import table
 
 book = Book()
@@ -161,17 +166,82 @@ SELECT query_id, 'definition' AS category, round(avg(CASE WHEN rank <= 5 THEN 1.
 def search_recall(spark: SparkSession, root: str) -> DataFrame:
     """How many of the chunks that define a name are among the first hits for it."""
     index = _index(spark, root)
-    hits = None
-    for name in EVALUATED:
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-        one = index.scores(name).withColumn("query_id", F.lit(name)).select("query_id", "id", F.row_number().over(w).cast("long").alias("rank"))
-        hits = one if hits is None else hits.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    hits = index.scores_batch({x: x for x in EVALUATED}).select("query_id", "id", F.row_number().over(w).cast("long").alias("rank"))
     d = S.cleaned(table(spark, root, "symbols")).where((F.col("role") == "definition") & F.col("name").isin(EVALUATED))
     return answers.recall(hits, d.select(F.col("name").alias("query_id"), F.lit("definition").alias("category"), F.col("chunk_id").alias("id")))
 
 
+@book.query(f"""WITH {PARTS}, qs AS (SELECT DISTINCT trim(name) AS query_id FROM symbols WHERE name IS NOT NULL ORDER BY 1 LIMIT 100), qp AS (SELECT query_id, {_term_sql()} AS term FROM (SELECT query_id, unnest({_SPLIT_SQL('w')}) AS part FROM (SELECT query_id, unnest({_WORDS.format(t='query_id')}) AS w FROM qs)) WHERE length(part) > 1),
+q AS (SELECT query_id, term, count(*) AS qtf FROM qp GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY ALL), total AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+scored AS (SELECT query_id, id, sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))) AS score FROM posts JOIN q USING (term) JOIN dfs USING (term) JOIN dl USING (id), total GROUP BY ALL),
+h AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) SELECT query_id, id AS chunk_id, rank, score FROM h WHERE rank <= 5""")
+def bm25_batch(spark: SparkSession, root: str) -> DataFrame:
+    """The five best chunks of each of a hundred queries (the first names of the symbols), in one pass."""
+    names = table(spark, root, "symbols").where(F.col("name").isNotNull()).select(F.trim("name").alias("n")).distinct().orderBy("n").limit(100)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    s = _index(spark, root).scores_batch({r["n"]: r["n"] for r in names.collect()}).withColumn("rank", F.row_number().over(w).cast("long"))
+    return s.where("rank <= 5").select("query_id", F.col("id").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
 # --- single places
 
+@book.query("SELECT doc_id, regexp_replace(regexp_replace(replace(document_path, '\\', '/'), '/+', '/', 'g'), '^(\./)+|/$', '', 'g') AS path FROM documents WHERE document_path IS NOT NULL")
+def normalized_paths(spark: SparkSession, root: str) -> DataFrame:
+    """Every file's path in its plain form."""
+    return table(spark, root, "documents").where(F.col("document_path").isNotNull()).select("doc_id", normal_path("document_path").alias("path"))
+
+
+@book.query("""WITH d AS (SELECT document_path, max(indexed_at) AS t FROM documents WHERE document_path IS NOT NULL AND indexed_at IS NOT NULL GROUP BY 1), n AS (SELECT document_path FROM d ORDER BY t DESC, document_path LIMIT (SELECT greatest(1, count(*) // 4) FROM d)),
+e AS (SELECT string_split(regexp_replace(min(document_path), '/?[^/]*$', ''), '/') AS a, string_split(regexp_replace(max(document_path), '/?[^/]*$', ''), '/') AS b FROM n)
+SELECT array_to_string(list_slice(a, 1, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 2), lambda i: a[i] IS DISTINCT FROM b[i] OR i > len(a))), len(a) + 1) - 1), '/') AS folder FROM e""")
+def recent_folder(spark: SparkSession, root: str) -> DataFrame:
+    """The folder that the newest quarter of the files share."""
+    return compose.recent_folder(table(spark, root, "documents"), "document_path", "indexed_at")
+
+
+@book.query(f"""WITH {GRAPH}, {C} SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, (SELECT count(*) FROM c)::BIGINT AS chunks, (SELECT sum(token_count) FROM c)::BIGINT AS tokens, (SELECT count(*) FROM s)::BIGINT AS symbols, (SELECT count(*) FROM edges)::BIGINT AS edges,
+(SELECT count(DISTINCT (chunk_id, version)) FROM chunk_history)::BIGINT AS versions, (SELECT count(DISTINCT run_id) FROM index_runs)::BIGINT AS runs""")
+def doctor(spark: SparkSession, root: str) -> DataFrame:
+    """What is stored, in one row."""
+    one = _chunks(spark, root).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+    n = lambda d: d.agg(F.count("*")).scalar()
+    t = lambda name: table(spark, root, name)
+    return one.select(
+        n(t("documents")).alias("documents"), "chunks", "tokens", n(S.cleaned(t("symbols"))).alias("symbols"), n(_edges(spark, root)).alias("edges"), n(t("chunk_history").select("chunk_id", "version").distinct()).alias("versions"), t("index_runs").agg(F.count_distinct("run_id")).scalar().alias("runs")
+    )
+
+
+@book.query(f"""WITH {C}, h AS (SELECT DISTINCT ON (chunk_id, version) chunk_id, version, content_hash, semantic_signature AS s FROM chunk_history WHERE chunk_id IS NOT NULL), cur AS (SELECT chunk_id, arg_max(struct_pack(h := content_hash, s := s), version) AS r FROM h GROUP BY 1),
+k AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_path, start_pos, end_pos, modality, staleness_score FROM chunks WHERE chunk_id IS NOT NULL), w AS (SELECT chunk_id, max(staleness_score) AS w FROM chunks GROUP BY 1),
+n AS (SELECT k.chunk_id, document_path, start_pos, end_pos, modality, r.h AS h, r.s AS s FROM k JOIN cur USING (chunk_id) WHERE document_path LIKE 'm%' AND start_pos < 800),
+o AS (SELECT k.chunk_id, document_path, start_pos, end_pos, h.content_hash AS h, h.s AS s FROM k JOIN h USING (chunk_id) JOIN w USING (chunk_id) WHERE h.version = 1 AND w < 0.3),
+fine AS (SELECT chunk_id, s FROM o WHERE len(s) = 128 AND NOT list_bool_or(list_transform(s, lambda x: x IS NULL OR isnan(x)))),
+m AS (SELECT n.*, o.h AS oh, o.s AS os, o.chunk_id IS NOT NULL AS met, CASE modality WHEN 'text' THEN 0.85 WHEN 'code' THEN 0.80 ELSE 0.85 END AS least FROM n LEFT JOIN o USING (document_path, start_pos, end_pos)),
+z AS (SELECT chunk_id, s, least FROM m WHERE NOT met), zf AS (SELECT chunk_id, s FROM z WHERE len(s) = 128 AND NOT list_bool_or(list_transform(s, lambda x: x IS NULL OR isnan(x)))),
+b AS (SELECT zf.chunk_id, max(CASE WHEN list_sum(list_transform(zf.s, lambda x: x * x)) = 0 OR list_sum(list_transform(fine.s, lambda x: x * x)) = 0 THEN 0.0 ELSE list_cosine_similarity(zf.s::DOUBLE[], fine.s::DOUBLE[]) END) AS near FROM zf, fine GROUP BY 1)
+SELECT chunk_id, CASE WHEN h = oh OR coalesce(CASE WHEN len(s) = len(os) AND list_sum(list_transform(s, lambda x: x * x)) > 0 AND list_sum(list_transform(os, lambda x: x * x)) > 0 THEN list_cosine_similarity(s::DOUBLE[], os::DOUBLE[]) >= least AND NOT isnan(list_cosine_similarity(s::DOUBLE[], os::DOUBLE[])) END, false) THEN 'restored' ELSE 'reprocessed' END AS class FROM m WHERE met
+UNION ALL SELECT z.chunk_id, CASE WHEN near >= least THEN 'restored' ELSE 'new' END FROM z LEFT JOIN b USING (chunk_id)""")
+def chunk_changes(spark: SparkSession, root: str) -> DataFrame:
+    """The first chunks of some files against the first versions of the fresh ones: by place and hash, by place and likeness, or by the nearest anywhere."""
+    c = table(spark, root, "chunks").where(F.col("chunk_id").isNotNull())
+    k = c.groupBy("chunk_id").agg(F.min("document_path").alias("path"), F.min("start_pos").alias("start_pos"), F.min("end_pos").alias("end_pos"), F.min("modality").alias("modality"), F.max("staleness_score").alias("w"))
+    h = table(spark, root, "chunk_history").where(F.col("chunk_id").isNotNull())
+    now = h.groupBy("chunk_id").agg(F.max_by(F.struct("content_hash", "semantic_signature"), "version").alias("r")).select("chunk_id", "r.content_hash", F.col("r.semantic_signature").alias("signature"))
+    then = h.where("version = 1").select("chunk_id", "content_hash", F.col("semantic_signature").alias("signature")).dropDuplicates(["chunk_id"])
+    new = k.where(F.startswith("path", F.lit("m")) & (F.col("start_pos") < 800)).drop("w").join(now, "chunk_id")
+    old = k.where("w < 0.3").drop("w", "modality").join(then, "chunk_id")
+    return indexing.chunk_changes(new, old)
+
+
+@book.query("SELECT agent_id AS session_id, document_path AS chunk_id, id AS turn_number, '{\"kind\":\"' || change_type || '\"}' AS state FROM (SELECT DISTINCT ON (id) * FROM change_notifications) WHERE agent_id IS NOT NULL AND document_path IS NOT NULL")
+def stored_states(spark: SparkSession, root: str) -> DataFrame:
+    """States written to the shared folder and read again."""
+    n = table(spark, root, "change_notifications").where("agent_id IS NOT NULL AND document_path IS NOT NULL").dropDuplicates(["id"])
+    path = f"{session.shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    files.write_states(n.select(F.col("agent_id").alias("session_id"), F.col("document_path").alias("chunk_id"), F.col("id").alias("turn_number"), F.struct(F.col("change_type").alias("kind")).alias("state")), path)
+    return files.read_states(spark, path).select("session_id", "chunk_id", "turn_number", "state")
+
 @book.query(f"WITH {C} SELECT chunk_id, document_path, start_pos FROM c WHERE document_path = 'meridian' OR starts_with(document_path, 'meridian/')")
 def document_chunks(spark: SparkSession, root: str) -> DataFrame:
     """The chunks under a path, in order of file and place."""

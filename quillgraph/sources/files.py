@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -14,6 +14,16 @@ from quillgraph.session import materialize
 SKIPPED = "__pycache__ node_modules venv env build dist target vendor site-packages eggs htmlcov coverage tmp".split()
 
 
+def normal_path(path: Column | str, root: str | None = None) -> Column:
+    """A path in its plain form: forward slashes, none doubled or at the end, no ./ before it, and without the root folder."""
+    p = F.regexp_replace(F.replace(T.col(path), F.lit("\\"), F.lit("/")), "/+", "/")
+    p = F.regexp_replace(p, r"^(?:\./)+|/$", "")
+    if root:
+        base = root.replace("\\", "/").rstrip("/") + "/"
+        p = F.when(F.startswith(p, F.lit(base)), F.substr(p, F.lit(len(base) + 1))).otherwise(p)
+    return p
+
+
 def files(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None) -> DataFrame:
     """(path, modified, length, content BINARY, modality) of all files under a folder.
 
