@@ -366,7 +366,7 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 
 @book.query(f"""WITH RECURSIVE {LOCKS}, {_FILES}, me AS (SELECT min(agent) AS me FROM st), lk AS (SELECT document AS path, agent AS owner FROM st WHERE state = 'locked')
-SELECT path, CASE WHEN owner <> me THEN 'locked' WHEN doc_id % 7 = 0 AND doc_version <> 1 THEN 'conflict' WHEN indexed_at IS NULL THEN 'new' WHEN doc_id % 3 = 0 AND last_modified IS NOT NULL AND file_size IS NOT NULL THEN 'same_file' WHEN now = was THEN 'same_content' ELSE 'modified' END AS step
+SELECT path, CASE WHEN owner <> me THEN 'locked' WHEN doc_id % 7 = 0 AND doc_version <> 1 AND indexed_at IS NOT NULL THEN 'conflict' WHEN indexed_at IS NULL THEN 'new' WHEN doc_id % 3 = 0 AND last_modified IS NOT NULL AND file_size IS NOT NULL THEN 'same_file' WHEN now = was THEN 'same_content' ELSE 'modified' END AS step
 FROM f LEFT JOIN lk USING (path), me""")
 def index_plan(spark: SparkSession, root: str) -> DataFrame:
     """What the next run does with every file; every third file is known by time and size, every seventh expected at version 1."""

@@ -186,7 +186,7 @@ def bm25_batch(spark: SparkSession, root: str) -> DataFrame:
 
 # --- single places
 
-@book.query("SELECT doc_id, regexp_replace(regexp_replace(replace(document_path, '\\', '/'), '/+', '/', 'g'), '^(\./)+|/$', '', 'g') AS path FROM documents WHERE document_path IS NOT NULL")
+@book.query("SELECT doc_id, regexp_replace(regexp_replace(replace(document_path, chr(92), '/'), '/+', '/', 'g'), '^([.]/)+|/$', '', 'g') AS path FROM documents WHERE document_path IS NOT NULL")
 def normalized_paths(spark: SparkSession, root: str) -> DataFrame:
     """Every file's path in its plain form."""
     return table(spark, root, "documents").where(F.col("document_path").isNotNull()).select("doc_id", normal_path("document_path").alias("path"))
@@ -271,7 +271,7 @@ def chunks_of_line(spark: SparkSession, root: str) -> DataFrame:
 
 _V = """h AS (SELECT DISTINCT ON (chunk_id, version) chunk_id, version, semantic_signature AS s FROM chunk_history WHERE chunk_id IS NOT NULL),
 ok AS (SELECT *, len(s) = 128 AND NOT list_bool_or(list_transform(s, lambda x: x IS NULL OR isnan(x))) AS fine FROM h),
-own AS (SELECT chunk_id, arg_max(CASE WHEN fine THEN s END, version) AS own, max(version) AS v FROM ok GROUP BY 1)"""
+own AS (SELECT chunk_id, arg_max(struct_pack(s := CASE WHEN fine THEN s END), version).s AS own, max(version) AS v FROM ok GROUP BY 1)"""
 
 
 @book.query(f"""WITH {_V}, g AS (SELECT chunk_id, s AS given FROM ok WHERE version = 1 AND fine AND list_sum(list_transform(s, lambda x: x::DOUBLE * x::DOUBLE)) > 0), e AS (SELECT chunk_id, own, v, given, coalesce(list_transform(given, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(given, lambda y: y::DOUBLE * y::DOUBLE)))), own::DOUBLE[]) AS w FROM own LEFT JOIN g USING (chunk_id))
