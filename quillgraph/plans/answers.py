@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import query as Q
 from quillgraph.functions import text as T
 from quillgraph import session
-from quillgraph.operators import answers, bm25, compose, extraction, grep, indexing, vectors
+from quillgraph.operators import answers, bm25, compose, extraction, features, grep, indexing, vectors
 from quillgraph.operators import symbols as S
 from quillgraph.plans import ingest
 from quillgraph.plans.base import Book
@@ -58,6 +58,67 @@ def line_chunks(spark: SparkSession, root: str) -> DataFrame:
     return ingest.line_chunks(spark, root)
 
 
+_BLANK = "[\\s\\x0b]"
+_DENSITY = f"""CASE WHEN {{x}} = '' THEN 0.0 ELSE least(1.0, 0.3 * greatest(0.0, 1 - (length({{x}}) - (len(string_split({{x}}, chr(10))) - 1)) / len(string_split({{x}}, chr(10))) / 80.0)
+ + 0.3 * least(1.0, (length({{x}}) - length(regexp_replace({{x}}, '[{{{{}}}}\\[\\]()<>:=|&%$#@!~`]', '', 'g'))) / greatest(length({{x}}), 1) * 10)
+ + 0.2 * len(list_filter(string_split({{x}}, chr(10)), lambda l: regexp_matches(l, '^[ \\t]'))) / len(string_split({{x}}, chr(10)))
+ + 0.2 * len(list_filter(string_split({{x}}, chr(10)), lambda l: regexp_matches(l, '^{_BLANK}*([-*•]|[0-9]+[.)]){_BLANK}'))) / len(string_split({{x}}, chr(10)))) END"""
+
+
+@book.query(f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT doc, unnest(regexp_split_to_array(t, '\\n{_BLANK}*\\n')) AS raw, generate_subscripts(regexp_split_to_array(t, '\\n{_BLANK}*\\n'), 1) AS k FROM d),
+p AS (SELECT doc, x, row_number() OVER (PARTITION BY doc ORDER BY k) AS i FROM (SELECT doc, k, {_STRIPPED} AS x FROM r) WHERE x <> ''),
+z AS MATERIALIZED (SELECT doc, x, i, {tokens_sql('x')} AS n, greatest(128, least(floor(256 * (1 - ({_DENSITY.format(x='x')}) * 0.5)), 4096)) AS lim FROM p),
+g AS (SELECT doc, i, n AS total, 0 AS run FROM z WHERE i = 1 UNION ALL SELECT z.doc, z.i, CASE WHEN g.total + z.n > z.lim THEN z.n ELSE g.total + z.n END, CASE WHEN g.total + z.n > z.lim THEN run + 1 ELSE run END FROM g JOIN z ON z.doc = g.doc AND z.i = g.i + 1),
+c AS (SELECT doc, run, string_agg(x, chr(10) || chr(10) ORDER BY i) AS content FROM z JOIN g USING (doc, i) GROUP BY ALL),
+f AS (SELECT doc, run AS chunk_index, content, coalesce(sum(length(content) + 2) OVER (PARTITION BY doc ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos FROM c)
+SELECT doc, chunk_index::BIGINT AS chunk_index, content, start_pos, start_pos + length(content) + 2 AS end_pos FROM f UNION ALL SELECT doc, 0, '', 0, 0 FROM d WHERE doc NOT IN (SELECT doc FROM f)""")
+def paragraph_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return ingest.paragraph_chunks(spark, root)
+
+
+@book.query(f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL), full_ AS (SELECT doc, t FROM d WHERE regexp_matches(t, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]')),
+s AS (SELECT doc, string_split(regexp_replace(t, '([.!?]){_BLANK}+', '\\1' || chr(1), 'g'), chr(1)) AS s, list_append(list_transform(regexp_extract_all(t, '[.!?]{_BLANK}+'), lambda x: length(x) - 1), 0) AS g FROM (SELECT doc, replace(t, chr(1), '!') AS t FROM full_)),
+u AS (SELECT doc, unnest(s) AS x, unnest(g) AS gap, generate_subscripts(s, 1) AS i FROM s),
+n AS MATERIALIZED (SELECT doc, x, i, {tokens_sql('x')} AS n, length(x) + gap AS w FROM u),
+p AS MATERIALIZED (SELECT doc, list(x ORDER BY i) AS xs, list_prepend(0::BIGINT, list(total ORDER BY i)) AS p, list_prepend(0::BIGINT, list(at_ ORDER BY i)) AS q, count(*) AS m FROM (SELECT doc, x, i, (sum(n) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS total, (sum(w) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS at_ FROM n) GROUP BY doc),
+a AS (SELECT doc, 0::BIGINT AS k, 0::BIGINT AS first_, e FROM (SELECT doc, least(coalesce(list_min(list_filter(range(1, m + 1), lambda j: p[j + 1] >= 256)), m), coalesce(list_max(list_filter(range(0, m + 1), lambda j: p[j + 1] <= 4096)), 0)) AS e FROM p) WHERE e > 0
+ UNION ALL SELECT doc, k, first_, e FROM (SELECT doc, k, first_, least(coalesce(list_min(list_filter(range(first_ + 1, m + 1), lambda j: p[j + 1] >= p[first_ + 1] + 256)), m), coalesce(list_max(list_filter(range(first_, m + 1), lambda j: p[j + 1] <= p[first_ + 1] + 4096)), 0)) AS e
+  FROM (SELECT a.doc, a.k + 1 AS k, p.p, p.m, greatest(a.first_ + 1, coalesce(list_min(list_filter(range(0, p.m + 1), lambda j: p.p[j + 1] >= p.p[a.e + 1] - 32)), 0)) AS first_ FROM a JOIN p USING (doc) WHERE a.e < p.m)) WHERE e > first_),
+f AS (SELECT a.doc, k AS chunk_index, array_to_string(list_slice(xs, first_ + 1, e), ' ') AS content, q[first_ + 1] AS start_pos FROM a JOIN p USING (doc))
+SELECT doc, chunk_index, content, start_pos, start_pos + length(content) AS end_pos FROM f UNION ALL SELECT doc, 0, '', 0, 0 FROM d WHERE doc NOT IN (SELECT doc FROM f)""")
+def sentence_window_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return ingest.sentence_window_chunks(spark, root)
+
+
+_LOWER_WORDS = _WORDS.format(t="lo")
+_BARE = "regexp_replace(regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '')"
+
+
+@book.query(f"""WITH {C}, b AS (SELECT chunk_id, content AS t, lower(content) AS lo, greatest(length(content), 1)::DOUBLE AS n FROM c WHERE content IS NOT NULL),
+g3 AS (SELECT chunk_id, list(k ORDER BY k DESC)[1:64] AS v FROM (SELECT chunk_id, g, count(*) AS k FROM (SELECT chunk_id, substr(lo, unnest(range(1, length(lo) - 1)), 3) AS g FROM b) GROUP BY ALL) GROUP BY 1),
+w AS (SELECT chunk_id, list_filter({_LOWER_WORDS}, lambda x: length(x) > 2) AS w FROM b),
+g1 AS (SELECT chunk_id, list(k ORDER BY k DESC)[1:16] AS v FROM (SELECT chunk_id, x, count(*) AS k FROM (SELECT chunk_id, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY 1),
+g2 AS (SELECT chunk_id, list(k ORDER BY k DESC)[1:16] AS v FROM (SELECT chunk_id, x, count(*) AS k FROM (SELECT chunk_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM w) GROUP BY ALL) GROUP BY 1),
+ls AS (SELECT chunk_id, l, {_BARE} AS x, i FROM (SELECT chunk_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM b)),
+st AS (SELECT chunk_id, count(*)::DOUBLE AS k, count_if(starts_with(x, '#')) AS h, count_if(starts_with(x, 'def ')) AS f, count_if(starts_with(x, 'class ')) AS s, count_if(x <> '') AS full_, lower(arg_min(x, i)) AS head,
+ avg(CASE WHEN x <> '' THEN length(l) - length(regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', '')) END) AS ia, max(CASE WHEN x <> '' THEN length(l) - length(regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', '')) END) AS im, var_pop(CASE WHEN x <> '' THEN length(l) - length(regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', '')) END) AS iv FROM ls GROUP BY 1),
+an AS (SELECT chunk_id, regexp_extract_all(lo, '[\\p{{L}}\\p{{N}}_]+') AS a FROM b),
+v AS (SELECT b.chunk_id, list_transform(coalesce(g3.v, []), lambda k: k / n) AS v3, list_concat(list_transform(coalesce(g1.v, []), lambda k: k / greatest(len(w), 1)::DOUBLE), list_transform(coalesce(g2.v, []), lambda k: k / greatest(len(w) - 1, 1)::DOUBLE)) AS v2,
+ [k / 100, (length(t) - k + 1) / n, h / k, f / k, s / k, (length(t) - length(replace(t, '(', ''))) / n, (length(t) - length(replace(t, '{{', ''))) / n, (length(t) - length(replace(t, '[', ''))) / n,
+  CASE WHEN contains(head, 'def ') OR contains(head, 'function ') THEN 1.0 ELSE 0.0 END, CASE WHEN contains(head, 'class ') THEN 1.0 ELSE 0.0 END, CASE WHEN contains(head, 'import ') OR contains(head, 'from ') OR contains(head, '#include') OR contains(head, 'require') THEN 1.0 ELSE 0.0 END,
+  least(coalesce(ia, 0) / 16, 1), least(coalesce(im, 0) / 32, 1), least(coalesce(iv, 0) / 64, 1), full_ / k, least((length(t) - length(replace(t, '#', ''))) / n * 10, 1), CASE WHEN len(a) > 0 THEN len(list_distinct(a)) / len(a) ELSE 0 END, CASE WHEN len(a) > 0 THEN least(list_sum(list_transform(a, lambda x: length(x))) / len(a) / 10, 1) ELSE 0 END,
+  least((length(t) - length(translate(t, '.,;:!?', ''))) / n * 10, 1), least((length(t) - length(regexp_replace(t, '[\\p{{Nd}}²³¹⁰-⁹₀-₉①-⑨]', '', 'g'))) / n * 5, 1)] AS v1
+ FROM b JOIN st USING (chunk_id) JOIN w USING (chunk_id) JOIN an USING (chunk_id) LEFT JOIN g3 USING (chunk_id) LEFT JOIN g1 USING (chunk_id) LEFT JOIN g2 USING (chunk_id)),
+q AS (SELECT *, sqrt(coalesce(list_sum(list_transform(v3, lambda x: x * x)), 0) + coalesce(list_sum(list_transform(v2, lambda x: x * x)), 0) + list_sum(list_transform(v1, lambda x: x * x))) AS z FROM v)
+SELECT chunk_id, round(coalesce(list_sum(v3), 0) / z, 2) AS trigrams, round(coalesce(list_sum(v2), 0) / z, 2) AS words, round(list_sum(v1) / z, 2) AS structure FROM q""")
+def chunk_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk's fingerprint, told by the sums of its trigram, word and structure numbers."""
+    part = lambda a, n: F.round(F.aggregate(F.slice("signature", a, n), F.lit(0.0), lambda s, x: s + x.cast("double")), 2)
+    v = features.fingerprints(_content(spark, root).where("chunk_id IS NOT NULL AND content IS NOT NULL"), "chunk_id", "content")
+    return v.select("chunk_id", part(1, 64).alias("trigrams"), part(65, 32).alias("words"), part(97, 32).alias("structure")).dropDuplicates(["chunk_id"])
+
+
 def _line_symbols(endings: tuple[str, ...], language: str) -> str:
     ends = " OR ".join(f"suffix(document_path, '.{e}')" for e in endings)
     return f"""WITH {C}, l AS (SELECT chunk_id AS doc, unnest(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), 1)::BIGINT AS i FROM c WHERE {ends}),

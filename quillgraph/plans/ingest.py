@@ -14,12 +14,10 @@ from quillgraph.sources.tables import table
 book = Book()
 
 
-@book.query()
 def paragraph_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.paragraphs(table(spark, root, "documents"), "doc_id", "text")
 
 
-@book.query()
 def sentence_window_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.sentence_windows(table(spark, root, "documents"), "doc_id", "text")
 
@@ -42,7 +40,6 @@ def merged_chunks(spark: SparkSession, root: str) -> DataFrame:
     return features.merge_similar(rows)
 
 
-@book.query()
 def chunk_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return features.fingerprints(_raw(spark, root), "chunk_id", "content").dropDuplicates(["chunk_id"])
 
