@@ -48,18 +48,18 @@ LANGUAGES = {
     "python": ("py pyw", "python py python3"), "script": ("js jsx mjs cjs", "javascript js node"), "typescript": ("ts tsx", "typescript ts"), "go": ("go", "go golang"), "java": ("java", "java"),
     "json": ("json", "json"), "yaml": ("yaml yml", "yaml yml"), "toml": ("toml", "toml"), "lock": ("lock snap sum", ""),
 }
-#: Thresholds by language, midway between hand-written and machine-written texts of the tuning sample (``tune``); "code" and
+#: Thresholds by language, as ``tune`` gives the four shares on a sample of hand-written and machine-written texts; "code" and
 #: "data" are for the languages without a sample.  mean: mean line length of dense text; thin: white-space share of dense
 #: text; figures: digit share of tables; close, digits: white-space and digit share of machine-written listings; encoded:
 #: share of long runs; tokens: share of lines with a long token.
 LIMITS = {
-    "python": {"mean": 198, "thin": 0.125, "figures": 0.30, "close": 0.115, "digits": 0.115, "encoded": 0.70, "tokens": 0.53},
-    "script": {"mean": 180, "thin": 0.125, "figures": 0.22, "close": 0.115, "digits": 0.113, "encoded": 0.68, "tokens": 0.54},
-    "typescript": {"mean": 175, "thin": 0.12, "figures": 0.29, "close": 0.115, "digits": 0.115, "encoded": 0.69, "tokens": 0.52},
-    "go": {"mean": 177, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.114, "encoded": 0.69, "tokens": 0.53},
-    "java": {"mean": 182, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.121, "encoded": 0.70, "tokens": 0.54},
+    "python": {"mean": 198, "thin": 0.125, "figures": 0.306, "close": 0.115, "digits": 0.11, "encoded": 0.708, "tokens": 0.52},
+    "script": {"mean": 180, "thin": 0.125, "figures": 0.351, "close": 0.115, "digits": 0.115, "encoded": 0.707, "tokens": 0.521},
+    "typescript": {"mean": 175, "thin": 0.12, "figures": 0.304, "close": 0.115, "digits": 0.107, "encoded": 0.67, "tokens": 0.516},
+    "go": {"mean": 177, "thin": 0.12, "figures": 0.301, "close": 0.115, "digits": 0.114, "encoded": 0.688, "tokens": 0.512},
+    "java": {"mean": 182, "thin": 0.12, "figures": 0.307, "close": 0.115, "digits": 0.11, "encoded": 0.667, "tokens": 0.502},
     "code": {"mean": 190, "thin": 0.12, "figures": 0.30, "close": 0.115, "digits": 0.12, "encoded": 0.70, "tokens": 0.70},
-    "json": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.92, "tokens": 0.60},
+    "json": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.92, "tokens": 0.521},
     "yaml": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.95, "tokens": 0.67},
     "toml": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.93, "tokens": 0.57},
     "lock": {"mean": 1e9, "thin": 0.0, "figures": 1.0, "close": 0.0, "digits": 1.0, "encoded": 0.85, "tokens": 0.50},
@@ -159,19 +159,23 @@ def reasons(df: DataFrame, id_col: str, text: str = "text", path: str = "documen
 
 
 def tune(df: DataFrame, case_col: str, text: str = "text", path: str = "document_path", language: str = "lang", sample: int = SAMPLE) -> dict[str, dict[str, float]]:
-    """Thresholds by language from labelled texts: for each share, midway between the greatest of the hand-written and the least of the cases that lie beyond all of them.
+    """Thresholds by language from labelled texts: for each share, the middle of the widest gap that lies beyond all hand-written texts, among the values of the cases.
 
+    For the share of digits it is the nearest gap, as tables, which have the most, are told by their figures.
     Looks at no more than ``sample`` texts of a language.  A language without texts of both kinds, and a share that parts
     none, keep what ``LIMITS`` says.
     """
     rows = layout(df.select(F.col(text).alias("_t"), F.col(case_col).alias("_case"), language_of(F.col(path), F.col(language)).alias("_key")).where("_key IS NOT NULL AND _t IS NOT NULL"), "_t")
     few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_t")))).where(F.col("_r") <= sample)
-    shares = {"figures": "figures", "digits": "digits", "encoded": "encoded", "tokens": "tokens"}
-    most = few.where("NOT _case").groupBy("_key").agg(*[F.max(c).alias(f"m_{c}") for c in shares.values()])
-    beyond = few.where("_case").join(most, "_key").groupBy("_key").agg(*[F.min(F.when(F.col(c) > F.col(f"m_{c}"), F.col(c))).alias(f"b_{c}") for c in shares.values()], *[F.first(f"m_{c}").alias(f"m_{c}") for c in shares.values()])
+    shares = [F.struct(F.lit(c).alias("share"), F.round(c, 3).alias("value")) for c in ("figures", "digits", "encoded", "tokens")]
+    flat = few.select("_key", "_case", F.explode(F.array(*shares)).alias("s")).groupBy("_key", "s.share")
+    # values of three places between 0 and 1, so a list holds a thousand at most
+    found = flat.agg(F.max(F.when(~F.col("_case"), F.col("s.value"))).alias("most"), F.sort_array(F.collect_set(F.when(F.col("_case"), F.col("s.value")))).alias("cases"))
     out = {k: dict(v) for k, v in LIMITS.items()}
-    for r in beyond.collect():  # a row a language
-        for name, c in shares.items():
-            if r[f"b_{c}"] is not None:
-                out[r["_key"]][name] = round((r[f"m_{c}"] + r[f"b_{c}"]) / 2, 3)
+    for r in found.where("most IS NOT NULL").collect():
+        steps = [r["most"], *(x for x in r["cases"] if x > r["most"])]
+        if len(steps) > 1 and LIMITS[r["_key"]][r["share"]] < 1:
+            gaps = list(zip(steps, steps[1:], strict=False))
+            low, high = gaps[0] if r["share"] == "digits" else max(gaps, key=lambda g: g[1] - g[0])
+            out[r["_key"]][r["share"]] = round((low + high) / 2, 3)
     return out
