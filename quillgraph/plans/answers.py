@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import query as Q
 from quillgraph.functions import text as T
 from quillgraph import session
-from quillgraph.operators import answers, bm25, compose, extraction, features, grep, indexing, vectors
+from quillgraph.operators import answers, bm25, chunkers, compose, extraction, features, grep, indexing, vectors
 from quillgraph.operators import symbols as S
 from quillgraph.plans import ingest
 from quillgraph.plans.base import Book
@@ -91,6 +91,38 @@ def sentence_window_chunks(spark: SparkSession, root: str) -> DataFrame:
     return ingest.sentence_window_chunks(spark, root)
 
 
+def _cut_sql() -> str:
+    """The text cut before the definitions of its language: the boundary's line feed goes along with what it begins."""
+    out = ""
+    for ext, pattern in chunkers.BOUNDARIES.items():
+        p = pattern.replace("'", "''").replace("\\w", "[\\p{L}\\p{N}_]").replace("[[\\p{L}\\p{N}_]", "[\\p{L}\\p{N}_")
+        out += f" WHEN ext = '{ext}' THEN regexp_replace(t, '(\\A|\\n)({p})', chr(1) || '\\1\\2', 'g')"
+    js = chunkers._JS.replace("'", "''")
+    return f"CASE{out} ELSE regexp_replace(t, '(\\A|\\n)({js})', chr(1) || '\\1\\2', 'g') END"
+
+
+@book.query(f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, replace(coalesce(text, ''), chr(1), ' ') AS t, lower(regexp_extract(document_path, '[^/.][^/]*\\.([^/.]+)$', 1)) AS ext FROM documents WHERE doc_id IS NOT NULL AND NOT suffix(lower(document_path), '.py') AND lower(regexp_extract(document_path, '[^/.][^/]*(\\.[^/.]+)$', 1)) IN ({', '.join(repr(x) for x in T.CODE_EXTENSIONS)})),
+c AS (SELECT doc, t, list_filter(string_split({_cut_sql()}, chr(1)), lambda x: x <> '') AS c, len(string_split({_cut_sql()}, chr(1))) AS k FROM d),
+l AS (SELECT doc, t, c, k, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+$') AS l FROM c), m AS (SELECT *, greatest(1, 256 // greatest(1, {tokens_sql('t')} // greatest(len(l), 1)))::BIGINT AS per FROM l),
+q AS (SELECT doc, k > 1 AS defined, CASE WHEN k > 1 THEN c WHEN len(l) = 0 THEN []::VARCHAR[] ELSE list_transform(range(0, (len(l) - 1) // per + 1), lambda j: array_to_string(list_slice(l, j * per + 1, (j + 1) * per), '')) END AS x FROM m),
+u AS (SELECT doc, defined, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM q), z AS MATERIALIZED (SELECT *, {tokens_sql('x')} AS n FROM u),
+g AS (SELECT doc, i, n AS total, 0 AS run FROM z WHERE i = 1 UNION ALL SELECT z.doc, z.i, CASE WHEN NOT defined OR g.total + z.n > 256 THEN z.n ELSE g.total + z.n END, CASE WHEN NOT defined OR g.total + z.n > 256 THEN run + 1 ELSE run END FROM g JOIN z ON z.doc = g.doc AND z.i = g.i + 1),
+r AS (SELECT doc, run, bool_and(defined) AS defined, string_agg(x, '' ORDER BY i) AS raw FROM z JOIN g USING (doc, i) GROUP BY ALL),
+s AS (SELECT doc, run, defined, length(raw) AS w, {_STRIPPED} AS content, coalesce(sum(length(raw)) OVER (PARTITION BY doc ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos FROM r),
+f AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY run) - 1 AS chunk_index, content, start_pos, start_pos + CASE WHEN defined THEN w ELSE length(content) END AS end_pos FROM s WHERE content <> '')
+SELECT * FROM f UNION ALL SELECT doc, 0, '', 0, 0 FROM d WHERE doc NOT IN (SELECT doc FROM f)""")
+def pattern_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The code chunks of all languages that are cut by patterns."""
+    d = table(spark, root, "documents").where((T.modality("document_path") == "code") & ~F.endswith(F.lower("document_path"), F.lit(".py")))
+    return chunkers.code(d, "doc_id", "text", "document_path")
+
+
+@book.query("SELECT event_id, json(props)::VARCHAR AS notes FROM events")
+def parsed_notes(spark: SparkSession, root: str) -> DataFrame:
+    """Every event's properties as notes: JSON in its plain form, other text as it is."""
+    return table(spark, root, "events").select("event_id", compose.parsed_notes("props").alias("notes"))
+
+
 _LOWER_WORDS = _WORDS.format(t="lo")
 _BARE = "regexp_replace(regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '')"
 
