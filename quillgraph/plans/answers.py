@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import embedding
 from quillgraph.functions import query as Q
 from quillgraph.functions import text as T
 from quillgraph import session
@@ -151,6 +153,44 @@ def chunk_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return v.select("chunk_id", part(1, 64).alias("trigrams"), part(65, 32).alias("words"), part(97, 32).alias("structure")).dropDuplicates(["chunk_id"])
 
 
+_B1, _UB = "[\\s\\x0b]", "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+def _figures_sql() -> str:
+    """The 32 figures in DuckDB, from w (words), k (code lines), d (depth), and t (text)."""
+    hit = lambda signs: "(" + " OR ".join(f"contains(t, '{x}')" for x in signs) + ")"
+    within = lambda x: f"greatest(-1.0, least(1.0, {x}))"
+    count = {n: "len(regexp_extract_all(t, '" + p.replace("'", "''").replace("\\s", _B1) + "'))::DOUBLE" for n, p in embedding.SIGNALS.items()}
+    n, m = "greatest(1.0, k)", "len(w)::DOUBLE"
+    f, c = count["functions"], count["comments"]
+    out = {name: within(f"({' + '.join(f'''len(list_filter(w, lambda x: contains(x, '{x}')))''' for x in words.split())}) / greatest(1.0, {m}) * 20") for name, words in embedding.TOPICS.items()}
+    out |= {
+        "qual_abstract": within(f"{m} / 100 - 0.5"), "qual_size": within("k / 50 - 1"), "qual_stable": "0.5", "qual_legacy": f"CASE WHEN {hit(embedding.OLD)} THEN -0.5 ELSE 0.0 END", "qual_typed": f"CASE WHEN {hit(embedding.TYPED)} THEN 1.0 ELSE -1.0 END",
+        "qual_pure": f"CASE WHEN {hit(embedding.IMPURE)} THEN -0.5 ELSE 1.0 END", "qual_stateful": f"CASE WHEN {hit(embedding.STATEFUL)} THEN 1.0 ELSE -1.0 END", "qual_async": f"CASE WHEN {hit(['async ', 'await '])} THEN 1.0 ELSE -1.0 END",
+        "sig_imports": within(f"{count['imports']} / {n} * 10"), "sig_exports": within(f"{count['exports']} / {n} * 10"), "sig_functions": within(f"{f} / {n} * 5 - 1"), "sig_classes": within(f"{count['classes']} / {n} * 5 - 1"), "sig_tests": within(f"{count['tests']} / {n} * 10"),
+        "sig_errors": within(f"{count['errors']} / {n} * 5 - 1"), "sig_comments": within(f"{c} / {n} * 10 - 2"), "sig_strings": within(f"{count['strings']} / {n} * 5 - 2"), "ctx_depth": within("d / 20 - 0.5"), "ctx_arity": within(f"(length(t) - length(replace(t, ',', '')))::DOUBLE / greatest(1.0, {f}) / 3 - 0.5"),
+        "ctx_scope": within(f"{m} / 200 - 0.5"), "ctx_coupling": within(f"{count['imports']} / 10 - 0.5"), "ctx_cohesion": "0.5", "ctx_coverage": "0.0", "ctx_doc": within(f"{c} / greatest(1.0, {f} + {count['classes']}) - 1"), "ctx_maintain": within(f"{c} / {n} * 5 - 1"),
+    }
+    assert list(out) == embedding.FIGURES
+    return ", ".join(f"({v})::DOUBLE AS {name}" for name, v in out.items())
+
+
+_FADE = [math.exp(-(o**2) / (2 * embedding.SPREAD**2)) for o in range(embedding.WIDTH)]
+
+
+@book.query(f"""WITH {C}, b AS (SELECT chunk_id, content AS t, regexp_extract_all(lower(content), '[a-zA-Z_][a-zA-Z0-9_]*') AS w, list_filter(string_split(regexp_replace(content, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]')) AS l FROM c WHERE content IS NOT NULL),
+x AS (SELECT chunk_id, t, w, len(list_filter(l, lambda x: NOT regexp_matches(x, '^{_UB}*(#|//)')))::DOUBLE AS k, coalesce(list_max(list_transform(l, lambda x: length(regexp_extract(x, '^{_UB}*')))), 0)::DOUBLE AS d FROM b),
+f AS (SELECT chunk_id, {_figures_sql()} FROM x), v AS (SELECT *, [{', '.join(embedding.FIGURES)}] AS z FROM f),
+u AS (SELECT *, list_concat({', '.join(f"list_transform(z, lambda y: (y + 1) / 2 * {w!r}::DOUBLE)" for w in _FADE)}) AS q FROM v)
+SELECT chunk_id, {', '.join(f'round({n}, 6) AS {n}' for n in embedding.FIGURES)}, round(list_sum(q) / sqrt(list_sum(list_transform(q, lambda y: y * y))), 4) AS vector_sum, round((z[32] + 1) / 2 * {_FADE[3]!r}::DOUBLE / sqrt(list_sum(list_transform(q, lambda y: y * y))), 4) AS vector_last FROM u""")
+def text_figures(spark: SparkSession, root: str) -> DataFrame:
+    """The 32 figures of every chunk, and the sum and the end of the vector spread from them."""
+    rows = _content(spark, root).where("chunk_id IS NOT NULL AND content IS NOT NULL").select("chunk_id", embedding.figures("content").alias("f"))
+    rows = rows.withColumn("v", embedding.spread(F.col("f")))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("chunk_id", *[F.round(F.col(f"f.{n}"), 6).alias(n) for n in embedding.FIGURES], F.round(total, 4).alias("vector_sum"), F.round(F.element_at("v", 128), 4).alias("vector_last")).dropDuplicates(["chunk_id"])
+
+
 def _line_symbols(endings: tuple[str, ...], language: str) -> str:
     ends = " OR ".join(f"suffix(document_path, '.{e}')" for e in endings)
     return f"""WITH {C}, l AS (SELECT chunk_id AS doc, unnest(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), 1)::BIGINT AS i FROM c WHERE {ends}),

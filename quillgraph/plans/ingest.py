@@ -65,15 +65,6 @@ def go_symbols(spark: SparkSession, root: str) -> DataFrame:
     return extraction.by_line(docs).drop("container")
 
 
-@book.query()
-def text_figures(spark: SparkSession, root: str) -> DataFrame:
-    """The 32 figures and the spread vector of every chunk."""
-    from quillgraph.functions import embedding
-
-    rows = _raw(spark, root).select("chunk_id", embedding.figures("content").alias("f")).dropDuplicates(["chunk_id"])
-    return rows.select("chunk_id", "f.*", embedding.spread(F.col("f")).alias("vector"))
-
-
 _W = "regexp_extract_all(lower(content), '[a-zA-Z_][a-zA-Z0-9_]*')"
 
 
