@@ -131,6 +131,23 @@ def spread(named: Column) -> Column:
     return F.when(named.isNotNull(), unit(F.flatten(F.transform(values, lambda v: F.array(*[(v + 1) / 2 * w for w in fade])))))
 
 
+#: What of a text an embedding by its figures looks at; part of what it is.
+EMBEDDED = 4000
+
+
+def embedded(text: Column | str, values: Column | None = None) -> Column:
+    """The vector of given figures (an array of 32 numbers between -1 and 1), or of the figures of the text's beginning.
+
+    Given figures of another number, or with a null among them, give a null vector.
+    """
+    own = spread(figures(F.substring(col(text), 1, EMBEDDED)))
+    if values is None:
+        return own
+    fine = (F.size(values) == len(FIGURES)) & ~F.exists(values, lambda x: x.isNull())
+    given = let(values, lambda v: F.struct(*[v[i].cast("double").alias(n) for i, n in enumerate(FIGURES)]))
+    return F.when(values.isNull(), own).when(fine, spread(given))
+
+
 def parsed_vector(output: Column | str, dim: int = 128) -> Column:
     """A vector of ``dim`` numbers given as text, scaled to length 1; null if there is none.
 

@@ -191,6 +191,31 @@ def text_figures(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("chunk_id", *[F.round(F.col(f"f.{n}"), 6).alias(n) for n in embedding.FIGURES], F.round(total, 4).alias("vector_sum"), F.round(F.element_at("v", 128), 4).alias("vector_last")).dropDuplicates(["chunk_id"])
 
 
+_SPREAD = "list_concat(" + ", ".join(f"list_transform(z, lambda y: (y + 1) / 2 * {w!r}::DOUBLE)" for w in _FADE) + ")"
+
+
+@book.query(f"""WITH c AS (SELECT chunk_id, any_value(document_path) AS document_path, any_value(substr(content, 1, 4000)) AS content, any_value(start_pos) AS start_pos FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+b AS (SELECT chunk_id, start_pos, content AS t, regexp_extract_all(lower(content), '[a-zA-Z_][a-zA-Z0-9_]*') AS w, list_filter(string_split(regexp_replace(content, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]')) AS l FROM c WHERE content IS NOT NULL),
+x AS (SELECT chunk_id, start_pos, t, w, len(list_filter(l, lambda x: NOT regexp_matches(x, '^{_UB}*(#|//)')))::DOUBLE AS k, coalesce(list_max(list_transform(l, lambda x: length(regexp_extract(x, '^{_UB}*')))), 0)::DOUBLE AS d FROM b),
+f AS (SELECT chunk_id, start_pos, {_figures_sql()} FROM x), v AS (SELECT chunk_id, CASE WHEN start_pos % 3 = 0 THEN list_transform(range(32), lambda i: i / 64.0::DOUBLE) ELSE [{', '.join(embedding.FIGURES)}] END AS z FROM f), u AS (SELECT *, {_SPREAD} AS q FROM v)
+SELECT chunk_id, round(list_sum(q) / sqrt(list_sum(list_transform(q, lambda y: y * y))), 4) AS vector_sum, round((z[1] + 1) / 2 / sqrt(list_sum(list_transform(q, lambda y: y * y))), 4) AS first_ FROM u""")
+def embedded_texts(spark: SparkSession, root: str) -> DataFrame:
+    """The vector of every chunk's text by its figures; every third chunk comes with figures of its own."""
+    given = F.when(F.col("start_pos") % 3 == 0, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i / 64.0))
+    rows = _content(spark, root).where("chunk_id IS NOT NULL AND content IS NOT NULL").select("chunk_id", embedding.embedded("content", given).alias("v"))
+    return rows.select("chunk_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("vector_sum"), F.round(F.element_at("v", 1), 4).alias("first_")).dropDuplicates(["chunk_id"])
+
+
+@book.query(f"WITH {C}, q AS (SELECT chunk_id, string_split(content, chr(10))[1] AS summary FROM c WHERE content <> '' UNION ALL SELECT 'no-such-' || (doc_id % 7), 'x' FROM documents) SELECT DISTINCT chunk_id, chunk_id IN (SELECT chunk_id FROM c) AS stored FROM q")
+def summaries_stored(spark: SparkSession, root: str) -> DataFrame:
+    """The first line of every chunk as its summary, and which summaries found their chunk."""
+    c = table(spark, root, "chunks").where(F.col("chunk_id").isNotNull())
+    given = c.where("content <> ''").select("chunk_id", F.element_at(F.split("content", "\n"), 1).alias("summary"))
+    given = given.unionByName(table(spark, root, "documents").select(F.concat(F.lit("no-such-"), (F.col("doc_id") % 7).cast("string")).alias("chunk_id"), F.lit("x").alias("summary")))
+    stored, errors = features.summary_vectors(c.select("chunk_id"), given)
+    return stored.where(F.size("signature") == 128).select("chunk_id", F.lit(True).alias("stored")).unionByName(errors.select("chunk_id", F.lit(False).alias("stored")))
+
+
 def _line_symbols(endings: tuple[str, ...], language: str) -> str:
     ends = " OR ".join(f"suffix(document_path, '.{e}')" for e in endings)
     return f"""WITH {C}, l AS (SELECT chunk_id AS doc, unnest(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), 1)::BIGINT AS i FROM c WHERE {ends}),

@@ -78,6 +78,21 @@ def read_states(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return s.withColumn("state", F.from_json("state", schema)) if schema else s
 
 
+def embed_notes(chunks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors (chunk_id, v), new (memory_id, content), errors (chunk_id)) of texts (chunk_id, text, values) to be embedded.
+
+    A known chunk gets the vector; an unknown one becomes a memory note with the text's beginning (``add_memory``).  Requests
+    whose own figures are not 32 numbers are errors.
+    """
+    from quillgraph.functions import embedding
+
+    made = requests.where(F.col("chunk_id").isNotNull()).dropDuplicates(["chunk_id"]).select("chunk_id", "text", embedding.embedded("text", F.col("values")).alias("v"))
+    good = made.where(F.col("v").isNotNull())
+    new = good.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    notes = new.select(F.col("chunk_id").alias("memory_id"), F.substring("text", 1, embedding.EMBEDDED).alias("content"))
+    return good.select("chunk_id", "v"), notes, made.where(F.col("v").isNull()).select("chunk_id")
+
+
 def add_memory(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     """``chunks`` with agents' notes (memory_id, content) as chunks of the path memory:<id>; an id that is there stays as it is.
 

@@ -107,3 +107,14 @@ def test_indexing(spark):
     assert rows(indexing.removed_ids(old, new), "chunk_id") == {("o1",), ("o2",)}
     shown, totals = indexing.capped(spark.createDataFrame([("new", i) for i in range(5)], "status string, id long"), "status", ["id"], 2)
     assert shown.count() == 2 and rows(totals, "status", "total") == {("new", 5)}
+
+
+def test_embedded_notes(spark):
+    from quillgraph.sources.files import add_memory, embed_notes
+
+    chunks = spark.createDataFrame([("a", "p", "text", 1)], "chunk_id string, document_path string, content string, token_count long")
+    req = spark.createDataFrame([("a", "def f(): pass", None), ("m", "note", [0.5] * 32), ("x", "bad", [1.0]), ("y", None, None), (None, "z", None)], "chunk_id string, text string, values array<double>")
+    vectors, notes, errors = embed_notes(chunks, req)
+    assert {r["chunk_id"]: round(sum(x * x for x in r["v"]), 6) for r in vectors.collect()} == {"a": 1.0, "m": 1.0}
+    assert rows(notes, "memory_id", "content") == {("m", "note")} and rows(errors, "chunk_id") == {("x",), ("y",)}
+    assert add_memory(chunks, notes).count() == 2
