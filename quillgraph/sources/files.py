@@ -41,9 +41,9 @@ def files(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] |
 
 
 def texts(file_table: DataFrame) -> DataFrame:
-    """(path, modified, length, text, content_hash): decoded texts; the hash of media files is that of their bytes."""
+    """(path, modified, length, text, content_hash): decoded texts, what is no UTF-8 replaced by U+FFFD; the hash of media files is that of their bytes."""
     is_text = F.col("modality").isin("code", "text")
-    text = F.when(is_text, F.expr("decode(content, 'UTF-8')"))
+    text = F.when(is_text, F.make_valid_utf8(F.col("content").cast("string")))
     return file_table.select("path", "modified", "length", "modality", text.alias("text"), F.sha2("content", 256).alias("content_hash"))
 
 
