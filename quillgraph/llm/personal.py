@@ -10,7 +10,8 @@ candidate; overlapping mentions of a text are settled by probability, then lengt
 
 Every pattern reads the whole text, whatever its length.  The counts cover all texts.  The classifier is fitted on about
 SAMPLE candidates of each kind, drawn by the hash of what they are and where they stand.  Known names are tested by hash
-sets: those of up to MAX_PEOPLE people are broadcast, a larger table is joined to the words of the texts.
+sets: those of up to MAX_PEOPLE people are broadcast, a larger table is joined to the words that a text looks up
+(``looked_up``).  Either way a text meets the same names, and the results are the same.
 
 Defined results: null and empty texts have no mentions; positions are code points from 0, end exclusive; a repeated row
 gives its mentions again; a null id stays null.  ``redacted`` finds and replaces within the row, so null and repeated ids
@@ -100,6 +101,7 @@ _NUMBERED = re.compile(r"\d")
 _TOKEN = rf"(?:{_UPPER}\w*(?:[’'-]\w+)+|{_UPPER}\w+|{_UPPER}\.)"
 _RUN = re.compile(rf"(?<![\w@.-])(?<!\w[’']){_TOKEN}(?:,? {_TOKEN})+(?![\w@])")
 _WORDS = re.compile(r"[^\W\d_]\w*(?:[’'-]\w+)*\.?")
+_ANY_CASE = re.compile(r"[^\W\d_][\w’'-]*")
 
 
 # What every mail address holds: a text without it is not searched for one.
@@ -164,7 +166,7 @@ def _names(text: str, given: set[str], family: set[str], taken: _Taken) -> Itera
 
 def _lower_names(text: str, given: set[str], family: set[str]) -> Iterator[tuple[int, int]]:
     """Pairs of known names in any case, for texts whose capitals are lost."""
-    w = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_][\w’'-]*", text)]
+    w = [(m.start(), m.end(), m.group().lower()) for m in _ANY_CASE.finditer(text)]
     for (s, m, a), (n, e, b) in zip(w, w[1:], strict=False):
         if ((a in given and b in family) or (a in family and b in given)) and text[m:n] in (" ", ", "):
             yield s, e
@@ -174,12 +176,32 @@ def _vote(yes: bool, no: bool = False) -> int:
     return 1 if yes and not no else 2 if no else 0
 
 
+def _held(mail: str) -> Iterator[str]:
+    """The words of a mail address and what they hold, of four letters or more."""
+    for w in re.findall(r"[^\W\d_]{4,}", mail.lower()):
+        yield w
+        for n in range(4, min(len(w), LONGEST) + 1):
+            for i in range(len(w) - n + 1):
+                yield w[i : i + n]
+
+
 def _named_in(mail: str, given: set[str], family: set[str]) -> bool:
     """Whether a word of a mail address is or holds a known name of four letters or more."""
-    for w in re.findall(r"[^\W\d_]{4,}", mail.lower()):
-        if w in given or w in family or any(w[i : i + n] in given or w[i : i + n] in family for n in range(4, min(len(w), LONGEST) + 1) for i in range(len(w) - n + 1)):
-            return True
-    return False
+    return any(w in given or w in family for w in _held(mail))
+
+
+def looked_up(text: str) -> Iterator[str]:
+    """All that ``candidates_of`` may look up among the known names in a text, whichever names are known."""
+    if _AT_SIGN.search(text):
+        for m in _EMAIL.finditer(text):
+            yield from _held(m.group())
+    for m in _RUN.finditer(text):
+        for w in _WORDS.findall(m.group()):
+            yield w.lower()
+            yield w.rstrip(".").lower()
+    if text.islower():
+        for m in _ANY_CASE.finditer(text):
+            yield m.group().lower()
 
 
 def candidates_of(text: str, given: set[str], family: set[str]) -> list[tuple[int, int, int, tuple[int, ...]]]:
@@ -352,7 +374,8 @@ def settle(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int
 
 
 _CAND = "id {kind}, kind array<tinyint>, s array<int>, e array<int>, votes array<int>, feats array<binary>"
-_NAME = r"\p{L}[\p{L}\p{N}_]*(?:[’'-][\p{L}\p{N}_]+)*"
+#: Rows of a batch of words that are looked up.
+_LOOKED_UP = 1 << 16
 
 
 class _Known:
@@ -370,7 +393,10 @@ class _Known:
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, people: DataFrame, given: str, family: str, most: int) -> tuple[DataFrame, _Known]:
-    """The rows (id, text and, if the people are too many to broadcast, the names met in the text) and how to read the names."""
+    """The rows (id, text and, if the people are too many to broadcast, the names met in the text) and how to read the names.
+
+    Both ways answer every look-up of a text alike: what is joined is each known name among all that the text may look up.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = people.select(F.lower(F.trim(given)).alias("g"), F.lower(F.trim(family)).alias("f"))
     if people.count() <= most:
@@ -379,7 +405,22 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, people: DataFrame, give
     flat = names.select(F.explode(F.array(F.struct(F.col("g").alias("w"), F.lit(True).alias("own")), F.struct(F.col("f").alias("w"), F.lit(False).alias("own")))).alias("x"))
     flat = flat.select("x.*").where(F.col("w") != "").groupBy("w").agg(F.max("own").alias("g"), F.max(~F.col("own")).alias("f"))
     keyed = rows.withColumn("_h", F.xxhash64("text"))
-    words = keyed.select("_h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_NAME), F.lit(0)))).alias("w"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.int64()), pa.array([w for _, w in held], pa.string())], ["_h", "w"])
+
+        held: dict[tuple[int, str], None] = {}
+        for b in batches:
+            for h, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+                for w in looked_up(text) if text else ():
+                    held[h, w] = None
+                    if len(held) >= _LOOKED_UP:
+                        yield made()
+                        held.clear()
+        yield made()
+
+    words = keyed.select("_h", "text").mapInArrow(work, "_h long, w string")
     met = words.join(flat, "w").groupBy("_h").agg(F.collect_set(F.when(F.col("g"), F.col("w"))).alias("_given"), F.collect_set(F.when(F.col("f"), F.col("w"))).alias("_family"))
     return keyed.join(met, "_h", "left").select("id", "text", "_given", "_family"), _Known(None)
 
@@ -419,10 +460,12 @@ def fitted(cand: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     bounded = None
     for k, n in total.items():
         if n:
-            share = F.pmod(F.xxhash64("id", "s", "votes", "feats"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / n))
-            part = flat.where((F.col("kind") == k) & share).select("kind", "votes", "feats").limit(2 * sample)
+            drawn_by = F.xxhash64("id", "s", "votes", "feats")
+            share = F.pmod(drawn_by, F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / n))
+            part = flat.where((F.col("kind") == k) & share).orderBy(drawn_by, "votes", "feats").limit(2 * sample).select("kind", "votes", "feats")
             bounded = part if bounded is None else bounded.unionByName(part)
-    drawn = bounded.collect() if bounded is not None else []
+    # in an order of their own: which rows are drawn and how their sums round do not depend on how the texts are spread
+    drawn = sorted(bounded.collect(), key=lambda r: (r["votes"], bytes(r["feats"]))) if bounded is not None else []
     for k in range(len(KINDS)):
         weights[k] = train([(np.frombuffer(r["feats"], np.int16).tolist(), truth[k][_unpacked(r["votes"])]) for r in drawn if r["kind"] == k])
     return weights

@@ -495,6 +495,55 @@ def test_redaction_is_by_row(spark):
     assert got[None, "write to [EMAIL] now"] == 1 and got[7, "call [PHONE] now"] == 2 and got[None, None] == 1 and got[8, ""] == 1
 
 
+def test_many_people_are_known_as_few_are(spark):
+    """The people joined give what the people broadcast give: names within words of a mail address, initials, any case, rows drawn."""
+    odd = [
+        "mail to ilsamarrowby@host.example now", "cc x.toveq_99quennel (at) post.test", "seen by J. Marrowby today", "ask Haskett, J. about it", "from ilsa o''dell, who left", "ilsa- marrowby and jörn haskett",
+        "ΝΙΚΟΣ.Α Νίκος Παππάς wrote", "by İlsa Marrowby", "See Oswin-Vale, Petra: fine", None, "", "Ilsa²x Tove Quennel", "petraoswinvale" * 9 + "@team.example",
+    ]
+    rows = [(i, t) for i, t, _ in mention_rows(random.Random(5), 60)] + list(enumerate(odd, 100)) + [(7, "call Tove Quennel, ilsamarrowby@host.example")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    people = spark.createDataFrame([*PEOPLE, ("J.", "O''Dell"), ("ΝΊΚΟΣ", "Παππάς"), ("İlsa", " "), ("Petra", None), ("ilsa-", "marrow")], "given_name string, family_name string")
+
+    def both(most):
+        c = personal.materialize(personal._scan(*personal._prepared(docs, "doc_id", "text", people, "given_name", "family_name", most)), f"test-{most}")
+        return Counter((r["id"], *map(tuple, (r["kind"], r["s"], r["e"], r["votes"]))) for r in c.collect()), personal.fitted(c, 3)
+
+    (few, w), (many, v) = both(100), both(0)
+    assert few == many and sum(few.values()) > 100
+    assert (w == v).all()
+    clean = [Counter(map(tuple, personal.redacted(docs, "doc_id", "text", people, most=m).collect())) for m in (100, 0)]
+    assert clean[0] == clean[1] and sum(clean[0].values()) == len(rows)
+
+
+def test_weights_do_not_depend_on_the_order_of_rows(spark):
+    """Repeated rows may exceed what is drawn; which are drawn is the same however the texts are spread."""
+    around = [(w, x) for w in "write see cc port".split() for x in "now. : ok".split()]
+    docs = spark.createDataFrame([(1000 + i, f"{w} a{i}@mail.example {x}") for i, (w, x) in enumerate(around) for _ in range(20)], "doc_id long, text string")
+    people = spark.createDataFrame(PEOPLE, "given_name string, family_name string")
+    cand = personal.materialize(personal._scan(*personal._prepared(docs, "doc_id", "text", people, "given_name", "family_name", 100)), "test-order")
+    up, down = (personal.fitted(cand.orderBy(o), 20) for o in (F.asc("id"), F.desc("id")))
+    assert up.any() and (up == down).all()
+
+
+def test_every_look_up_is_listed():
+    """Whatever names are known, only words that looked_up gives are looked up."""
+
+    class Known(set):
+        def __contains__(self, w):
+            asked.add(w)
+            return hash((w, salt)) % 3 == 0
+
+    rng = random.Random(2)
+    parts = ["Ilsa", "Tove", "J.", "Σ.", "Oswin-Vale", "O’Dell", "d’Arc", "İlsa", "Ask", "Dr.", "By", "by", "ilsa", "o''dell", "x-", ",", ", ", " ", "\n", "_", "9", "²", "@", "(at)", "host.example", "annamarrowby", "ΝΙΚΟΣ", "ς", "call 415-555-0156", "482 Alder Road", "A" + "b" * 40]
+    for salt in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(2, 14)))
+        for t in (text, text.lower()):
+            asked = set()
+            personal.candidates_of(t, Known(), Known())
+            assert asked <= set(personal.looked_up(t)), t
+
+
 REWORDED = [
     ("Please get in touch with {n} through {m} before the release.", ("name", "email")), ("Hi {n}, could you ring {p} tomorrow?", ("name", "phone")),
     ("{n} <{m}> signed the change.", ("name", "email")), ("Parcels go to {h}.", ("address",)), ("Her passport number: {i}, as filed.", ("id_number",)),
