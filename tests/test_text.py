@@ -93,3 +93,18 @@ def test_parsed_vector(spark):
     for text in (str(v), '{"vector": %s}' % v, " ".join(map(str, v)), "here:\n```\n%s\n```" % v):
         assert abs(one(spark, text, embedding.parsed_vector("x"))[127] - 127 / sum(x * x for x in v) ** 0.5) < 1e-9
     assert one(spark, "[1, 2]", embedding.parsed_vector("x")) is None
+
+
+def test_topics_and_one_evaluation(spark):
+    texts = ["Datadata data1data 12data édata KEY testspec describe_it( dict.list __env", "", "class_env_env CONFIG-token role\n\n# util", "nothing here"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for row in df.select("x", embedding.figures("x").alias("f")).collect():
+        words = re.findall("[a-zA-Z_][a-zA-Z0-9_]*", row["x"].lower())
+        for name, told in embedding.TOPICS.items():
+            n = sum(t in w for t in told.split() for w in words)
+            assert abs(row["f"][name] - min(1.0, n / max(1, len(words)) * 20)) < 1e-9
+    given = F.when(F.length("x") == 0, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i / 64.0))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = df.select(embedding.embedded("x", given).alias("v"))._jdf.queryExecution().analyzed().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count(embedding.SIGNALS["tests"]) == 1
