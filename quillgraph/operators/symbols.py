@@ -73,42 +73,96 @@ def resolve(symbols: DataFrame, noise: list[str] | None = None) -> DataFrame:
     chunk of the file it names.  References within a chunk are no edges.
 
     References are reduced to (chunk, name, container) before the join, and definitions to (chunk, name, container), so
-    a hot name costs its distinct pairs only; that many edges are the result.
+    a hot name costs its distinct pairs only; that many edges are the result, and they come out of the join distinct
+    (``_edges_of``), so pairs are not shuffled.  The cleaned symbols and the definitions are written once.
     """
-    s = cleaned(symbols)
+    s = materialize(cleaned(symbols).select("id", "name", "kind", "role", "chunk_id", "document_path", "container"), "symbols")
     bad = NOISE if noise is None else noise
     refs = s.where((F.col("role") == "reference") & (F.char_length("name") >= 2) & ~F.col("name").isin(bad)).select("chunk_id", "document_path", "name", "container").distinct()
     defs = s.where(F.col("role") == "definition").select(F.col("chunk_id").alias("target"), F.col("document_path").alias("target_path"), "name", F.col("container").alias("target_container")).distinct()
+    defs = materialize(defs, "definitions")
     modules = s.where((F.col("role") == "reference") & (F.col("kind") == "module")).select("chunk_id", "document_path", F.col("name").alias("module")).distinct()
     matches = module_matches(modules.select("module").distinct(), defs.select(F.col("target_path").alias("path")).distinct())
     hinted = modules.join(matches, "module").select("chunk_id", F.col("path").alias("target_path")).distinct()
-    named = _preferred(refs, defs, hinted).select("chunk_id", "document_path", "name", "target", "target_path")
     first = s.where(F.col("role") == "definition").groupBy(F.col("document_path").alias("path")).agg(F.min_by("chunk_id", "id").alias("target"))
     lost = modules.join(defs.select(F.col("name").alias("module")).distinct(), "module", "left_anti").join(matches, "module").join(first, "path")
     files = lost.groupBy("chunk_id", "document_path", "module").agg(F.min_by("target", "path").alias("target"), F.min("path").alias("target_path"))
-    edges = named.unionByName(files.withColumnRenamed("module", "name")).where(F.col("chunk_id") != F.col("target"))
+    # a module that is led to a file has no definition of its name, so no edge is among both
+    return _edges_of(refs, defs, hinted).unionByName(_edge_rows(files.withColumnRenamed("module", "name")).distinct())
+
+
+def _edge_rows(pairs: DataFrame) -> DataFrame:
+    """The edges of (chunk_id, document_path, name, target, target_path), as often as the pairs come."""
     kind = F.when(F.col("document_path") == F.col("target_path"), "intra_file").otherwise("cross_file")
-    return edges.select(F.col("chunk_id").alias("source_chunk_id"), F.col("target").alias("target_chunk_id"), kind.alias("edge_type"), F.col("name").alias("symbol_name")).distinct()
+    return pairs.where(F.col("chunk_id") != F.col("target")).select(F.col("chunk_id").alias("source_chunk_id"), F.col("target").alias("target_chunk_id"), kind.alias("edge_type"), F.col("name").alias("symbol_name"))
 
 
-def _preferred(refs: DataFrame, defs: DataFrame, hinted: DataFrame) -> DataFrame:
-    """References with the definitions they prefer: of their own container if there are any, then in imported files if there are any, else all of the name.
+def _edges_of(refs: DataFrame, defs: DataFrame, hinted: DataFrame) -> DataFrame:
+    """The distinct edges of references to the definitions they prefer: of their own container if there are any, then in imported files if there are any, else all of the name.
 
     The keys of a preference are keys of its join (name and container, name and imported file), so a hot name is met in full
     only by references without either.  ``hinted`` is (chunk_id, target_path).
+
+    What a reference meets is decided by its key (chunk, name, container) before any join that may multiply.  All files of
+    a chunk that meet a whole name, or a name and container, are one row, and so are those of a target: the join has each
+    pair once.  What comes in files that meet the whole name anyway adds nothing and is left out.  Only the few chunks whose
+    references of one name are decided in several ways, and what imports lead to, go through a distinct.
     """
-    key = ["chunk_id", "name", "container"]
-    by_container = refs.where(F.col("container").isNotNull()).join(defs.withColumnRenamed("target_container", "container"), ["name", "container"])
-    rest = refs.join(by_container.select(*key).distinct(), key, "left_anti")
-    # a module that a chunk imports leads it to the definitions of one file
-    in_container = by_container.join(hinted, ["chunk_id", "target_path"])
-    hinted_own = in_container.select(*key).distinct()
-    own = in_container.select(*refs.columns, "target", "target_path").unionByName(by_container.join(hinted_own, key, "left_anti").select(*refs.columns, "target", "target_path"))
-    led = rest.join(hinted, "chunk_id").join(defs.drop("target_container"), ["name", "target_path"]).select(*refs.columns, "target", "target_path")
-    done = led.select("chunk_id", "name", F.coalesce("container", F.lit("")).alias("_c"), F.col("container").isNull().alias("_n")).distinct()
-    free = rest.withColumns({"_c": F.coalesce("container", F.lit("")), "_n": F.col("container").isNull()}).join(done, ["chunk_id", "name", "_c", "_n"], "left_anti").drop("_c", "_n")
-    plain = free.join(defs.drop("target_container"), "name").select(*refs.columns, "target", "target_path")
-    return own.unionByName(led).unionByName(plain).distinct()
+    bare = {"_c": F.coalesce("container", F.lit("")), "_n": F.col("container").isNull()}
+    refs = refs.join(defs.select("name").distinct(), "name", "left_semi")
+    held = defs.where(F.col("target_container").isNotNull()).select("name", F.col("target_container").alias("container"), F.lit(True).alias("_own")).distinct()
+    r = refs.join(held, ["name", "container"], "left").withColumn("_own", F.col("_own").isNotNull())
+    # a module that a chunk imports leads it to the definitions of one file, within the container if that has any
+    led = r.join(hinted, "chunk_id").join(defs, ["name", "target_path"]).where(~F.col("_own") | F.coalesce(F.col("container") == F.col("target_container"), F.lit(False)))
+    led = materialize(led.select(*refs.columns, "target", "target_path").distinct(), "led")
+    done = led.withColumns(bare).select("chunk_id", "name", "_c", "_n").distinct().withColumn("_led", F.lit(True))
+    r = r.withColumns(bare).join(done, ["chunk_id", "name", "_c", "_n"], "left").drop("_c", "_n")
+    how = F.when(F.col("_led"), "led").when(F.col("_own"), "own").otherwise("all")
+    places = lambda h: F.collect_set(F.when(F.col("how") == h, F.struct("document_path", "container")))
+    g = r.withColumn("how", how).groupBy("chunk_id", "name").agg(places("all").alias("whole"), places("own").alias("own"), F.collect_set(F.when(F.col("how") == "led", F.col("document_path"))).alias("led"))
+    g = g.withColumn("whole", F.array_distinct(F.transform("whole", lambda x: x["document_path"])))
+    g = g.withColumns({"own": F.filter("own", lambda x: ~F.array_contains(F.col("whole"), x["document_path"])), "led": F.array_except("led", "whole")})
+    ways = (F.size("whole") > 0).cast("int") + (F.size("own") > 0).cast("int") + (F.size("led") > 0).cast("int")
+    g = materialize(g.withColumn("mixed", ways > 1), "met")
+    # what the joins give is larger than what they read: their parts are set here, not by the sizes of their input
+    parts = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    targets = defs.groupBy("name", "target").agg(F.collect_set("target_path").alias("paths")).repartition(parts, "name")
+    whole = _pairs(g.where("NOT mixed AND size(whole) > 0").select("chunk_id", "name", F.col("whole").alias("files")).repartition(parts, "name").join(targets, "name"))
+    in_container = defs.where(F.col("target_container").isNotNull()).groupBy("name", "target").agg(F.collect_set(F.struct(F.col("target_path").alias("document_path"), F.col("target_container").alias("container"))).alias("places"))
+    in_container = in_container.select("name", "target", "places", F.explode(F.array_distinct(F.transform("places", lambda x: x["container"]))).alias("container"))
+    of_own = g.where("NOT mixed AND size(own) > 0").select("chunk_id", "name", "own", F.explode(F.array_distinct(F.transform("own", lambda x: x["container"]))).alias("container"))
+    own = _own_pairs(of_own.join(in_container, ["name", "container"]))
+    # the rest: in several ways, or led
+    m = g.where("mixed")
+    rows = m.where("size(whole) > 0").select("chunk_id", "name", F.explode("whole").alias("document_path")).join(defs.drop("target_container").distinct(), "name")
+    by_place = m.where("size(own) > 0").select("chunk_id", "name", F.explode("own").alias("_o")).select("chunk_id", "name", "_o.document_path", "_o.container")
+    rows = rows.unionByName(by_place.join(defs.withColumnRenamed("target_container", "container"), ["name", "container"]).drop("container"))
+    of_led = g.where("size(led) > 0").select("chunk_id", "name", F.explode("led").alias("document_path"))
+    rows = rows.unionByName(led.drop("container").join(of_led, ["chunk_id", "name", "document_path"], "left_semi"))
+    return whole.unionByName(own).unionByName(_edge_rows(rows).distinct())
+
+
+def _typed(pairs: DataFrame, within: Column, across: Column) -> DataFrame:
+    kinds = F.when(within & across, F.array(F.lit("intra_file"), F.lit("cross_file"))).when(within, F.array(F.lit("intra_file"))).otherwise(F.array(F.lit("cross_file")))
+    return pairs.where(F.col("chunk_id") != F.col("target")).select(F.col("chunk_id").alias("source_chunk_id"), F.col("target").alias("target_chunk_id"), F.explode(kinds).alias("edge_type"), F.col("name").alias("symbol_name"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The edges of (chunk_id, name, files, target, paths): one of each kind that some file and some path make."""
+    within = F.arrays_overlap("files", "paths")
+    return _typed(met, within, ~within | (F.size("files") > 1) | (F.size("paths") > 1))
+
+
+def _own_pairs(met: DataFrame) -> DataFrame:
+    """The edges of (chunk_id, name, container, own, target, places), each pair told by the least container that both have."""
+    cs = lambda c: F.transform(c, lambda x: x["container"])
+    one = (F.size("own") == 1) | (F.size("places") == 1)
+    least = F.when(one, F.col("container")).otherwise(F.array_min(F.array_intersect(cs("own"), cs("places"))))
+    met = met.where(F.col("container") == least)
+    within = F.arrays_overlap("own", "places")
+    other = F.exists("own", lambda x: F.exists("places", lambda y: (x["container"] == y["container"]) & (x["document_path"] != y["document_path"])))
+    simple = (F.size("own") == 1) & (F.size("places") == 1)
+    return _typed(met, within, F.when(simple, ~within).otherwise(other))
 
 
 def significant(name: Column, threshold: float = 0.0, excluded: list[str] | None = None) -> Column:

@@ -1,7 +1,11 @@
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from quillgraph.operators import extraction
 from quillgraph.operators import symbols as S
+from quillgraph.plans.graph import GRAPH
 
 SCHEMA = "id long, name string, kind string, role string, chunk_id string, document_path string, line_number long, container string"
 
@@ -137,3 +141,24 @@ def test_scripts_read_no_strings(spark):
     assert {("f", 6, None), ("o", 7, "f"), ("k", 7, "f"), ("g", 7, "f.k"), ("h", 9, None)} <= where
     assert script(spark, "class A {\n  run(x) {\n    if (x) { this.go(); }\n  }\n}\n") >= {("run", "function", "definition", 2, "A"), ("go", "function", "reference", 3, "A.run")}
     assert script(spark, "}}} ((( ]] '") == set()
+
+
+def test_edges_come_out_distinct(spark):
+    """Against the SQL, on rows of few names, containers and files; nothing is made distinct after the pairs are met."""
+    rng = random.Random(7)
+    pick = lambda *x: rng.choice(x)
+    rows = []
+    for _ in range(1200):
+        chunk = f"c{rng.randrange(60)}"
+        path = f"p/f{int(chunk[1:]) // 3}.py" if rng.random() < 0.9 else f"p/f{rng.randrange(20)}.py"
+        if rng.random() < 0.03:
+            rows.append((f"p.f{rng.randrange(24)}", "module", "reference", chunk, path, 1, None))
+        else:
+            rows.append((f"name{rng.randrange(rng.choice((3, 40)))}", "function", pick("definition", "reference"), chunk, path, 1, pick(None, None, "", "A", "B", "C")))
+    s = table(spark, rows)
+    got = S.resolve(s)
+    con = duckdb.connect()
+    con.register("symbols", s.toArrow())
+    expected = con.execute(f"WITH {GRAPH} SELECT * FROM edges").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 4000
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
