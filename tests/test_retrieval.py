@@ -77,3 +77,30 @@ def test_grep(spark):
     assert {(r["chunk_id"], r["line_in_chunk"]): r["scope"] for r in scoped} == {("k1", 1): None, ("k1", 3): "f", ("k2", 2): None}
     with pytest.raises(ValueError, match="empty"):
         grep.matching_chunks(c, "")
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    """However many the queries are, a task holds few similarities at once, and the best are the same as by brute force, ties by id."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(5000, 8)), rng.normal(size=(4096, 8))))
+    y[1::2] = y[::2]
+    ids = np.array([f"i{(j * 7) % 4096:04d}" for j in range(len(y))], object)
+    monkeypatch.setattr(vectors, "CELLS", 1 << 17)
+    best_s, best_i = np.full((len(x), 3), -np.inf), np.empty((len(x), 3), object)
+    tracemalloc.start()
+    for lo in range(0, len(y), 512):
+        vectors._merged(x, y[lo : lo + 512], ids[lo : lo + 512], best_s, best_i, 3)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    for q in range(0, len(x), 100):
+        s = np.round(y @ x[q], 12)
+        assert list(best_i[q]) == [ids[j] for j in sorted(range(len(y)), key=lambda j: (-s[j], ids[j]))[:3]]
+    # both ways of the operator
+    df = spark.createDataFrame([(f"a{i:02d}", [float(z) for z in v]) for i, v in enumerate(y[:60])], "id string, v array<double>")
+    told = lambda: [(r["query_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in vectors.nearest_batch(df.where("id < 'a20'"), df, "id", "v", 8, 3, blocks=2).orderBy("query_id", "rank").collect()]
+    sent = told()
+    monkeypatch.setattr(vectors, "SENT", 0)
+    assert len(sent) == 60 and told() == sent
+    assert {r["rank"] for r in vectors.nearest_batch(df.limit(2), df.limit(2), "id", "v", 8, 3).collect()} == {1, 2}
